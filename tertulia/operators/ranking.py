@@ -89,12 +89,16 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Values are counted per bucket, only the one or two buckets that hold the
     middle are looked into, and equal values are counted before they are ordered.
     """
-    hist = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_b", value_bucket("_v"))
-    )
+    return median_of_counts(value_counts(df, keys, value), keys)
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+
+
+def median_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Median per key from (key, _v, _c) value counts."""
+    hist = counts.withColumn("_b", value_bucket("_v"))
     buckets = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     run = W.partitionBy(*keys).orderBy("_b")
     spans = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .matches import pattern_counts
-from .ranking import exact_median, ordered_rank, time_slice, top_k
+from .ranking import median_of_counts, ordered_rank, time_slice, value_counts
 
 TREND_KEYS = ["monedas_explicitas", "urls_raw", "hashtags", "mentions", "emails", "phone_numbers",
               "coordinates", "ip_addresses"]
@@ -29,15 +29,24 @@ def price_series(matches: DataFrame) -> DataFrame:
 
 
 def price_statistics(series: DataFrame) -> DataFrame:
-    """Count, min, max, mean, median and sample deviation per currency."""
-    base = series.groupBy("currency").agg(
-        F.count("*").alias("n"),
-        F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"),
-        F.avg("price").alias("avg_price"),
-        F.coalesce(F.stddev_samp("price"), F.lit(0.0)).alias("volatility"),
+    """Count, min, max, mean, median and sample deviation per currency.
+
+    Equal prices are counted first, so the message scan runs once and each
+    measure works on the distinct prices.
+    """
+    counts = value_counts(series, ["currency"], "price")
+    c, v = F.col("_c"), F.col("_v")
+    base = counts.groupBy("currency").agg(
+        F.sum(c).alias("n"), F.min(v).alias("min_price"), F.max(v).alias("max_price"),
+        (F.sum(v * c) / F.sum(c)).alias("avg_price"),
+    )
+    spread = counts.join(base.select("currency", "n", "avg_price"), "currency").groupBy("currency").agg(
+        F.sum(F.pow(v - F.col("avg_price"), F.lit(2)) * c).alias("_ss"))
+    return (
+        base.join(spread, "currency").join(median_of_counts(counts, ["currency"]), "currency")
+        .select("currency", "n", "min_price", "max_price", "avg_price",
+                F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).otherwise(0.0).alias("volatility"), "median")
     )
-    return base.join(exact_median(series, ["currency"], "price"), "currency")
 
 
 def price_trend(series: DataFrame) -> DataFrame:

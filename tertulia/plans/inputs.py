@@ -67,7 +67,7 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 10).alias("chat_id"), F.col("event_id").alias("id"), F.col("user_id").alias("sender_id"),
         F.col("user_id").cast("string").alias("user_key"),
         F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("sender_name"),
-        F.col("ts"), text.alias("text"),
+        F.col("ts").cast("timestamp").alias("ts"), text.alias("text"),
     )
 
 
@@ -91,16 +91,16 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn") * 90)
     return c.select(
-        (F.col("conv_id") % 10).alias("chat_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        (F.col("conv_id") % 10).alias("chat_id"), (F.col("conv_id") * 100 + F.col("turn") + 1).alias("id"),
         F.col("role").alias("sender_name"), F.col("role").alias("user_key"),
-        F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.col("turn") - 1).alias("reply_id"),
+        F.when(F.col("turn") > 0, F.col("conv_id") * 100 + F.col("turn")).alias("reply_id"),
         start.alias("ts"), F.col("text"),
     )
 
 
 CONVERSATION_MESSAGES = """
 messages AS (
-  SELECT conv_id % 10 AS chat_id, conv_id * 100 + turn AS id, role AS sender_name, role AS user_key,
-         CASE WHEN turn > 0 THEN conv_id * 100 + turn - 1 END AS reply_id,
+  SELECT conv_id % 10 AS chat_id, conv_id * 100 + turn + 1 AS id, role AS sender_name, role AS user_key,
+         CASE WHEN turn > 0 THEN conv_id * 100 + turn END AS reply_id,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 60 + turn * 90) AS ts, text
   FROM conversations)"""
