@@ -108,7 +108,7 @@ def m06(spark, d):
 def _summary_sql(by):
     b = f"{by}, " if by else ""
     g = f" GROUP BY {by}" if by else ""
-    return SCORES + f""", g AS (SELECT {b}count(*) AS total_messages, round(CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(*), 2) AS average_score, count(*) FILTER (label = 'positivo') AS positivo,
+    return SCORES + f""", g AS (SELECT {b}count(*) AS total_messages, round(CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(*), 2) + 0.0::DOUBLE AS average_score, count(*) FILTER (label = 'positivo') AS positivo,
  count(*) FILTER (label = 'negativo') AS negativo, count(*) FILTER (label = 'neutro') AS neutro FROM labelled{g})
 SELECT *, round(positivo * 100::DOUBLE / total_messages, 2) AS positivo_pct, round(negativo * 100::DOUBLE / total_messages, 2) AS negativo_pct,
  round(neutro * 100::DOUBLE / total_messages, 2) AS neutro_pct, CASE greatest(positivo, negativo, neutro) WHEN negativo THEN 'negativo' WHEN neutro THEN 'neutro' ELSE 'positivo' END AS most_common_sentiment FROM g"""
