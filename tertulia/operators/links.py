@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as U
+from ..functions.reuse import once_per_application
 from ..rules.links import FILE_TYPES, NOT_FILES, PLATFORMS, Platform
 
 _H, _P, _Q, _S = "\u0002", "\u0003", "\u0004", "\u0001"
@@ -119,8 +120,16 @@ def _types(p: Platform) -> dict[str, tuple[str, str]]:
     return out
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array(" + ", ".join(_sql(v) for v in values) + ")")
+
+
+def _mapping(entries: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in entries.items()) + ")")
 
 
 def _by_platform(pick, platforms) -> Column:
@@ -174,42 +183,56 @@ def generic_label(host: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.concat(F.lit("[🔗 Enlace a "), cap, F.lit("]"))).otherwise("[🌐 Enlace externo]")
 
 
-def classify(urls: DataFrame, url: str = "url", platforms: list[Platform] = PLATFORMS) -> DataFrame:
-    """Adds platform, content_type, sub, user, ident, extra, query_text, emoji, type_name, label."""
-    keep = urls.columns
+@dataclass(frozen=True)
+class _Steps:
+    """Column expressions of `classify`, one dict per projection."""
+
+    steps: list[dict[str, Column]]
+
+
+@once_per_application
+def _steps(url: str, platforms: tuple[Platform, ...]) -> _Steps:
     rules = {p.key: compile_rules(p) for p in platforms}
-    d = urls.withColumns({"_host": U.host(url), "_path": U.path(url), "_query": U.query(url), "_frag": U.fragment(url)})
-    d = d.withColumn("platform", route(F.col("_host"), platforms))
-    plain = F.when(F.col("platform").isin([p.key for p in platforms if p.strip]), F.regexp_replace("_path", "/+$", "")).otherwise(F.col("_path"))
-    asked = F.when(F.col("platform").isin([p.key for p in platforms if p.with_query]) & (F.col("_query") != ""),
+    pf, parts, rule = F.col("platform"), F.col("_parts"), F.col("_rule")
+    plain = F.when(pf.isin([p.key for p in platforms if p.strip]), F.regexp_replace("_path", "/+$", "")).otherwise(F.col("_path"))
+    asked = F.when(pf.isin([p.key for p in platforms if p.with_query]) & (F.col("_query") != ""),
                    F.concat(plain, F.lit("?"), F.col("_query"))).otherwise(plain)
-    d = d.withColumn("_subject", F.concat(F.col("_host"), F.lit(_H), asked, F.lit(_P), F.col("_query"), F.lit(_Q), F.col("_frag")))
-    d = d.withColumn("_parts", F.split(_by_platform(
-        lambda p: F.regexp_replace("_subject", F.lit(rules[p.key].regex), F.lit(rules[p.key].refs)), platforms), _S))
+    subject = F.concat(F.col("_host"), F.lit(_H), asked, F.lit(_P), F.col("_query"), F.lit(_Q), F.col("_frag"))
+    pieces = _by_platform(lambda p: F.regexp_replace("_subject", F.lit(rules[p.key].regex), F.lit(rules[p.key].refs)), platforms)
     step = len(_SLOTS)
-    marks = F.transform(F.sequence(F.lit(0), (F.size("_parts") / step).cast("int") - 1), lambda k: F.get("_parts", k * step) != "")
-    d = d.withColumn("_rule", F.when(F.size("_parts") >= step, F.array_position(marks, True).cast("int") - 1))
-    at = lambda k: F.coalesce(F.get("_parts", F.col("_rule") * step + k), F.lit(""))
-    fixed = lambda f: F.coalesce(F.get(_by_platform(lambda p: _strings(rules[p.key].consts[f]), platforms), F.col("_rule")), F.lit(""))
+    marks = F.transform(F.sequence(F.lit(0), (F.size(parts) / step).cast("int") - 1), lambda k: F.get(parts, k * step) != "")
+    at = lambda k: F.coalesce(F.get(parts, rule * step + k), F.lit(""))
+    of_rule = lambda pick: F.get(_by_platform(lambda p: _strings(pick(rules[p.key])), platforms), rule)
+    fixed = lambda f: F.coalesce(of_rule(lambda r: r.consts[f]), F.lit(""))
     full = lambda k, f: F.when(at(k) != "", at(k)).otherwise(fixed(f))
-    of_rule = lambda what: F.get(_by_platform(lambda p: _strings(getattr(rules[p.key], what)), platforms), F.col("_rule"))
-    d = d.withColumns({
-        "content_type": F.coalesce(of_rule("types"), _by_platform(lambda p: F.lit(p.default), platforms)),
-        "sub": F.coalesce(of_rule("subs"), F.lit("")), "user": full(1, "u"), "ident": full(2, "i"), "extra": full(3, "x"),
-        "query_text": U.decode(at(4)),
-    })
-    d = _adjust(d)
-    name_of = {p.key: _types(p) for p in platforms}
-    look = lambda j: _by_platform(lambda p: F.element_at(
-        F.create_map(*[F.lit(v) for k, e in name_of[p.key].items() for v in (k, e[j])]), F.col("content_type")), platforms)
-    d = d.withColumns({"emoji": F.coalesce(look(0), _by_platform(lambda p: F.lit(p.emoji), platforms)),
-                       "type_name": F.coalesce(look(1), F.lit("Contenido"))})
-    d = d.withColumn("_platform_label", _by_platform(_label, platforms))
-    d = d.withColumn("label", F.coalesce(file_label(url), F.col("_platform_label"), generic_label(F.col("_host"))))
-    return d.select(*keep, "platform", "content_type", "sub", "user", "ident", "extra", "query_text", "emoji", "type_name", "label")
-
-
-def _adjust(d: DataFrame) -> DataFrame:
+    names = {p.key: _types(p) for p in platforms}
+    look = lambda j: _by_platform(
+        lambda p: F.element_at(_mapping({k: e[j] for k, e in names[p.key].items()}), F.col("content_type")), platforms)
+    return _Steps([
+        {"_host": U.host(url), "_path": U.path(url), "_query": U.query(url), "_frag": U.fragment(url)},
+        {"platform": route(F.col("_host"), platforms)},
+        {"_subject": subject},
+        {"_parts": F.split(pieces, _S)},
+        {"_rule": F.when(F.size(parts) >= step, F.array_position(marks, True).cast("int") - 1)},
+        {"content_type": F.coalesce(of_rule(lambda r: r.types), _by_platform(lambda p: F.lit(p.default), platforms)),
+         "sub": F.coalesce(of_rule(lambda r: r.subs), F.lit("")), "user": full(1, "u"), "ident": full(2, "i"), "extra": full(3, "x"),
+         "query_text": U.decode(at(4))},
+        *_adjustments(),
+        {"emoji": F.coalesce(look(0), _by_platform(lambda p: F.lit(p.emoji), platforms)), "type_name": F.coalesce(look(1), F.lit("Contenido"))},
+        {"_platform_label": _by_platform(_label, platforms)},
+        {"label": F.coalesce(file_label(url), F.col("_platform_label"), generic_label(F.col("_host")))},
+    ])
+
+
+def classify(urls: DataFrame, url: str = "url", platforms: list[Platform] = PLATFORMS) -> DataFrame:
+    """Adds platform, content_type, sub, user, ident, extra, query_text, emoji, type_name, label."""
+    d = urls
+    for columns in _steps(url, tuple(platforms)).steps:
+        d = d.withColumns(columns)
+    return d.select(*urls.columns, "platform", "content_type", "sub", "user", "ident", "extra", "query_text", "emoji", "type_name", "label")
+
+
+def _adjustments() -> list[dict[str, Column]]:
     """Host- and query-dependent changes that are not path rules."""
     pf, t, h, q = F.col("platform"), F.col("content_type"), F.col("_host"), F.col("_query")
     media = t.isin("video", "short", "live", "embedded", "playlist")
@@ -226,9 +249,9 @@ def _adjust(d: DataFrame) -> DataFrame:
              .when(pf == "pinterest", F.trim("query_text")).otherwise(F.col("query_text")))
     given = F.when(F.col("ident") != "", F.col("ident")).otherwise(F.col("query_text"))
     ident = F.when((pf == "threads") & (t == "search"), F.replace(given, F.lit("%20"), F.lit(" "))).otherwise(given)
-    return d.withColumns({"_lang": F.when((pf == "stackoverflow") & (sub_host != "") & ~sub_host.isin("www", "stackoverflow"), sub_host).otherwise(""),
-                          "_kind": kind, "_user": user, "_ident": ident, "_words": words}).withColumns(
-        {"content_type": F.col("_kind"), "user": F.col("_user"), "ident": F.col("_ident"), "query_text": F.col("_words")})
+    lang = F.when((pf == "stackoverflow") & (sub_host != "") & ~sub_host.isin("www", "stackoverflow"), sub_host).otherwise("")
+    return [{"_lang": lang, "_kind": kind, "_user": user, "_ident": ident, "_words": words},
+            {"content_type": F.col("_kind"), "user": F.col("_user"), "ident": F.col("_ident"), "query_text": F.col("_words")}]
 
 
 def _cut(c: Column, n: int, over: int | None = None) -> Column:

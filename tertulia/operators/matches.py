@@ -6,7 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..rules.patterns import BY_KEY, MONEY_BRANCHES, PatternRule, RULES
+from ..functions.reuse import once_per_application
+from ..rules.patterns import BY_KEY, MONEY_BRANCHES, PatternRule
 
 HIT = "array<struct<category:string,key:string,ord:int,value:string,groups:array<string>>>"
 _SEP = "\u0001"
@@ -93,11 +94,25 @@ def _amount_and_currency(h: Column) -> Column:
     )
 
 
-def match_array(text: Column | str, keys: Iterable[str] | None = None) -> Column:
-    """All hits of a text as one array, rules in their fixed order."""
-    text = F.col(text) if isinstance(text, str) else text
-    rules = RULES if keys is None else [BY_KEY[k] for k in keys]
-    return F.concat(*[_hits(text, r) for r in rules])
+@once_per_application
+def _rule_hits(text: str, key: str) -> Column:
+    return _hits(F.col(text), BY_KEY[key])
+
+
+@once_per_application
+def _rule_count(text: str, key: str) -> Column:
+    rule, text = BY_KEY[key], F.col(text)
+    n = None
+    for j in rule.java():
+        c = F.regexp_count(text, F.lit(j))
+        n = c if n is None else n + c
+    may = _may_match(text, rule)
+    return n if may is None else F.when(may, n).otherwise(0)
+
+
+def match_array(text: str, keys: Iterable[str] | None = None) -> Column:
+    """All hits of a text column as one array, rules in their fixed order."""
+    return F.concat(*[_rule_hits(text, k) for k in (BY_KEY if keys is None else keys)])
 
 
 def extract_matches(messages: DataFrame, keys: Iterable[str] | None = None, text: str = "text") -> DataFrame:
@@ -117,21 +132,15 @@ def with_money_branches(matches: DataFrame) -> DataFrame:
     return matches.withColumn("key", F.explode(keys))
 
 
-def pattern_counts(text: Column | str, keys: Iterable[str] | None = None) -> dict[str, Column]:
+def pattern_counts(text: str, keys: Iterable[str] | None = None) -> dict[str, Column]:
     """Hit counts per key, for one-row-per-message work; counts need no groups."""
-    text = F.col(text) if isinstance(text, str) else text
-    out = {}
-    for r in RULES if keys is None else [BY_KEY[k] for k in keys]:
-        n = sum((F.regexp_count(text, F.lit(j)) for j in r.java()[1:]), F.regexp_count(text, F.lit(r.java()[0])))
-        may = _may_match(text, r)
-        out[r.key] = n if may is None else F.when(may, n).otherwise(0)
-    return out
+    return {k: _rule_count(text, k) for k in (BY_KEY if keys is None else keys)}
 
 
-def enrich_text(text: Column | str) -> Column:
+def enrich_text(text: str) -> Column:
     """Text with a bracketed count of what it holds, unchanged when it holds nothing."""
-    text = F.col(text) if isinstance(text, str) else text
     n = pattern_counts(text)
+    text = F.col(text)
     ranges = F.size(F.filter(_hits(text, BY_KEY["monedas_explicitas"]),
                              lambda h: F.get(h["groups"], F.lit(2)) == "currency_ranges"))
     money = n["monedas_explicitas"] + n["precios_implicitos"] + ranges

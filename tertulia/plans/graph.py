@@ -23,6 +23,10 @@ def stored(spark, d, name, build):
     return _STORED[key]
 
 
+def forget_stored() -> None:
+    _STORED.clear()
+
+
 def messages(spark, d):
     return conversation_messages(spark, d)
 
