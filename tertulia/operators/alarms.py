@@ -27,7 +27,7 @@ def interval_minutes(interval: Column | str, months: bool = False, floor: bool =
 
 def next_run(base: Column, minutes: Column, now: Column) -> Column:
     """First base + k * interval after now, k at least 1; null without an interval."""
-    step = minutes * 60000000
+    step = F.nullif(minutes.cast("long") * 60000000, F.lit(0))
     gap = F.unix_micros(now) - F.unix_micros(base)
     k = F.greatest(F.lit(1), F.floor(gap / step) + 1)
     return F.when(minutes > 0, F.timestamp_micros(F.unix_micros(base) + k * step))
