@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .matches import _group_count, _named_struct, match_array, valid_patterns
+from .matches import _group_count, _named_struct, extract_matches, valid_patterns
 from .ranking import top_k
 
 MAX_PATTERNS = 2000
@@ -110,8 +110,8 @@ def extract(messages: DataFrame, alarms: DataFrame, per_pattern: int | None = 10
 def extract_all_keys(messages: DataFrame, alarms: DataFrame, per_key: int | None = 5) -> DataFrame:
     """Every built-in rule, for alarms that ask for it with a pattern of type 'global'."""
     asks = alarms.filter(F.exists("patterns", lambda p: p["type"] == "global"))
-    hits = in_range(messages, asks).select("alarm_id", "id", "ts", F.explode(match_array("text")).alias("h")).select(
-        "alarm_id", F.concat(F.lit("Global_"), F.col("h.key")).alias("name"), "ts", "id", F.col("h.ord").alias("ord"), F.col("h.value").alias("value"))
+    hits = extract_matches(in_range(messages, asks).select("alarm_id", "id", "ts", "text")).select(
+        "alarm_id", F.concat(F.lit("Global_"), F.col("key")).alias("name"), "ts", "id", "ord", "value")
     return hits if per_key is None else top_k(hits, ["alarm_id", "name"], ["ts", "id", "ord"], per_key)
 
 

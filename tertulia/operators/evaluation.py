@@ -10,11 +10,11 @@ from . import graph as G
 def heuristic_scores(pairs: DataFrame) -> DataFrame:
     """Reply probability of every pair from its own two messages."""
     from ..functions import text as X
-    from .matches import match_array
+    from .matches import match_array, prepared
 
     def texts(df):
         t = df.select("a.text").unionByName(df.select("b.text")).select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-        return t.select("text", X.content_words(F.col("text")).alias("words"), X.intention(F.col("text")).alias("intention"),
+        return prepared(t).select("text", X.content_words(F.col("text")).alias("words"), X.intention(F.col("text")).alias("intention"),
                         F.array_distinct(F.transform(match_array("text"), lambda h: F.concat_ws("=", h["key"], h["value"]))).alias("patterns"))
 
     f = texts(pairs)
@@ -70,10 +70,9 @@ def confusion_counts(pred: DataFrame) -> DataFrame:
 
 def class_report(pred: DataFrame, labels: list[int]) -> DataFrame:
     """Precision, recall, F1 and support of each label; works on the label-by-prediction counts."""
-    c = confusion_counts(pred)
-    spark = pred.sparkSession
-    fixed = F.broadcast(spark.createDataFrame([(int(x),) for x in labels], "k long"))
-    g = fixed.crossJoin(F.broadcast(c.groupBy().agg(F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))))
+    # at most labels x labels cells, gathered in one row
+    cells = confusion_counts(pred).agg(F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))
+    g = cells.select("cells", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in labels])).alias("k"))
     total = lambda cond: F.aggregate(F.filter("cells", cond), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     k = F.col("k")
     tp = total(lambda x: (x["label"] == k) & (x["prediction"] == k))

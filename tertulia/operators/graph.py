@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..session import materialize
-from .matches import match_array
+from .matches import match_array, prepared
 from .ranking import lookback, ordered_rank, time_slice, top_k
 
 WINDOW = 10
@@ -40,7 +40,7 @@ def message_nodes(messages: DataFrame, with_patterns: bool = True) -> DataFrame:
     }
     if with_patterns:
         cols["patterns"] = F.array_distinct(F.flatten(F.transform(match_array("text"), _pattern_names)))
-    return messages.filter(F.col("id").isNotNull()).withColumns(cols)
+    return prepared(messages.filter(F.col("id").isNotNull())).withColumns(cols).drop("_fold", "_digit")
 
 
 def _pattern_names(h: Column) -> Column:

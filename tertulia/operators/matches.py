@@ -13,115 +13,97 @@ HIT = "array<struct<category:string,key:string,ord:int,value:string,groups:array
 _SEP = "\u0001"
 
 
-def _group_values(hit: Column, regex: str, n: int) -> Column:
-    """All groups of one hit in one pass: rewrite it to the groups, split again."""
-    refs = _SEP.join(f"${i}" for i in range(1, n + 1))
-    return F.split(F.regexp_replace(hit, F.lit(regex), F.lit(refs)), _SEP)
+_NO_GROUPS = "cast(array() as array<string>)"
 
 
-def _joined(groups: Column) -> Column:
-    return F.array_join(F.filter(groups, lambda g: g != ""), " ")
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _hit_struct(rule: PatternRule, regex: str):
-    def one(hit):
-        if rule.groups == 0:
-            return F.struct(hit.alias("value"), F.array().cast("array<string>").alias("groups"))
-        groups = _group_values(hit, regex, rule.groups)
-        value = {"whole": hit, "group": F.get(groups, F.lit(0)), "tuple": _joined(groups)}[rule.value]
-        return F.struct(value.alias("value"), groups.alias("groups"))
-
-    return one
+def _groups_of(hit: str, regex: str, n: int) -> str:
+    """All groups of one hit in one pass: rewrite it to the groups, split again."""
+    refs = _SEP.join(f"${i}" for i in range(1, n + 1))
+    return f"split(regexp_replace({hit}, {_sql(regex)}, {_sql(refs)}), {_sql(_SEP)})"
 
 
-def _hits(text: Column, rule: PatternRule) -> Column:
-    """Hits of one rule as an array of structs; the cheap `needs` test runs first."""
-    parts = []
+def _hits(text: str, rule: PatternRule) -> str:
+    """Hits of one rule as an array of structs, as SQL; the cheap tests run first."""
+    lists = []
     for regex in rule.java():
-        raw = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-
-        parts.append(F.transform(raw, _hit_struct(rule, regex)))
-    found = F.concat(*parts) if len(parts) > 1 else parts[0]
-    if rule.key == "monedas_explicitas":
-        found = F.transform(found, _amount_and_currency)
-    out = F.transform(
-        found,
-        lambda h, i: F.struct(
-            F.lit(rule.category).alias("category"), F.lit(rule.key).alias("key"),
-            i.alias("ord"), h["value"].alias("value"), h["groups"].alias("groups"),
-        ),
-    )
-    may = _may_match(text, rule)
-    return out if may is None else F.when(may, out).otherwise(F.array().cast(HIT))
-
+        raw = f"regexp_extract_all({text}, {_sql(regex)}, 0)"
+        if rule.groups == 0:
+            lists.append(f"transform({raw}, h -> named_struct('value', h, 'groups', {_NO_GROUPS}))")
+            continue
+        pairs = f"transform({raw}, h -> named_struct('h', h, 'g', {_groups_of('h', regex, rule.groups)}))"
+        if rule.key == "monedas_explicitas":
+            lists.append(f"transform({pairs}, p -> {_amount_and_currency('p.g')})")
+        else:
+            value = {"whole": "p.h", "group": "get(p.g, 0)", "tuple": "array_join(filter(p.g, x -> x <> ''), ' ')"}[rule.value]
+            lists.append(f"transform({pairs}, p -> named_struct('value', {value}, 'groups', p.g))")
+    found = lists[0] if len(lists) == 1 else "concat(" + ", ".join(lists) + ")"
+    out = (f"transform({found}, (f, i) -> named_struct('category', {_sql(rule.category)}, 'key', {_sql(rule.key)}, "
+           "'ord', i, 'value', f.value, 'groups', f.groups))")
+    may = _may_match(rule)
+    return f"CASE WHEN {may} THEN {out} ELSE cast(array() as {HIT}) END" if may else out
+
+
+def _amount_and_currency(g: str) -> str:
+    """Nine branch groups to [amount, currency, branch key]; a spelled range becomes 'a-b'."""
+    at = lambda i: f"get({g}, {i})"
+    branches = [(0, at(0), at(1)), (2, f"concat({at(2)}, '-', {at(3)})", at(4)), (5, at(5), at(6)), (7, at(7), at(8))]
+    pick = lambda k: "CASE " + " ".join(f"WHEN {at(b[0])} <> '' THEN {b[k]}" for b in branches) + " END"
+    name = "CASE " + " ".join(f"WHEN {at(b[0])} <> '' THEN '{key}'" for b, key in zip(branches, MONEY_BRANCHES)) + " END"
+    amount, currency = f"trim({pick(1)})", f"trim({pick(2)})"
+    return f"named_struct('value', concat_ws(' ', {amount}, {currency}), 'groups', array({amount}, {currency}, {name}))"
 
-def _may_match(text: Column, rule: PatternRule) -> Column | None:
-    """Cheap test that is true whenever the rule can hit.
 
-    Folding is the one the regex engine uses for ignore-case matching, so the
-    test never loses a hit.
-    """
-    may = None
+def _may_match(rule: PatternRule) -> str:
+    """Cheap test on a prepared text that is true whenever the rule can hit, as SQL; empty when there is none."""
+    tests = []
     if rule.needs:
-        folded = F.lower(F.upper(text))
-        for literal in rule.needs:
-            here = F.contains(folded, F.lit(literal))
-            may = here if may is None else may | here
+        tests.append("(" + " OR ".join(f"contains(_fold, {_sql(x)})" for x in rule.needs) + ")")
     if rule.digit:
-        some = F.regexp_like(text, F.lit(r"(?U)\d"))
-        may = some if may is None else may & some
-    return may
+        tests.append("_digit")
+    return " AND ".join(tests)
 
 
-def _amount_and_currency(h: Column) -> Column:
-    """Nine branch groups to [amount, currency, branch key]; a spelled range becomes 'a-b'."""
-    g = lambda i: F.get(h["groups"], F.lit(i))
-    branches = [
-        (g(0), g(0), g(1)),
-        (g(2), F.concat(g(2), F.lit("-"), g(3)), g(4)),
-        (g(5), g(5), g(6)),
-        (g(7), g(7), g(8)),
-    ]
-    amount = currency = branch = None
-    for (test, a, c), name in zip(branches, MONEY_BRANCHES):
-        hit = test != ""
-        amount = F.when(hit, a) if amount is None else amount.when(hit, a)
-        currency = F.when(hit, c) if currency is None else currency.when(hit, c)
-        branch = F.when(hit, F.lit(name)) if branch is None else branch.when(hit, F.lit(name))
-    return F.struct(
-        F.concat_ws(" ", F.trim(amount), F.trim(currency)).alias("value"),
-        F.array(F.trim(amount), F.trim(currency), branch).alias("groups"),
-    )
+def prepared(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds what the cheap tests of the rules read, worked out once per text.
+
+    Folding is the one the regex engine uses for ignore-case matching, so the
+    tests never lose a hit.
+    """
+    return df.withColumns({"_fold": F.lower(F.upper(text)), "_digit": F.regexp_like(text, F.lit(r"(?U)\d"))})
 
 
 @once_per_application
 def _rule_hits(text: str, key: str) -> Column:
-    return _hits(F.col(text), BY_KEY[key])
+    return F.expr(_hits(text, BY_KEY[key]))
 
 
 @once_per_application
 def _rule_count(text: str, key: str) -> Column:
-    rule, text = BY_KEY[key], F.col(text)
-    n = None
-    for j in rule.java():
-        c = F.regexp_count(text, F.lit(j))
-        n = c if n is None else n + c
-    may = _may_match(text, rule)
-    return n if may is None else F.when(may, n).otherwise(0)
+    rule = BY_KEY[key]
+    n = " + ".join(f"regexp_count({text}, {_sql(j)})" for j in rule.java())
+    may = _may_match(rule)
+    return F.expr(f"CASE WHEN {may} THEN {n} ELSE 0 END" if may else n)
 
 
 def match_array(text: str, keys: Iterable[str] | None = None) -> Column:
-    """All hits of a text column as one array, rules in their fixed order."""
+    """All hits of a prepared text column as one array, rules in their fixed order."""
     return F.concat(*[_rule_hits(text, k) for k in (BY_KEY if keys is None else keys)])
 
 
 def extract_matches(messages: DataFrame, keys: Iterable[str] | None = None, text: str = "text") -> DataFrame:
     """The ``matches`` fact table: one row per hit, the message columns kept.
 
-    Only the rules asked for are evaluated.  A narrow, shuffle-free job.
+    Only the rules asked for are evaluated.  A narrow, shuffle-free job.  The
+    array is a column of its own before it is exploded, and exploded as outer,
+    so that it is compiled and worked out once.
     """
     keep = [c for c in messages.columns if c != text]
-    hits = messages.select(*keep, F.explode(match_array(text, keys)).alias("h"))
+    arrays = prepared(messages, text).withColumn("_hits", match_array(text, keys))
+    hits = arrays.select(*keep, F.explode_outer("_hits").alias("h")).filter(F.col("h").isNotNull())
     return hits.select(*keep, "h.category", "h.key", "h.ord", "h.value", "h.groups")
 
 
@@ -133,15 +115,15 @@ def with_money_branches(matches: DataFrame) -> DataFrame:
 
 
 def pattern_counts(text: str, keys: Iterable[str] | None = None) -> dict[str, Column]:
-    """Hit counts per key, for one-row-per-message work; counts need no groups."""
+    """Hit counts per key of a prepared text; counts need no groups."""
     return {k: _rule_count(text, k) for k in (BY_KEY if keys is None else keys)}
 
 
-def enrich_text(text: str) -> Column:
-    """Text with a bracketed count of what it holds, unchanged when it holds nothing."""
+def enrich_text(messages: DataFrame, text: str = "text", name: str = "enriched") -> DataFrame:
+    """Adds the text with a bracketed count of what it holds, unchanged when it holds nothing."""
     n = pattern_counts(text)
-    text = F.col(text)
-    ranges = F.size(F.filter(_hits(text, BY_KEY["monedas_explicitas"]),
+    source, text = text, F.col(text)
+    ranges = F.size(F.filter(_rule_hits(source, "monedas_explicitas"),
                              lambda h: F.get(h["groups"], F.lit(2)) == "currency_ranges"))
     money = n["monedas_explicitas"] + n["precios_implicitos"] + ranges
     dates = sum((n[k] for k in n if k.startswith("dates_")), F.lit(0))
@@ -151,7 +133,8 @@ def enrich_text(text: str) -> Column:
         (n["mentions"], "menciones"),
     ]
     found = F.concat_ws(", ", *[F.when(c > 0, F.concat_ws(" ", c.cast("string"), F.lit(w))) for c, w in parts])
-    return F.when(found == "", text).otherwise(F.concat(text, F.lit(" [Patrones: "), found, F.lit("]")))
+    full = F.when(found == "", text).otherwise(F.concat(text, F.lit(" [Patrones: "), found, F.lit("]")))
+    return prepared(messages, source).withColumn(name, full).select(*messages.columns, name)
 
 
 def valid_patterns(spark: SparkSession, patterns: dict[str, str]) -> dict[str, str]:
@@ -186,8 +169,9 @@ def _named_struct(name: str, java: str, n: int):
     def one(hit, i):
         value = hit
         if n:
-            groups = F.filter(_group_values(hit, java, n), lambda g: g != "")
-            value = F.coalesce(F.get(groups, F.lit(0)), hit)
+            refs = _SEP.join(f"${k}" for k in range(1, n + 1))
+            groups = F.split(F.regexp_replace(hit, F.lit(java), F.lit(refs)), _SEP)
+            value = F.coalesce(F.get(F.filter(groups, lambda g: g != ""), F.lit(0)), hit)
         return F.struct(F.lit(name).alias("name"), i.alias("ord"), value.alias("value"))
 
     return one

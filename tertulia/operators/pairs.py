@@ -98,9 +98,12 @@ def build_pairs(messages: DataFrame, neg_ratio: int = 2, max_prev: int = 10, see
 
 def hashed_embedding(messages: DataFrame, keys: list[str], size: int = 256, text: str = "text") -> DataFrame:
     """Term-hash vector of each text, as a plain array; a stand-in where no embedding column is given."""
-    slot = F.transform(X.words(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    vec = lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("float"))
-    return messages.select(*keys, vec(slot).alias("embedding"))
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    words = messages.select(*keys, X.words(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
+    out = HashingTF(numFeatures=size, inputCol="_w", outputCol="_v").transform(words)
+    return out.select(*keys, vector_to_array("_v", "float32").alias("embedding"))
 
 
 def nearest_in_chat(queries: DataFrame, targets: DataFrame, top_k_rows: int = 50, block: int = 4096) -> DataFrame:

@@ -153,8 +153,7 @@ def clean_tokens(text: Column | str, stem: bool = False) -> Column:
     """Lower-case words of three letters or more, no digits, no function words."""
     t = F.lower(F.col(text) if isinstance(text, str) else text)
     t = F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " "), r"[0-9]+", "")
-    stop = F.array(*[F.lit(w) for w in X.STOP_WORDS])
-    words = F.filter(F.split(F.trim(t), r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    words = F.filter(F.split(F.trim(t), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(X.STOP_WORDS))
     if stem:
         words = F.transform(words, lambda w: F.regexp_replace(w, r"(amente|mente|ciones|ción|adores|ador|ando|iendo|ados|adas|ado|ada|idos|idas|ido|ida|os|as|es|o|a|e)$", ""))
     return words

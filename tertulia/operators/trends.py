@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .matches import pattern_counts
+from .matches import pattern_counts, prepared
 from .ranking import median_of_counts, ordered_rank, time_slice, value_counts
 
 TREND_KEYS = ["monedas_explicitas", "urls_raw", "hashtags", "mentions", "emails", "phone_numbers",
@@ -93,7 +93,7 @@ def message_flags(messages: DataFrame) -> DataFrame:
     any_date = dates[0] > 0
     for d in dates[1:]:
         any_date = any_date | (d > 0)
-    return messages.select(
+    return prepared(messages).select(
         "chat_id", "id", "ts",
         (n["monedas_explicitas"] > 0).alias("financial"),
         any_date.alias("temporal"),

@@ -130,7 +130,7 @@ p AS (SELECT id, text, array_to_string(list_filter([
     CASE WHEN ments > 0 THEN ments || ' menciones' END], lambda x: x IS NOT NULL), ', ') AS s FROM c)
 SELECT id, CASE WHEN s = '' THEN text ELSE text || ' [Patrones: ' || s || ']' END AS enriched FROM p""")
 def r47(spark, d):
-    return event_messages(spark, d).select("id", M.enrich_text("text").alias("enriched"))
+    return M.enrich_text(event_messages(spark, d)).select("id", "enriched")
 
 
 def _named_sql(patterns) -> str:

@@ -17,10 +17,7 @@ def write_messages(messages: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def export_documents(messages: DataFrame) -> DataFrame:
-    """Nested export document per chat, for chats small enough to be one document.
-
-    A JSON document is one value; chats beyond that are written by `write_messages`.
-    """
+    """Nested export document per chat.  Only for chats of bounded size; see `write_export`."""
     cols = [c for c in messages.columns if c not in ("chat_id", "chat_name")]
     g = messages.groupBy("chat_id", "chat_name").agg(
         F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "id", F.struct(*cols).alias("m")))).alias("s"))
@@ -30,8 +27,14 @@ def export_documents(messages: DataFrame) -> DataFrame:
                     F.transform("s", lambda x: x["m"]).alias("messages"))
 
 
-def write_export(messages: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    export_documents(messages).write.mode(mode).option("timestampFormat", ISO).partitionBy("chat_folder").json(path)
+def write_export(messages: DataFrame, path: str, mode: str = "errorifexists", document_limit: int = 50000) -> None:
+    """Chats as nested documents; chats above the limit as JSON lines, since one document is one value in one task."""
+    sizes = messages.groupBy("chat_id").agg(F.count("*").alias("_n"))
+    large = sizes.filter(F.col("_n") > document_limit).select("chat_id")
+    small = messages.join(large, "chat_id", "left_anti")
+    export_documents(small).write.mode(mode).option("timestampFormat", ISO).partitionBy("chat_folder").json(f"{path}/documents")
+    if not large.isEmpty():
+        write_messages(messages.join(large, "chat_id", "left_semi"), f"{path}/lines", mode)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -72,7 +72,7 @@ def test_first_non_empty_group_is_the_value(spark):
 
 
 def test_enriched_text(spark):
-    got = {r.id: r.e for r in frame(spark).select("id", M.enrich_text("text").alias("e")).collect()}
+    got = {r.id: r.e for r in M.enrich_text(frame(spark), name="e").collect()}
     assert got[5].endswith("[Patrones: 1 enlaces, 1 hashtags, 1 menciones]")
 
 

@@ -59,8 +59,11 @@ def test_sinks_round_trip(spark, tmp_path):
     K.write_messages(m, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
     K.write_export(m, str(tmp_path / "docs"))
-    folders = [p.name for p in (tmp_path / "docs").iterdir() if p.name.startswith("chat_folder")]
-    assert any("Ventas_ uno" in f or "Ventas%3A" not in f for f in folders)
+    docs = spark.read.json(str(tmp_path / "docs" / "documents")).collect()
+    assert {(r.chat_folder, r.metadata.total_messages) for r in docs} == {("Ventas_ uno", 2), ("b_2024-01-01_2024-02-01", 1)}
+    K.write_export(m, str(tmp_path / "mixed"), document_limit=1)
+    assert spark.read.json(str(tmp_path / "mixed" / "documents")).count() == 1
+    assert spark.read.json(str(tmp_path / "mixed" / "lines")).count() == 2
     done = K.append_predictions(m, str(tmp_path / "pred"), ["id"], lambda d: d.select("id"), None)
     again = K.append_predictions(m, str(tmp_path / "pred"), ["id"], lambda d: d.select("id"), done)
     assert again.count() == 3
