@@ -107,6 +107,15 @@ def extract(messages: DataFrame, alarms: DataFrame, per_pattern: int | None = 10
     return hits
 
 
+def link_labels(hits: DataFrame, is_link: Column) -> DataFrame:
+    """Hits with the label in place of the link where the pattern is named after links; each link is labelled once."""
+    from .links import labels
+
+    marked = hits.withColumn("_link", F.when(is_link, F.col("value")))
+    named = labels(marked.filter("_link is not null").select(F.col("_link").alias("url"))).select(F.col("url").alias("_link"), "label")
+    return marked.join(named, "_link", "left").withColumn("value", F.coalesce("label", "value")).drop("_link", "label")
+
+
 def extract_all_keys(messages: DataFrame, alarms: DataFrame, per_key: int | None = 5) -> DataFrame:
     """Every built-in rule, for alarms that ask for it with a pattern of type 'global'."""
     asks = alarms.filter(F.exists("patterns", lambda p: p["type"] == "global"))

@@ -154,7 +154,8 @@ def likely_edges(nodes: DataFrame, window: int = WINDOW, threshold: float = THRE
 
 def reply_edges(messages: DataFrame, with_patterns: bool = True) -> DataFrame:
     """Explicit and likely reply edges between message ids."""
-    return explicit_edges(messages).unionByName(likely_edges(message_nodes(messages, with_patterns)))
+    nodes = materialize(message_nodes(messages, with_patterns), "message_nodes")  # read twice by the lookback
+    return explicit_edges(messages).unionByName(likely_edges(nodes))
 
 
 def roots(messages: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import text as X
 from ..rules import lexicon as L
+from ..session import materialize
 
 
 def _fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
@@ -177,8 +178,8 @@ def transitions(tokens: DataFrame, min_count: int = 2) -> DataFrame:
     """
     vocab = vocabulary(tokens, min_count).select("token")
     pairs = tokens.select("label", F.explode(bigrams("tokens")).alias("b")).groupBy("label", "b.cur", "b.nxt").agg(F.count("*").alias("n"))
-    known = pairs.join(vocab.withColumnRenamed("token", "cur"), "cur", "left_semi").join(
-        vocab.withColumnRenamed("token", "nxt"), "nxt", "left_semi")
+    known = materialize(pairs.join(vocab.withColumnRenamed("token", "cur"), "cur", "left_semi").join(
+        vocab.withColumnRenamed("token", "nxt"), "nxt", "left_semi"), "word_pairs")
     totals = known.groupBy("label", "cur").agg(F.sum("n").alias("total"))
     return known.join(totals, ["label", "cur"]).select("label", "cur", "nxt", (F.col("n") / F.col("total")).alias("p"))
 

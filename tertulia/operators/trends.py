@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
 from .matches import pattern_counts, prepared
 from .ranking import median_of_counts, ordered_rank, time_slice, value_counts
 
@@ -31,10 +32,10 @@ def price_series(matches: DataFrame) -> DataFrame:
 def price_statistics(series: DataFrame) -> DataFrame:
     """Count, min, max, mean, median and sample deviation per currency.
 
-    Equal prices are counted first, so the message scan runs once and each
-    measure works on the distinct prices.
+    Equal prices are counted first and the counts are written down, so the
+    message scan runs once and each measure works on the distinct prices.
     """
-    counts = value_counts(series, ["currency"], "price")
+    counts = materialize(value_counts(series, ["currency"], "price"), "price_counts")
     c, v = F.col("_c"), F.col("_v")
     base = counts.groupBy("currency").agg(
         F.sum(c).alias("n"), F.min(v).alias("min_price"), F.max(v).alias("max_price"),
@@ -52,7 +53,8 @@ def price_statistics(series: DataFrame) -> DataFrame:
 def price_trend(series: DataFrame) -> DataFrame:
     """Mean of the later half against the earlier half, in (ts, id, ord) order, with a 10 % band."""
     order = ["ts", "chat_id", "id", "ord"]
-    r = ordered_rank(series, ["currency"], order, time_slice("ts"))
+    # read twice below, once for the slice counts; without this the texts would be scanned twice
+    r = ordered_rank(materialize(series, "price_series"), ["currency"], order, time_slice("ts"))
     early = F.col("rn") <= F.floor(F.col("n") / 2)
     halves = r.groupBy("currency").agg(
         F.count("*").alias("n"),
@@ -207,14 +209,16 @@ def executive_summary(messages: DataFrame, matches: DataFrame, flags: DataFrame)
         F.min(F.struct((-F.col("n")).alias("neg"), "currency")).alias("cur"),
         F.count_if(F.col("volatility") > F.col("avg_price") * 0.5).alias("spikes"),
     )
-    hours = flags.filter(F.col("ts").isNotNull()).groupBy(F.hour("ts").alias("hour")).agg(
-        F.count("*").alias("n"), F.count_if("financial").alias("fin")
-    ).agg(
-        F.min(F.struct((-F.col("n")).alias("neg"), "hour")).alias("peak"),
-        F.min(F.when(F.col("fin") > 0, F.struct((-F.col("fin")).alias("neg"), F.col("hour").alias("hour")))).alias("best"),
+    # one pass over the flags: per hour first, messages without a time under a null hour
+    per_hour = flags.groupBy(F.hour("ts").alias("hour")).agg(
+        F.count("*").alias("n"), F.count_if("financial").alias("fin"), F.count_if((F.col("phones") > 2) | (F.col("emails") > 2)).alias("bad"))
+    timed = F.col("hour").isNotNull()
+    hours = per_hour.agg(
+        F.min(F.when(timed, F.struct((-F.col("n")).alias("neg"), F.col("hour").alias("hour")))).alias("peak"),
+        F.min(F.when(timed & (F.col("fin") > 0), F.struct((-F.col("fin")).alias("neg"), F.col("hour").alias("hour")))).alias("best"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("suspicious"),
     )
-    risk = flags.agg(F.count_if((F.col("phones") > 2) | (F.col("emails") > 2)).alias("suspicious"))
-    one = money.join(F.broadcast(hours)).join(F.broadcast(risk))  # one row each
+    one = money.join(F.broadcast(hours))  # one row each
     fs = F.format_string
     return one.select(F.explode(_lines(
         ("key_findings", F.when(F.col("cur").isNotNull(), fs("Moneda más mencionada: %s (%d referencias)", F.col("cur.currency"), -F.col("cur.neg")))),

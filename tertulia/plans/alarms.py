@@ -84,6 +84,13 @@ def w01(spark, d):
         "alarm_id", "name", "n", F.coalesce(F.array_join(F.transform("s", lambda x: x["value"]), "|"), F.lit("")).alias("found"))
 
 
+@query("w03_link_labels", HITS + """ SELECT h.alarm_id, h.id, CASE WHEN h.name <> 'Enlaces' THEN h.value WHEN starts_with(h.value, 'https://tienda.') THEN '[🔗 Enlace a Example]'
+  WHEN starts_with(h.value, 'https://github.') THEN '[🐛 Issue de GitHub de ' || regexp_extract(h.value, 'com/(u[0-9]+)/', 1) || '/r - Archivo: ' || regexp_extract(h.value, '([0-9]+)$', 1) || ']'
+  ELSE '[🎥 Video de YouTube - ID: ' || regexp_extract(h.value, 'v=(.*)$', 1) || ']' END AS value FROM hits h""")
+def w03(spark, d):
+    return A.extract(event_messages(spark, d), alarms(spark, d), 10, label=A.link_labels).select("alarm_id", "id", "value")
+
+
 _GLOBAL = " UNION ALL ".join(
     f"SELECT alarm_id, 'Global_{r.key}' AS name, ts, id, generate_subscripts(a, 1) - 1 AS ord, unnest(a) AS value FROM (SELECT *, {hits_sql(r)} AS a FROM inr WHERE k % 3 = 2)" for r in RULES)
 
@@ -172,6 +179,42 @@ def w13(spark, d):
     return m.select("id", A.notification(F.concat(F.lit("Chat "), F.col("chat_id").cast("string")), F.col("text")).alias("notice"))
 
 
+_STREAM_KEYS = ["hashtags", "emails", "monedas_explicitas"]
+_STREAM = " UNION ALL ".join(
+    f"SELECT id, '{k}' AS key, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS ord, unnest(a) AS value FROM (SELECT id, {hits_sql(BY_KEY[k])} AS a FROM messages)" for k in _STREAM_KEYS)
+
+
+def _stream_messages(spark, d):
+    """The event messages as a stream over the parquet file."""
+    from .inputs import as_event_messages
+
+    schema = table(spark, d, "events").schema
+    return as_event_messages(SA.read_message_stream(spark, f"{d}/events.parquet*", schema))
+
+
+def _run_once(df, name):
+    """Run a stream over what is there and read back what it wrote."""
+    import os
+    import uuid
+
+    from ..session import shared_dir
+
+    base = os.path.join(shared_dir(df.sparkSession), df.sparkSession.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+    SA.write_hits(df, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/table")
+
+
+@query("w14_pattern_stream", f"WITH {EVENT_MESSAGES} {_STREAM}")
+def w14(spark, d):
+    hits = SA.pattern_stream(_stream_messages(spark, d), keys=_STREAM_KEYS)
+    return _run_once(hits.select("id", "key", F.col("ord").cast("long").alias("ord"), "value"), "pattern_stream")
+
+
+@query("w17_deduplicated_stream", f"WITH {EVENT_MESSAGES} SELECT chat_id, id FROM messages")
+def w17(spark, d):
+    return _run_once(SA.deduplicated(_stream_messages(spark, d)).select("chat_id", "id"), "deduplicated")
+
+
 @query("w15_hourly_windows", f"WITH {EVENT_MESSAGES} SELECT chat_id, epoch_us(date_trunc('hour', ts)) AS start, count(*) AS n FROM messages GROUP BY 1, 2")
 def w15(spark, d):
     return SA.hourly_windows(event_messages(spark, d), delay="").select("chat_id", F.unix_micros("start").alias("start"), "n")

@@ -54,7 +54,10 @@ CURRENCY_BY_REMAINDER = ["usd", "mn", "mlc", "eur"]
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as chat messages: chat_id, id, sender_id, user_key, sender_name, ts, text."""
-    e = text_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return as_event_messages(text_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value"))
+
+
+def as_event_messages(e: DataFrame) -> DataFrame:
     m = (F.col("event_id") % 90 + 10).cast("string")
     tail = F.replace(
         F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.col("event_id") % len(TAILS) + 1).cast("int")),
