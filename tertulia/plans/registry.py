@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import alarms, extraction, graph, links, pairs, scoring, trends  # noqa: F401
+    from . import alarms, extraction, graph, links, pairs, scoring, storage, trends  # noqa: F401
