@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from ..session import materialize
+from ..session import GrowingTable, materialize
 from .matches import match_array, prepared
 from .ranking import lookback, ordered_rank, time_slice, top_k
 
@@ -189,7 +189,8 @@ def thread_members(messages: DataFrame, edges: DataFrame, hops: int = 8) -> Data
     step = shortcuts(e, hops)
     start = roots(messages, e).select(
         "chat_id", F.col("id").alias("root_id"), F.col("id").alias("msg_id"), F.lit(0).alias("level"))
-    members = frontier = materialize(start, "members")
+    table = GrowingTable(messages.sparkSession, "members")
+    frontier = table.append(start)
     base = 0
     while True:
         reached = (
@@ -197,12 +198,11 @@ def thread_members(messages: DataFrame, edges: DataFrame, hops: int = 8) -> Data
             .select(frontier.chat_id, "root_id", F.col("dst").alias("msg_id"), (F.col("level") + F.col("d")).alias("level"))
             .groupBy("chat_id", "root_id", "msg_id").agg(F.min("level").alias("level"))
         )
-        new = materialize(reached.join(members, ["chat_id", "root_id", "msg_id"], "left_anti"), "members")
+        new = table.append(reached.join(table.read(), ["chat_id", "root_id", "msg_id"], "left_anti"))
         base += hops
         frontier = new.filter(F.col("level") == base)
-        members = members.unionByName(new)
         if frontier.isEmpty():
-            return members
+            return table.read()
 
 
 def threads(members: DataFrame, nodes: DataFrame) -> DataFrame:

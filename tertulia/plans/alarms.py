@@ -194,12 +194,9 @@ def _stream_messages(spark, d):
 
 def _run_once(df, name):
     """Run a stream over what is there and read back what it wrote."""
-    import os
-    import uuid
+    from ..session import new_table_path
 
-    from ..session import shared_dir
-
-    base = os.path.join(shared_dir(df.sparkSession), df.sparkSession.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+    base = new_table_path(df.sparkSession, name)
     SA.write_hits(df, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/table")
 

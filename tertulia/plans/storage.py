@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import alarms as A, graph as G, pairs as P, sentiment as M, threads as H
-from ..session import shared_dir
+from ..session import new_table_path
 from ..sources import exports as S, sinks as K
 from ..streaming import alarms as SA
 from .alarms import ALARMS, IN_RANGE, _stream_messages, alarms
@@ -20,7 +17,7 @@ from .scoring import TOKENS, labelled_tokens
 
 
 def fresh(spark, name: str) -> str:
-    return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+    return new_table_path(spark, name)
 
 
 def exported(spark, d) -> str:

@@ -42,6 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def new_table_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder nobody else writes to."""
+    return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
+
+
+class GrowingTable:
+    """A table that gains one part per round of an iterative job.
+
+    All parts lie under one folder, so the plan that reads them stays the same
+    size however many rounds there are.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.parts, self.schema = spark, new_table_path(spark, label), 0, None
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write one part and return it."""
+        part = os.path.join(self.path, f"part={self.parts}")
+        df.write.parquet(part)
+        self.parts += 1
+        self.schema = df.schema
+        return self.spark.read.schema(self.schema).parquet(part)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -50,9 +77,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     loss of any executor.
     """
     spark = df.sparkSession
-    path = os.path.join(
-        shared_dir(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}"
-    )
+    path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
