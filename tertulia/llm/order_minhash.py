@@ -15,10 +15,11 @@ m / (a + b - m) >= 0.8.
 
 Equal word sequences form classes first, and only class representatives are
 compared.  In every bucket the least member is compared with all others; only
-where a bucket then still holds several groups are members outside its largest
-group compared with members of other groups.  So a group of near copies costs
+where a bucket then still holds several groups are members of different groups
+compared.  So a group of near copies costs
 comparisons in proportion to its size, and every candidate pair of different
-texts ends up linked, connected otherwise, or compared and refused.
+texts ends up linked, connected otherwise, or compared and refused.  The second
+round works on blocks of a bucket and hands on only links that join groups.
 
 Texts without words (null, empty, blank) are like nothing, not even each other.
 Rows are told apart by a row number of the scan: the input must be a stored
@@ -44,6 +45,8 @@ SIMILARITY = 0.8
 TABLES = 36
 # least number of shingles: shingles in a sketch.  Texts just above a bound have sketches of both sizes.
 SKETCH_SIZES = {1: 1, 16: 4, 64: 8}
+BLOCK = 256  # members of a bucket compared at once
+COLUMNS = 4096
 NULL_KEY = -(1 << 63)
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64))[:, None]
@@ -172,6 +175,77 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def compare_all(uids: list[int], roots: list[int], blocks: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+    """Links that join different groups among the members of one block, or of two blocks (then across them only).
+
+    Shared shingles of all pairs are counted by products of 0-1 matrices, some
+    columns at a time; pairs that share enough are aligned unless already joined.
+    """
+    column = pa.array(bodies, pa.binary())
+    shingles, bounds = labelled_shingles(*bytes_of(column))
+    size, n = np.diff(bounds), len(uids)
+    of = np.repeat(np.arange(n), size)
+    _, slot, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = often[slot] > 1
+    slot, of = np.unique(slot[shared], return_inverse=True)[1], of[shared]
+    order = np.argsort(slot, kind="stable")
+    slot, of, common = slot[order], of[order], np.zeros((n, n), np.float32)
+    for a in range(0, int(slot[-1]) + 1 if len(slot) else 0, COLUMNS):
+        part = slice(*np.searchsorted(slot, [a, a + COLUMNS]))
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[of[part], slot[part] - a] = 1
+        common += x @ x.T
+    block = np.array(blocks)
+    across = block[:, None] != block[None, :] if (block != block[0]).any() else np.triu(np.ones((n, n), bool), 1)
+    enough = (common >= SIMILARITY * (size[:, None] + size[None, :] - common) - 1e-3) & np.triu(across) & (np.array(roots)[:, None] != np.array(roots)[None, :])
+    parent: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            r = up
+        return r
+
+    out = []
+    for i, j in np.argwhere(enough).tolist():
+        a, b = root(roots[i]), root(roots[j])
+        if a != b and alike(shingles[bounds[i]:bounds[i + 1]], shingles[bounds[j]:bounds[j + 1]]):
+            parent[max(a, b)] = min(a, b)
+            out.append((uids[i], uids[j]))
+    return out
+
+
+def settle_blocks(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (u, v) between different groups inside buckets, given bucket, uid, root and the bucket's size.
+
+    Buckets are cut into blocks of about BLOCK members; a task compares one
+    block with itself or with another one.
+    """
+    body = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).cast("binary").alias("body"))
+    count = F.ceil(F.col("size") / BLOCK)
+    cut = members.withColumn("block", F.pmod(F.xxhash64("uid", "bucket"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    placed = cut.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "root").join(body, "uid")
+    names = ["bucket", "i", "j", "uid", "root", "block", "body"]
+
+    def run(batches):
+        rows, last = [], None
+
+        def out():
+            found = compare_all(*zip(*[r[3:] for r in rows]))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in names)):
+                if rows and r[:3] != last:
+                    yield out()
+                    rows = []
+                last = r[:3]
+                rows.append(r)
+        if rows:
+            yield out()
+
+    return placed.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "uid").mapInArrow(run, "u long, v long")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """uid, ord, class_uid (first row with the same words) and root (the group's first row) of every row."""
     rows = materialize(sketch(docs, key, text), "sketches")
@@ -187,15 +261,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     roots = connected(links)
     # buckets that still hold several groups: members outside the largest one against those of other groups
     named = shared.join(roots, shared["uid"] == roots["node"], "left").select("bucket", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("groups")).filter("groups > 1").select("bucket", F.col("m.root").alias("main"))
+    mixed = named.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(
+        F.sum("c").alias("size"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
     open_members = materialize(named.join(mixed, "bucket"), "mixed")
-    x, y = (open_members.select("bucket", "main", *[F.col(c).alias(c + s) for c in ("uid", "n", "root")]) for s in ("_x", "_y"))
-    others = x.filter(F.col("root_x") != F.col("main")).drop("main").join(y, "bucket").filter(
-        (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("uid_x") < F.col("uid_y"))) & close(F.col("n_x"), F.col("n_y")))
-    rest = others.select(F.least("uid_x", "uid_y").alias("u"), F.greatest("uid_x", "uid_y").alias("v")).distinct()
-    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialize(verify(materialize(rest.join(tried, ["u", "v"], "left_anti"), "pairs"), docs, text), "links")
+    more = materialize(settle_blocks(open_members, docs, text), "links")
     roots = connected(links.unionByName(more)) if not more.isEmpty() else roots
     grouped = classes.join(roots, classes["uid"] == roots["node"], "left").select(
         "digest", "ord", F.col("uid").alias("class_uid"), F.coalesce("root", "uid").alias("component"))
