@@ -47,6 +47,7 @@ TABLES = 36
 SKETCH_SIZES = {1: 1, 16: 4, 64: 8}
 BLOCK = 256  # members of a bucket compared at once
 COLUMNS = 4096
+FILTER_BITS = 1 << 25
 NULL_KEY = -(1 << 63)
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64))[:, None]
@@ -160,9 +161,32 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return numbered.mapInArrow(run, "uid long, ord long, digest binary, n long, keys array<long>")
 
 
+def bodies_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """uid and body of the rows whose ``uid`` is in ``wanted``, and of few others, so that a join need not shuffle all texts.
+
+    A bitmap of FILTER_BITS hashed row numbers goes to the tasks (4 MB however
+    many there are; with very many it lets more rows through).
+    """
+    h = F.pmod(F.xxhash64("uid"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    marks = wanted.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    size = 1 << 12
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in marks.toLocalIterator():
+        bitmap[(r["part"] - 1) * size:r["part"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).cast("binary").alias("body")).withColumn("h", h)
+
+    def run(batches):
+        for b in batches:
+            bit = b.column("h").to_numpy() - 1
+            on = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            yield b.select(["uid", "body"]).filter(pa.array(on))
+
+    return rows.mapInArrow(run, "uid long, body binary")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Of pairs (u, v) of row numbers those whose texts are alike."""
-    body = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).cast("binary").alias("body"))
+    """Of stored pairs (u, v) of row numbers those whose texts are alike."""
+    body = bodies_of(docs, text, pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))))
     both = pairs.join(body.withColumnsRenamed({"uid": "u", "body": "a"}), "u").join(body.withColumnsRenamed({"uid": "v", "body": "b"}), "v")
 
     def run(batches):
@@ -220,7 +244,7 @@ def settle_blocks(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     Buckets are cut into blocks of about BLOCK members; a task compares one
     block with itself or with another one.
     """
-    body = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).cast("binary").alias("body"))
+    body = bodies_of(docs, text, members.select("uid"))
     count = F.ceil(F.col("size") / BLOCK)
     cut = members.withColumn("block", F.pmod(F.xxhash64("uid", "bucket"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     placed = cut.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "root").join(body, "uid")
