@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .matches import _group_count, _named_struct, extract_matches, valid_patterns
+from .matches import _group_count, named_hits, extract_matches, valid_patterns
 from .ranking import top_k
 
 MAX_PATTERNS = 2000
@@ -80,7 +80,7 @@ def _literal_hits(spark, alarms: DataFrame) -> Column:
     out = None
     for p in valid_patterns(spark, {p: p for p in found}):
         java = "(?iU)" + p
-        hits = F.transform(F.regexp_extract_all(F.col("text"), F.lit(java), F.lit(0)), _named_struct("", java, _group_count(spark, java)))
+        hits = named_hits(F.col("text"), "", java, _group_count(spark, java))
         cond = F.col("pattern") == p
         out = F.when(cond, hits) if out is None else out.when(cond, hits)
     empty = F.array().cast("array<struct<name:string,ord:int,value:string>>")

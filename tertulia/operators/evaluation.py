@@ -158,7 +158,7 @@ def score(model, pairs: DataFrame) -> DataFrame:
 def isolation_forest(pairs: DataFrame, ident: Column, trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42):
     """Isolation trees grown in parallel, one small sample per tree.
 
-    Each row draws the trees it serves; a tree keeps the `sample` rows of
+    Each row draws a number per tree; a tree keeps the `sample` rows of
     lowest draw.  Returns (tree table, score function): the trees together are
     at most trees * 2 * sample nodes, which bounds what scoring ships around.
     """
@@ -166,13 +166,10 @@ def isolation_forest(pairs: DataFrame, ident: Column, trees: int = 100, sample:
     from .pairs import draw
 
     n = pairs.count()
-    if n > 8 * trees * sample:  # many rows: each serves one tree, and only a thin draw of them goes on
-        share = int(2147483647 * 8.0 * trees * sample / n)
-        asks = pairs.select("vector", ident.alias("_i")).withColumn("_d", draw(seed, F.col("_i"))).filter(F.col("_d") < share).withColumn(
-            "tree", (draw(seed + 1, F.col("_i")) % trees).cast("int"))
-    else:  # few rows: each may serve every tree
-        asks = pairs.select("vector", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), ident.alias("_i")).withColumn(
-            "_d", draw(seed, F.col("_i"), F.col("tree")))
+    # every row draws for every tree; eight times the sample is enough to hold the lowest draws
+    share = 2147483647 * min(1.0, 8.0 * sample / max(n, 1))
+    asks = pairs.select("vector", ident.alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn(
+        "_d", draw(seed, F.col("_i"), F.col("tree"))).filter(F.col("_d") <= share)
     w = W.partitionBy("tree").orderBy("_d", "_i")
     rows = asks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).select("tree", "vector")
 

@@ -233,7 +233,6 @@ def components(messages: DataFrame, edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("chat_id", F.col("src").alias("u"), F.col("dst").alias("v")).filter(F.col("u") != F.col("v"))
     cur = materialize(_star_edges(pairs), "cc")
-    before = None
     while True:
         # large star: neighbours greater than u link to the least of u and its neighbours
         both = cur.unionByName(cur.select("chat_id", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -247,11 +246,11 @@ def components(messages: DataFrame, edges: DataFrame) -> DataFrame:
             "chat_id", F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")),
                                          F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")
         ).select("chat_id", "e.u", "e.v")
-        cur = materialize(_star_edges(small), "cc")
-        mark = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("chat_id", "u", "v") % 1000003), F.lit(0))).first()
-        if mark == before:
+        after = materialize(_star_edges(small), "cc")
+        same = after.count() == cur.count() and after.join(cur, ["chat_id", "u", "v"], "left_anti").isEmpty()
+        cur = after
+        if same:
             break
-        before = mark
     label = cur.groupBy("chat_id", F.col("v").alias("id")).agg(F.min("u").alias("component"))
     return messages.select("chat_id", "id").join(label, ["chat_id", "id"], "left").select(
         "chat_id", "id", F.coalesce("component", "id").alias("component"))

@@ -157,24 +157,25 @@ def named_matches(messages: DataFrame, patterns: dict[str, str], text: str = "te
     arrays = []
     for name, regex in patterns.items():
         java = "(?iU)" + regex
-        n = _group_count(messages.sparkSession, java)
-
-        arrays.append(F.transform(F.regexp_extract_all(F.col(text), F.lit(java), F.lit(0)), _named_struct(name, java, n)))
+        arrays.append(named_hits(F.col(text), name, java, _group_count(messages.sparkSession, java)))
     if not arrays:
         arrays = [F.array().cast("array<struct<name:string,ord:int,value:string>>")]
     return messages.select(*keep, F.explode(F.concat(*arrays)).alias("h")).select(*keep, "h.*")
 
 
-def _named_struct(name: str, java: str, n: int):
-    def one(hit, i):
-        value = hit
-        if n:
-            refs = _SEP.join(f"${k}" for k in range(1, n + 1))
-            groups = F.split(F.regexp_replace(hit, F.lit(java), F.lit(refs)), _SEP)
-            value = F.coalesce(F.get(F.filter(groups, lambda g: g != ""), F.lit(0)), hit)
-        return F.struct(F.lit(name).alias("name"), i.alias("ord"), value.alias("value"))
+def named_hits(text: Column, name: str, java: str, n: int) -> Column:
+    """Hits of one pattern with n groups.
+
+    Groups are taken where the pattern matched in the text, so what stands
+    around a hit still counts for look-ahead and look-behind.
+    """
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(java), F.lit(k)).alias(f"g{k}") for k in range(n + 1)])
+
+    def one(m, i):
+        groups = [F.when(m[f"g{k}"] != "", m[f"g{k}"]) for k in range(1, n + 1)]
+        return F.struct(F.lit(name).alias("name"), i.alias("ord"), F.coalesce(*groups, m["g0"]).alias("value"))
 
-    return one
+    return F.transform(found, one)
 
 
 def _group_count(spark: SparkSession, regex: str) -> int:

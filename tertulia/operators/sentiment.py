@@ -241,14 +241,14 @@ def useful_patterns(polarity: DataFrame, min_support: int = 4, min_strength: flo
     return polarity.filter((F.col("total") >= min_support) & (F.abs("polarity_strength") >= min_strength)).orderBy("polarity_strength", "pattern")
 
 
-def tfidf_logistic(train: DataFrame, max_terms: int = 1 << 18):
-    """Term weights and a logistic model on (tokens, label)."""
+def tfidf_logistic(train: DataFrame, width: int = 1 << 18):
+    """Term weights and a logistic model on (tokens, label).  All terms count, hashed to ``width`` places."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, IDF
+    from pyspark.ml.feature import HashingTF, IDF
 
     return Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_terms),
+        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=width),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", maxIter=100),
+        LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000),
     ]).fit(train)

@@ -20,14 +20,17 @@ def fresh(spark, name: str) -> str:
     return new_table_path(spark, name)
 
 
-def exported(spark, d) -> str:
-    """Conversation messages written as chat exports; returns the pattern of their files."""
+def _to_export(spark, d):
     m = conversation_messages(spark, d)
-    out = m.select("chat_id", F.concat(F.lit("Chat: "), F.col("chat_id").cast("string")).alias("chat_name"), "id", "sender_name", "text", "reply_id", "ts",
+    return m.select("chat_id", F.concat(F.lit("Chat: "), F.col("chat_id").cast("string")).alias("chat_name"), "id", "sender_name", "text", "reply_id", "ts",
                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("date"))
+
+
+def exported(spark, d) -> str:
+    """Conversation messages written as indented chat documents; returns the pattern of their files."""
     base = fresh(spark, "exports")
-    K.write_export(out, base)
-    return f"{base}/documents/*/*.json"
+    K.write_documents(_to_export(spark, d), base)
+    return f"{base}/*/*.txt"
 
 
 @query("s01_export_scan", f"WITH {CONVERSATION_MESSAGES} SELECT 'Chat: ' || chat_id AS chat_name, id, sender_name, reply_id, epoch_us(ts) AS ts, text FROM messages")
@@ -36,6 +39,13 @@ def s01(spark, d):
         F.col("export_name").alias("chat_name"), "id", "sender_name", "reply_id", F.unix_micros("ts").alias("ts"), "text")
 
 
+@query("s01b_message_lines", f"WITH {CONVERSATION_MESSAGES} SELECT 'Chat: ' || chat_id AS chat_name, id, sender_name, reply_id, epoch_us(ts) AS ts, text FROM messages")
+def s01b(spark, d):
+    base = fresh(spark, "export-lines")
+    K.write_export(_to_export(spark, d), base)
+    return S.read_message_lines(spark, base).select("chat_name", "id", "sender_name", "reply_id", F.unix_micros("ts").alias("ts"), "text")
+
+
 @query("s03_export_directory", f"WITH {CONVERSATION_MESSAGES} SELECT chat_id, count(*) AS messages FROM messages GROUP BY 1")
 def s03(spark, d):
     # folders sort by chat number here, so the file rank is the chat number

@@ -96,7 +96,7 @@ DATES = [
         r"\b(la\s+semana\s+entrante|la\s+semana\s+siguiente|la\s+que\s+viene|dentro\s+de\s+un\s+rato|más\s+tarde|esta\s+tarde|esta\s+noche)\b",
         r"\b(al\s+día\s+siguiente|al\s+siguiente\s+día|al\s+otro\s+día|al\s+dia\s+siguiente)\b",
         r"\b(ultimamente|últimamente|recientemente|hace\s+poco|hace\s+un\s+tiempo)\b",
-    ), "temporal", True, "group", 1, needs=("la ", "la\t", "la\n", "dentro", "tarde", "esta", "día", "dia", "mente", "hace")),
+    ), "temporal", True, "group", 1, needs=("la", "dentro", "tarde", "esta", "día", "dia", "mente", "hace")),
 ]
 
 RULES = BASIC + MONETARY + DATES

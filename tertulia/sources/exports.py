@@ -8,8 +8,7 @@ from .. import schema as S
 
 
 def _documents(spark: SparkSession, paths) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True)
-    return reader.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    return spark.read.option("ignoreMissingFiles", True).text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def read_exports(spark: SparkSession, paths) -> DataFrame:
@@ -26,7 +25,7 @@ def read_exports(spark: SparkSession, paths) -> DataFrame:
         "file",
         F.when(~is_list, F.from_json("value", S.EXPORT, opts)).alias("doc"),
         F.when(is_list, F.from_json("value", T.ArrayType(S.MESSAGE), opts)).alias("bare"),
-        F.try_parse_json("value").isNotNull().alias("ok"),
+        F.get_json_object("value", "$").isNotNull().alias("ok"),
     ).filter("ok")
     names = docs.select("file")
     ranks = names.select("file", (F.row_number().over(W.orderBy("file")) - 1).cast("long").alias("chat_id"))
@@ -50,6 +49,14 @@ def read_messages(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def read_message_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The ``messages`` table from JSON lines as `sinks.write_export` lays them out; chats of any size are split over tasks."""
+    fields = [f for f in S.MESSAGE.fields if f.name not in ("chat_id", "chat_name")]
+    schema = T.StructType([*fields, T.StructField("chat_id", T.LongType()), T.StructField("chat_name", T.StringType())])
+    raw = spark.read.schema(schema).json(path).withColumn("file", F.col("_metadata.file_path")).withColumn("export_name", F.col("chat_name"))
+    return normalize_messages(raw)
+
+
 def normalize_messages(raw: DataFrame) -> DataFrame:
     """Parse dates once, resolve the two spellings of user and time, drop id-less rows."""
     user = F.coalesce(F.col("sender_id"), F.col("user_id"))

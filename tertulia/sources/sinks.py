@@ -17,24 +17,29 @@ def write_messages(messages: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def export_documents(messages: DataFrame) -> DataFrame:
-    """Nested export document per chat.  Only for chats of bounded size; see `write_export`."""
+    """Nested export document per chat: one document is one value, so use `write_export` for chats of any size."""
     cols = [c for c in messages.columns if c not in ("chat_id", "chat_name")]
     g = messages.groupBy("chat_id", "chat_name").agg(
         F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "id", F.struct(*cols).alias("m")))).alias("s"))
     meta = F.struct(F.col("chat_name"), F.to_date("a").alias("start_date"), F.to_date("b").alias("end_date"), F.col("n").alias("total_messages"),
                     F.current_timestamp().alias("generated_at"))
-    return g.select(sanitize_filename(F.col("chat_name")).alias("chat_folder"), meta.alias("metadata"),
-                    F.transform("s", lambda x: x["m"]).alias("messages"))
-
-
-def write_export(messages: DataFrame, path: str, mode: str = "errorifexists", document_limit: int = 50000) -> None:
-    """Chats as nested documents; chats above the limit as JSON lines, since one document is one value in one task."""
-    sizes = messages.groupBy("chat_id").agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > document_limit).select("chat_id")
-    small = messages.join(large, "chat_id", "left_anti")
-    export_documents(small).write.mode(mode).option("timestampFormat", ISO).partitionBy("chat_folder").json(f"{path}/documents")
-    if not large.isEmpty():
-        write_messages(messages.join(large, "chat_id", "left_semi"), f"{path}/lines", mode)
+    return g.select(_chat_folder().alias("chat_folder"), meta.alias("metadata"), F.transform("s", lambda x: x["m"]).alias("messages"))
+
+
+def _chat_folder() -> Column:
+    """Names that look alike once cleaned stay apart by the chat's number."""
+    return F.concat_ws("-", F.col("chat_id").cast("string"), sanitize_filename(F.col("chat_name")))
+
+
+def write_documents(messages: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One indented JSON document per chat, each in a folder of its own."""
+    body = F.to_json(F.struct("metadata", "messages"), {"pretty": "true", "timestampFormat": ISO})
+    export_documents(messages).select("chat_folder", body.alias("value")).write.mode(mode).partitionBy("chat_folder").text(path)
+
+
+def write_export(messages: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Chats of any size as JSON lines in one folder per chat; `exports.read_message_lines` reads them."""
+    messages.withColumn("chat_folder", _chat_folder()).write.mode(mode).option("timestampFormat", ISO).partitionBy("chat_folder").json(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists") -> None:

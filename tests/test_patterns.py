@@ -1,6 +1,9 @@
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from tertulia.operators import matches as M, summaries as S, trends as T
+from tertulia.rules.patterns import BY_KEY
 
 TEXTS = {
     1: "Vendo laptop entre 100 y 200 usd o 150-180 mlc, escribe a ana@correo.com",
@@ -99,3 +102,24 @@ def test_trend_of_one_price_is_stable(spark):
     df = spark.sql("select 1L chat_id, 1L id, 0 ord, timestamp'2024-01-01' ts, 'usd' currency, 5.0D price")
     assert T.price_trend(df).first().trend == "estable"
     assert T.price_statistics(df).first().volatility == 0.0
+
+
+def test_user_patterns_see_their_surroundings(spark):
+    df = spark.createDataFrame([(1, "precio 25 usd, precio 30 eur"), (2, "sin precio")], "id long, text string")
+    got = M.named_matches(df, {"ahead": r"precio (\d+)(?= usd)", "behind": r"(?<=precio )\d+", "either": r"(usd)|(eur)"})
+    assert sorted((r.id, r.name, r.ord, r.value) for r in got.collect()) == [
+        (1, "ahead", 0, "25"), (1, "behind", 0, "25"), (1, "behind", 1, "30"), (1, "either", 0, "usd"), (1, "either", 1, "eur")]
+
+
+def test_pretests_lose_no_hit(spark):
+    """Every temporal rule over every kind of white space: the rule alone and behind its cheap test find the same."""
+    blanks = [" ", "\t", "\n", "\r\n", "\u00a0", "\u2003", "\u3000", "\x0b"]
+    phrases = ["la semana entrante", "la que viene", "dentro de un rato", "al día siguiente", "hace poco", "esta tarde", "este mes", "el año que viene", "semana pasada",
+               "fin de semana que viene", "en enero", "hace 3 días", "pasado mañana"]
+    rows = [(i, p.replace(" ", b)) for i, (p, b) in enumerate((p, b) for p in phrases for b in blanks)]
+    df = M.prepared(spark.createDataFrame(rows, "id long, text string"))
+    for key, rule in BY_KEY.items():
+        if rule.category == "temporal":
+            alone = dataclasses.replace(rule, needs=(), digit=False)
+            both = df.select(F.size(F.expr(M._hits("text", rule))).alias("a"), F.size(F.expr(M._hits("text", alone))).alias("b"))
+            assert both.filter("a <> b").count() == 0, key

@@ -54,16 +54,33 @@ def test_labelled_csv(spark, tmp_path):
     assert [(r.text, r.label) for r in got] == [("muy, bueno", 1), ("malo", 0)]
 
 
+def test_indented_exports_of_any_size(spark, tmp_path):
+    """Documents with line ends inside, one of several MB, and two chats whose cleaned names are the same."""
+    big = {"metadata": {"chat_name": "a/b"}, "messages": [{"id": i, "text": f"line {i}\n" * 4, "date": "2024-01-01T00:00:00+00:00"} for i in range(60000)]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.json").write_text(json.dumps(big, indent=2))
+    (tmp_path / "in" / "odd.json").write_text(json.dumps({"metadata": {"chat_name": "a:b"}, "messages": [{"id": 1, "text": "x", "date": "2024-01-01T00:00:00+00:00"}]}, indent=2))
+    (tmp_path / "in" / "cut.json").write_text(json.dumps(big, indent=2)[:1000])
+    m = S.read_messages(spark, str(tmp_path / "in"))
+    assert m.groupBy("export_name").count().orderBy("count").collect() == [("a:b", 1), ("a/b", 60000)]
+    named = m.withColumn("chat_name", F.col("export_name")).select("chat_id", "chat_name", "id", "text", "ts")
+    K.write_documents(named, str(tmp_path / "out"))
+    back = S.read_messages(spark, str(tmp_path / "out" / "*" / "*.txt"))
+    assert back.count() == 60001 and back.select("chat_id").distinct().count() == 2
+    K.write_export(named, str(tmp_path / "lines"))
+    assert S.read_message_lines(spark, str(tmp_path / "lines")).groupBy("chat_id").count().count() == 2
+
+
 def test_sinks_round_trip(spark, tmp_path):
     m = S.read_messages(spark, export_dir(tmp_path)).withColumn("chat_name", F.col("export_name")).select("chat_id", "chat_name", "id", "text", "ts")
     K.write_messages(m, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
-    K.write_export(m, str(tmp_path / "docs"))
-    docs = spark.read.json(str(tmp_path / "docs" / "documents")).collect()
-    assert {(r.chat_folder, r.metadata.total_messages) for r in docs} == {("Ventas_ uno", 2), ("b_2024-01-01_2024-02-01", 1)}
-    K.write_export(m, str(tmp_path / "mixed"), document_limit=1)
-    assert spark.read.json(str(tmp_path / "mixed" / "documents")).count() == 1
-    assert spark.read.json(str(tmp_path / "mixed" / "lines")).count() == 2
+    K.write_documents(m, str(tmp_path / "docs"))
+    back = S.read_messages(spark, str(tmp_path / "docs" / "*" / "*.txt"))
+    assert {(r.export_name, r.id, r.text) for r in back.collect()} == {(r.chat_name, r.id, r.text) for r in m.collect()}
+    K.write_export(m, str(tmp_path / "lines"))
+    lines = S.read_message_lines(spark, str(tmp_path / "lines"))
+    assert {(r.chat_id, r.export_name, r.id, r.text) for r in lines.collect()} == {(r.chat_id, r.chat_name, r.id, r.text) for r in m.collect()}
     done = K.append_predictions(m, str(tmp_path / "pred"), ["id"], lambda d: d.select("id"), None)
     again = K.append_predictions(m, str(tmp_path / "pred"), ["id"], lambda d: d.select("id"), done)
     assert again.count() == 3
