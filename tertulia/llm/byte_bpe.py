@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, types as T
 from .common import binary, slices
 from .merges import ROWS, PairTable, Recent, merge_rows
 
-CACHE_ENTRIES = 200_000  # pre-tokens a worker remembers
+CACHE_ENTRIES = 120_000  # pre-tokens a worker remembers
 CACHED_CHARS = 64  # longer pre-tokens are not kept
 MARKS = ".,!?;:*%#$&"  # a run of these is one pre-token
 LATIN_END = "\u0250"  # letters before it are letters in every version of Unicode
