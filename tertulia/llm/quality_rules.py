@@ -31,8 +31,8 @@ SPREADS = 6  # interquartile ranges beyond the quartiles
 METRICS = {
     "word_length": (300, True),  # hundredths of code points per word
     "symbol_share": (50, False),  # thousandths of word code points
-    "dup_line_share": (300, False),  # thousandths of lines with a word
-    "repeat_share": (200, False),  # thousandths of words
+    "dup_line_share": (500, False),  # thousandths of lines with a word
+    "repeat_share": (300, False),  # thousandths of words
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
