@@ -28,6 +28,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def numbered(stored: DataFrame, name: str, *columns: Column | str) -> DataFrame:
+    """``name``, the row's number in the scan of a stored table, and ``columns``.
+
+    A scan cuts files by the cores registered when it is planned.  The session
+    keeps the first such number, so that a table read twice has the same row
+    numbers although executors came or went in between.
+    """
+    spark = stored.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return stored.select(F.monotonically_increasing_id().alias(name), *columns)
+
+
 def binary(column: pa.Array) -> pa.Array:
     """Text as UTF-8 bytes, null as empty."""
     if pa.types.is_null(column.type):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import binary, bytes_of, free_name, mix, signed, slices
+from .common import binary, bytes_of, free_name, mix, numbered, signed, slices
 from .links import connected
 
 SHINGLE = 5
@@ -136,8 +136,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """uid, ord (key, nulls first), digest of the words, number of shingles, sketch keys.  Narrow."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("ord"),
-                           F.col(text).cast("binary").alias("body"))
+    rows = numbered(docs, "uid", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("ord"), F.col(text).cast("binary").alias("body"))
 
     def run(batches):
         for whole in batches:
@@ -158,7 +157,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     [part.column("uid"), part.column("ord"), pa.array(digests, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["uid", "ord", "digest", "n", "keys"])
 
-    return numbered.mapInArrow(run, "uid long, ord long, digest binary, n long, keys array<long>")
+    return rows.mapInArrow(run, "uid long, ord long, digest binary, n long, keys array<long>")
 
 
 def bodies_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -173,7 +172,7 @@ def bodies_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in marks.toLocalIterator():
         bitmap[(r["part"] - 1) * size:r["part"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text).cast("binary").alias("body")).withColumn("h", h)
+    rows = numbered(docs, "uid", F.col(text).cast("binary").alias("body")).withColumn("h", h)
 
     def run(batches):
         for b in batches:
@@ -308,4 +307,4 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """The rows of ``docs`` that are the first of their group, unchanged."""
     uid = free_name(docs, "uid")
     dropped = groups(docs, key, text).filter(F.col("uid") != F.col("root")).select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped, uid, "left_anti").drop(uid)
+    return numbered(docs, uid, "*").join(dropped, uid, "left_anti").drop(uid)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
-from .common import binary, bytes_of, free_name, mix, signed, slices
+from .common import binary, bytes_of, free_name, mix, numbered, signed, slices
 
 LENGTH = 100
 TRIGGER = 32
@@ -122,7 +122,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[s
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("uid"), F.col(text).cast("binary").alias("body"))
+    return numbered(docs, "uid", F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("body")).select("key", "uid", "body")
 
 
 PHRASES = "route long, trigger long, phrase long, key long, uid long, start long, shape int, settled boolean"
@@ -348,10 +348,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cha
 
     ``chars`` names a column to set to the new length of the text.  Null texts stay null.
     """
-    numbered = _numbered(docs, key, text)
     uid, spans = free_name(docs, "uid"), free_name(docs, "spans")
-    found = covered(numbered, length).withColumnsRenamed({"uid": uid, "spans": spans})
-    joined = docs.withColumn(uid, F.monotonically_increasing_id()).join(found, uid, "left")
+    found = covered(_numbered(docs, key, text), length).withColumnsRenamed({"uid": uid, "spans": spans})
+    joined = numbered(docs, uid, "*").join(found, uid, "left")
     names = docs.columns
 
     def run(batches):
