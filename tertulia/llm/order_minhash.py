@@ -185,8 +185,8 @@ def bodies_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Of stored pairs (u, v) of row numbers those whose texts are alike."""
-    body = bodies_of(docs, text, pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))))
-    both = pairs.join(body.withColumnsRenamed({"uid": "u", "body": "a"}), "u").join(body.withColumnsRenamed({"uid": "v", "body": "b"}), "v")
+    first, second = (bodies_of(docs, text, pairs.select(F.col(c).alias("uid"))).withColumnsRenamed({"uid": c, "body": to}) for c, to in (("u", "a"), ("v", "b")))
+    both = pairs.join(first, "u").join(second, "v")
 
     def run(batches):
         for whole in batches:
@@ -238,14 +238,18 @@ def compare_all(uids: list[int], roots: list[int], blocks: list[int], bodies: li
 
 
 def settle_blocks(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Links (u, v) between different groups inside buckets, given bucket, uid, root and the bucket's size.
+    """Links (u, v) between different groups inside buckets, given bucket, uid, root, the bucket's size, its largest group (top) and that group's size.
 
-    Buckets are cut into blocks of about BLOCK members; a task compares one
-    block with itself or with another one.
+    Buckets are cut into blocks of about BLOCK members, those of the largest
+    group first; a task compares one block with itself or with another one.
+    Blocks of the largest group meet only blocks of other groups, so a huge
+    group with few strangers costs in proportion to its size.
     """
     body = bodies_of(docs, text, members.select("uid"))
-    count = F.ceil(F.col("size") / BLOCK)
-    cut = members.withColumn("block", F.pmod(F.xxhash64("uid", "bucket"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    big, rest = F.ceil(F.col("top_size") / BLOCK), F.ceil((F.col("size") - F.col("top_size")) / BLOCK)
+    at_top, spread = F.col("root") == F.col("top"), F.xxhash64("uid", "bucket")
+    cut = members.withColumn("block", F.when(at_top, F.pmod(spread, big)).otherwise(big + F.pmod(spread, rest))).withColumn(
+        "other", F.explode(F.sequence(F.when(at_top, big).otherwise(F.lit(0).cast("long")), big + rest - 1)))
     placed = cut.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "root").join(body, "uid")
     names = ["bucket", "i", "j", "uid", "root", "block", "body"]
 
@@ -282,11 +286,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     stars = materialize(shared.filter((F.col("uid") != F.col("hub")) & close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("uid").alias("v")).distinct(), "pairs")
     links = materialize(verify(stars, docs, text), "links")
     roots = connected(links)
-    # buckets that still hold several groups: members outside the largest one against those of other groups
-    named = shared.join(roots, shared["uid"] == roots["node"], "left").select("bucket", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    mixed = named.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(
-        F.sum("c").alias("size"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
-    open_members = materialize(named.join(mixed, "bucket"), "mixed")
+    # the hub of a bucket was compared with all others; left are buckets whose other members are of several groups
+    named = shared.filter(F.col("uid") != F.col("hub")).join(roots, F.col("uid") == roots["node"], "left").select("bucket", "uid", F.coalesce("root", "uid").alias("root"))
+    signs = [F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"sign{k}") for k in (1, 2)]
+    per_group = named.groupBy("bucket", "root").agg(F.count("*").alias("c"), *signs)
+    mixed = per_group.groupBy("bucket").agg(
+        F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups"), *[F.bit_xor(f"sign{k}").alias(f"sign{k}") for k in (1, 2)])
+    # several tables often put the same members together: buckets of one member set (128-bit hash) are settled once
+    settled = mixed.filter("groups > 1").groupBy("size", "sign1", "sign2").agg(F.min(F.struct("bucket", "top")).alias("b")).select(
+        "b.bucket", "size", F.col("b.top.root").alias("top"), F.col("b.top.c").alias("top_size"))
+    open_members = materialize(named.join(settled, "bucket"), "mixed")
     more = materialize(settle_blocks(open_members, docs, text), "links")
     roots = connected(links.unionByName(more)) if not more.isEmpty() else roots
     grouped = classes.join(roots, classes["uid"] == roots["node"], "left").select(
