@@ -171,8 +171,10 @@ def test_near_duplicates(spark, docs, empty):
     assert kept.schema == docs.schema and kept.count() == sum(w[2] for w in want)
 
 
-def test_large_group_of_near_copies(spark, tmp_path_factory):
+@pytest.mark.parametrize("block", [256, 48])
+def test_large_group_of_near_copies(spark, tmp_path_factory, monkeypatch, block):
     """A group over several blocks whose members are alike along chains only."""
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
     r = random.Random(2)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     rows = []
