@@ -155,6 +155,21 @@ def score(model, pairs: DataFrame) -> DataFrame:
         "features", "scaled", "rawPrediction", "probability")
 
 
+def cross_scores(pairs: DataFrame, kind: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Every row scored by a model that was trained without its ``fold``.
+
+    Boosted trees stop when they no longer gain on the fold after it.
+    """
+    out = None
+    for k in range(folds):
+        rest, valid = pairs.filter(F.col("fold") != k), None
+        if kind == "boosted":
+            rest, valid = rest.withColumn("is_valid", F.col("fold") == (k + 1) % folds), "is_valid"
+        scored = score(train(rest, kind, seed, valid=valid), pairs.filter(F.col("fold") == k))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def isolation_forest(pairs: DataFrame, ident: Column, trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42):
     """Isolation trees grown in parallel, one small sample per tree.
 

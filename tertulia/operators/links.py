@@ -111,15 +111,6 @@ def compile_rules(p: Platform) -> CompiledRules:
     return CompiledRules("(?s)^(?:" + "|".join(branches) + ")$", _S.join(refs), types, subs, consts)
 
 
-def _types(p: Platform) -> dict[str, tuple[str, str]]:
-    out = {}
-    for entry in re.split(r"[;\n]", p.types):
-        if entry.strip():
-            key, emoji, name = entry.strip().split(" ", 2)
-            out[key] = (p.emoji if emoji == "-" else emoji, name)
-    return out
-
-
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -166,7 +157,7 @@ def file_class(url) -> Column:
     ext = F.lower(F.regexp_extract(url, r"\.([a-zA-Z0-9]+)(?:\?.*)?$", 1))
     out = None
     for name, exts in FILE_TYPES:
-        c = ext.isin(exts.split())
+        c = ext.isin(list(exts))
         out = F.when(c, name) if out is None else out.when(c, name)
     return F.when(~not_a_file(url), out)
 
@@ -205,7 +196,7 @@ def _steps(url: str, platforms: tuple[Platform, ...]) -> _Steps:
     of_rule = lambda pick: F.get(_by_platform(lambda p: _strings(pick(rules[p.key])), platforms), rule)
     fixed = lambda f: F.coalesce(of_rule(lambda r: r.consts[f]), F.lit(""))
     full = lambda k, f: F.when(at(k) != "", at(k)).otherwise(fixed(f))
-    names = {p.key: _types(p) for p in platforms}
+    names = {p.key: p.types for p in platforms}
     look = lambda j: _by_platform(
         lambda p: F.element_at(_mapping({k: e[j] for k, e in names[p.key].items()}), F.col("content_type")), platforms)
     return _Steps([

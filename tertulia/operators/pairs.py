@@ -91,9 +91,12 @@ def temporal_negatives(messages: DataFrame, max_prev: int = 10, seed: int = 43)
     return _pair_rows(j, 0, "temporal")
 
 
-def build_pairs(messages: DataFrame, neg_ratio: int = 2, max_prev: int = 10, seed: int = 42) -> DataFrame:
-    return positive_pairs(messages).unionByName(random_negatives(messages, neg_ratio, seed)).unionByName(
+def build_pairs(messages: DataFrame, neg_ratio: int = 2, max_prev: int = 10, seed: int = 42, embeddings: DataFrame | None = None) -> DataFrame:
+    """Positives with random and temporal negatives, and with hard ones where embeddings (chat_id, id, embedding) are given."""
+    positives = positive_pairs(messages)
+    out = positives.unionByName(random_negatives(messages, neg_ratio, seed)).unionByName(
         temporal_negatives(messages, max_prev, seed + 1))
+    return out if embeddings is None else out.unionByName(hard_negatives(positives, messages, embeddings))
 
 
 def hashed_embedding(messages: DataFrame, keys: list[str], size: int = 256, text: str = "text") -> DataFrame:
@@ -106,8 +109,8 @@ def hashed_embedding(messages: DataFrame, keys: list[str], size: int = 256, text
     return out.select(*keys, vector_to_array("_v", "float32").alias("embedding"))
 
 
-def nearest_in_chat(queries: DataFrame, targets: DataFrame, top_k_rows: int = 50, block: int = 4096) -> DataFrame:
-    """Exact cosine top-k of every query among the targets of its chat.
+def nearest_in_chat(queries: DataFrame, targets: DataFrame, top_k_rows: int = 50, block: int = 4096, least: float = -2.0) -> DataFrame:
+    """Exact cosine top-k of every query among the targets of its chat that are at least ``least`` alike.
 
     queries: chat_id, query_id, embedding; targets: chat_id, target_id, embedding.
     Both sides are cut into blocks of about `block` rows by id hash, so a chat
@@ -139,9 +142,10 @@ def nearest_in_chat(queries: DataFrame, targets: DataFrame, top_k_rows: int = 50
         for lo in range(0, len(x), 512):
             sim = np.round(x[lo:lo + 512] @ y.T, 12)
             best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # equal values keep id order
-            rows = np.repeat(np.arange(lo, lo + len(sim)), k)
-            out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "target_id": ids[best].ravel(),
-                                     "sim": np.take_along_axis(sim, best, axis=1).ravel()}))
+            value = np.take_along_axis(sim, best, axis=1).ravel()
+            near = value >= least
+            rows = np.repeat(np.arange(lo, lo + len(sim)), k)[near]
+            out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "target_id": ids[best].ravel()[near], "sim": value[near]}))
         res = pd.concat(out)
         res.insert(0, "chat_id", a["chat_id"].iloc[0])
         return res[cols]
@@ -163,7 +167,8 @@ def hard_negatives(positives: DataFrame, messages: DataFrame, embeddings: DataFr
     """
     asked = positives.select("chat_id", F.col("b.id").alias("id")).distinct()
     q = asked.join(embeddings, ["chat_id", "id"]).select("chat_id", F.col("id").alias("query_id"), "embedding")
-    near = nearest_in_chat(q, embeddings.select("chat_id", F.col("id").alias("target_id"), "embedding"), top, block)
+    # what is under the threshold is never in front of what is above it, so blocks need not hand it on
+    near = nearest_in_chat(q, embeddings.select("chat_id", F.col("id").alias("target_id"), "embedding"), top, block, threshold)
     pairs = positives.select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("query_id"), "b")
     cand = near.join(pairs, ["chat_id", "query_id"]).filter(
         (F.col("target_id") != F.col("a_id")) & (F.col("target_id") != F.col("query_id")) & (F.col("sim") >= threshold))

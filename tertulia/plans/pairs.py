@@ -94,7 +94,10 @@ def d06b(spark, d):
     return n.select("chat_id", "query_id", "target_id", F.round("sim", 6).alias("sim"))
 
 
-@query("d07_text_embedding")
+_W = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query("d07_text_embedding", f"WITH {CONVERSATION_MESSAGES} SELECT chat_id, id, CAST(len({_W.format('text')}) AS DOUBLE) AS terms FROM messages")
 def d07(spark, d):
     e = P.hashed_embedding(messages(spark, d), ["chat_id", "id"])
     return e.select("chat_id", "id", F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x).alias("terms"))
@@ -105,7 +108,6 @@ def d08(spark, d):
     return P.shuffled(pairs(spark, d)).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind")
 
 
-_W = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 VOCAB = PAIRS + f""", uniq AS (SELECT DISTINCT text FROM (SELECT a_text AS text FROM pairs UNION ALL SELECT b_text FROM pairs)),
 terms AS (SELECT unnest({_W.format('text')}) AS term FROM uniq), vocab AS (SELECT term, count(*) AS n FROM terms GROUP BY 1 ORDER BY n DESC, term LIMIT 8192)
 """
@@ -234,15 +236,56 @@ def d22b(spark, d):
     return P.row_folds(pairs(spark, d)).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
 
 
-@query("d22c_group_folds")
+@query("d22c_group_folds", STATS.replace("WITH", "WITH RECURSIVE", 1) + """, sizes AS (SELECT chat_id, total AS n, row_number() OVER (ORDER BY total DESC, chat_id) AS i FROM stats WHERE chat_id IS NOT NULL),
+walk AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, 0::BIGINT AS place, 0::BIGINT AS chat_id, 0::BIGINT AS n
+  UNION ALL SELECT s.i, list_transform(w.load, lambda v, k: CASE WHEN k = list_position(w.load, list_min(w.load)) THEN v + s.n ELSE v END),
+    CAST(list_position(w.load, list_min(w.load)) AS BIGINT), s.chat_id, s.n FROM walk w JOIN sizes s ON s.i = w.i + 1)
+SELECT place - 1 AS fold, chat_id, n FROM walk WHERE i > 0""")
 def d22c(spark, d):
-    return P.group_folds(pairs(spark, d)).groupBy("fold", "chat_id").agg(F.count("*").alias("n"))
+    return P.group_folds(pairs(spark, d)).groupBy(F.col("fold").cast("long").alias("fold"), "chat_id").agg(F.count("*").alias("n"))
 
 
 @query("d22d_cluster_folds")
 def d22d(spark, d):
     p = pairs(spark, d)
-    return P.cluster_folds(p, P.dataset_stats(p), 3).groupBy("fold", "chat_id").agg(F.count("*").alias("n"))
+    return P.cluster_folds(p, P.dataset_stats(p)).groupBy("fold", "chat_id").agg(F.count("*").alias("n"))
+
+
+# `embeddings` as messages (see vector_messages), with hard negatives; an id of 0 is no reply
+_HARD = (PAIRS.replace(CONVERSATION_MESSAGES, \
+"""messages AS (SELECT CAST(label AS BIGINT) AS chat_id, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CAST(vec_id % 7 AS VARCHAR) AS user_key,
+   to_timestamp(1704067200 + vec_id * 60) AS ts, 'v' || vec_id AS text, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS reply_id FROM embeddings)""")
+    .replace("p.id = c.reply_id", "p.id = c.reply_id AND p.id <> 0")
+    .replace("ids AS (", """sims AS (SELECT q.chat_id, q.id AS b_id, q.reply_id AS parent, t.id AS a_id, round(list_cosine_similarity(q.e, t.e), 12) AS sim
+   FROM messages q JOIN messages t ON t.chat_id = q.chat_id WHERE q.reply_id <> 0),
+near AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY chat_id, b_id ORDER BY sim DESC, a_id) <= 50),
+hard AS (SELECT chat_id, a_id, b_id, 0 AS label, 'hard' AS kind FROM near WHERE a_id <> parent AND a_id <> b_id AND sim >= 0.35
+   QUALIFY row_number() OVER (PARTITION BY chat_id, b_id ORDER BY sim DESC, a_id) <= 10),
+ids AS (SELECT * FROM hard UNION ALL """)) + STATS[len(PAIRS):]
+
+
+def hard_pairs(spark, d):
+    return stored(spark, d, "hard_pairs", lambda: P.build_pairs(vector_messages(spark, d), embeddings=vectors(spark, d)))
+
+
+@query("d17b_stats_with_hard", _HARD + "SELECT *, round(pos / total::DOUBLE, 6) AS pos_ratio, round(neg / total::DOUBLE, 6) AS neg_ratio, round(hard / total::DOUBLE, 6) AS hard_ratio FROM stats")
+def d17b(spark, d):
+    s = P.dataset_stats(hard_pairs(spark, d))
+    return s.withColumns({c: F.round(c, 6) for c in ("pos_ratio", "neg_ratio", "hard_ratio")})
+
+
+@query("d18b_hard_rows", _HARD + "SELECT kind, kind = 'hard' AS hard_negative, count(*) AS n FROM pairs GROUP BY 1")
+def d18b(spark, d):
+    p = hard_pairs(spark, d)
+    return p.groupBy("kind", P.is_hard(p).alias("hard_negative")).agg(F.count("*").alias("n"))
+
+
+@query("d22e_strategy_with_hard", _HARD + """SELECT count(*) AS chats, round(var_pop(pos / total::DOUBLE), 8) AS pos_var, round(var_pop(hard / total::DOUBLE), 8) AS hard_var,
+  CASE WHEN count(*) <= 1 THEN 'row_folds' WHEN var_pop(pos / total::DOUBLE) > 4e-4 OR var_pop(hard / total::DOUBLE) > 2e-3 THEN 'cluster_folds' ELSE 'group_folds' END AS strategy
+FROM stats WHERE chat_id IS NOT NULL""")
+def d22e(spark, d):
+    s = P.fold_strategy(P.dataset_stats(hard_pairs(spark, d)))
+    return s.withColumns({c: F.round(c, 8) for c in ("pos_var", "hard_var")})
 
 
 def pair_vectors(spark, d):
@@ -253,41 +296,55 @@ def pair_vectors(spark, d):
     return stored(spark, d, "pair_vectors", build)
 
 
-@query("d23_pair_vectors")
+@query("d23_pair_vectors", PAIRS + "SELECT chat_id, a_id, b_id, kind, 4 * 256::BIGINT + 9 AS width FROM pairs")
 def d23(spark, d):
-    return pair_vectors(spark, d).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", F.size("vector").cast("long").alias("width"))
+    emb = P.hashed_embedding(messages(spark, d), ["chat_id", "id"])
+    return P.with_vectors(enriched(spark, d), emb).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", F.size("vector").cast("long").alias("width"))
 
 
-def _folded(spark, d):
-    from .inputs import spread
-
-    return P.row_folds(pair_vectors(spark, d), 5)
+def model_scores(spark, d, kind):
+    def build():
+        scored = E.cross_scores(P.row_folds(pair_vectors(spark, d)), kind)
+        return scored.select(F.lit(kind).alias("model"), "fold", "chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", "label", "score")
 
+    return stored(spark, d, f"scores_{kind}", build)
 
-def _model_query(name, kind, trees=None):
-    def run(spark, d):
-        p = _folded(spark, d)
-        train = p.filter("fold <> 0")
-        valid = None
-        if kind == "boosted":
-            train, valid = train.withColumn("is_valid", F.col("fold") == 1), "is_valid"
-        m = E.train(train, kind, trees=trees, valid=valid)
-        return E.binary_metrics(E.score(m, p.filter("fold = 0")))
 
-    query(name)(run)
+def _model_query(name, kind):
+    query(name)(lambda spark, d: E.binary_metrics(model_scores(spark, d, kind), by=["fold"]))
 
 
 _model_query("e01_naive_bayes", "naive_bayes")
 _model_query("e02_logistic", "logistic")
-_model_query("e03_boosted_trees", "boosted", 20)
-_model_query("e04_random_forest", "forest", 20)
-_model_query("e05_perceptron", "perceptron", 20)
+_model_query("e03_boosted_trees", "boosted")
+_model_query("e04_random_forest", "forest")
+_model_query("e05_perceptron", "perceptron")
+
+
+def model_folds(spark, d):
+    """Measures of every model on every fold."""
+    out = None
+    for kind in ("naive_bayes", "logistic", "boosted", "forest", "perceptron"):
+        s = model_scores(spark, d, kind)
+        out = s if out is None else out.unionByName(s)
+    return E.binary_metrics(out, by=["model", "fold"])
+
+
+@query("e14b_best_fold_of_models")
+def e14b(spark, d):
+    return E.best_fold(model_folds(spark, d))
+
+
+@query("e16b_model_table")
+def e16b(spark, d):
+    m = lambda c: F.avg(c).alias("mean_" + c)
+    return model_folds(spark, d).groupBy("model").agg(F.count("*").alias("folds"), m("precision"), m("recall"), m("f1"), m("auc"), F.max("f1").alias("best_f1"))
 
 
 @query("e06_isolation_forest")
 def e06(spark, d):
     p = pair_vectors(spark, d).withColumn("pid", F.col("a.id") * 1000003 + F.col("b.id"))
-    _, anomaly = E.isolation_forest(p.filter("label = 1"), F.col("pid"), trees=20)
+    _, anomaly = E.isolation_forest(p.filter("label = 1"), F.col("pid"))
     scored = p.withColumn("anomaly", anomaly("vector"))
     cut = E.anomaly_cut(scored.filter("label = 1"))
     flagged = scored.join(F.broadcast(cut)).withColumn("outlier", F.col("anomaly") > F.col("cut"))
