@@ -30,6 +30,7 @@ STEPS = 250
 THRESHOLD = 0.3
 KINDS = 7  # blank, lower case, upper case, digit, symbol, other mark, not ASCII
 SINGLE = b"!|*.,?"
+SLICE_BYTES = 1 << 20  # encoding needs about a hundred bytes of memory per byte of text
 
 _KIND = np.full(256, 6, np.uint8)
 _KIND[:128] = 5
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, SLICE_BYTES):
                 x, bounds = encode_passages(*bytes_of(binary(part.column(text))))
                 bags = []
                 for a, b in zip(bounds[:-1], bounds[1:]):
@@ -182,7 +183,7 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text", out: str =
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, SLICE_BYTES):
                 scores = model.score(*encode_passages(*bytes_of(binary(part.column(text)))))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(scores.astype(np.float64))], names=[*keep, out])
 
