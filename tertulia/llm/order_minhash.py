@@ -48,6 +48,7 @@ SKETCH_SIZES = {1: 1, 16: 4, 64: 8}
 BLOCK = 256  # members of a bucket compared at once
 COLUMNS = 4096
 FILTER_BITS = 1 << 25
+SLICE_BYTES = 1 << 20  # hashing needs about a hundred bytes of memory per byte of text
 NULL_KEY = -(1 << 63)
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64))[:, None]
@@ -140,7 +141,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, "body"):
+            for part in slices(whole, "body", SLICE_BYTES):
                 column = binary(part.column("body"))
                 shingles, bounds = labelled_shingles(*bytes_of(column))
                 digests, keys, seen = [], [], {}
@@ -190,7 +191,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, "a"):
+            for part in slices(whole, "a", SLICE_BYTES):
                 (x, xb), (y, yb) = (labelled_shingles(*bytes_of(binary(part.column(c)))) for c in ("a", "b"))
                 good = [alike(x[xb[k]:xb[k + 1]], y[yb[k]:yb[k + 1]]) for k in range(part.num_rows)]
                 yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
