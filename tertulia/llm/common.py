@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,24 @@ def numbered(stored: DataFrame, name: str, *columns: Column | str) -> DataFrame:
     return stored.select(F.monotonically_increasing_id().alias(name), *columns)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session from now on hands at most about BATCH_BYTES to Python at once.
+
+    By default a batch has up to 10000 rows, which is much memory on both sides where texts are long.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(conf.get(name)) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def _bytes(setting: str) -> int:
+    """Bytes of a size setting such as 64MB."""
+    digits = setting.lower().rstrip("bkmgt ")
+    unit = setting.lower()[len(digits):].strip().rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def binary(column: pa.Array) -> pa.Array:
     """Text as UTF-8 bytes, null as empty."""
     if pa.types.is_null(column.type):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import binary, bytes_of, mix, slices
+from .common import binary, bytes_of, mix, slices, small_batches
 
 PASSAGE = 64
 SAMPLE = 3000
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     [part.column("_id").cast(pa.int64()), part.column("_label"), pa.array([len(v) for v in bags], pa.int32()),
                      pa.array([v.tobytes() for v in bags], pa.binary())], names=["_id", "_label", "n", "x"])
 
-    got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (r["_id"], bytes(r["x"])))
+    got = sorted(small_batches(rows).mapInArrow(run, schema).collect(), key=lambda r: (r["_id"], bytes(r["x"])))
     ones = sum(r["_label"] for r in got)
     if not got or ones in (0, len(got)):
         model = AttentionModel(np.zeros(1), np.ones(1))
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text", out: str =
                 scores = model.score(*encode_passages(*bytes_of(binary(part.column(text)))))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(scores.astype(np.float64))], names=[*keep, out])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return small_batches(docs.select(*keep)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
