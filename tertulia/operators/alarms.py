@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .matches import _group_count, named_hits, extract_matches, valid_patterns
 from .ranking import top_k
 
-MAX_PATTERNS = 2000
+PATTERNS_AT_ONCE = 100
 
 
 def interval_minutes(interval: Column | str, months: bool = False, floor: bool = True) -> Column:
@@ -71,20 +71,25 @@ def in_range(messages: DataFrame, alarms: DataFrame) -> DataFrame:
     return messages.join(a, "chat_id").filter(F.col("ts").between(F.col("date_from"), F.col("date_to")))
 
 
-def _literal_hits(spark, alarms: DataFrame) -> Column:
-    """Hits of column `pattern` on column `text`, with one compiled branch per distinct pattern."""
-    listed = alarms.select(F.explode("patterns.pattern").alias("p")).distinct().limit(MAX_PATTERNS + 1).collect()
-    found = [r.p for r in listed if r.p]
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct alarm patterns; split the alarm table")
-    out = None
-    for p in valid_patterns(spark, {p: p for p in found}):
-        java = "(?iU)" + p
-        hits = named_hits(F.col("text"), "", java, _group_count(spark, java))
-        cond = F.col("pattern") == p
-        out = F.when(cond, hits) if out is None else out.when(cond, hits)
+def _literal_hits(spark, rows: DataFrame, alarms: DataFrame) -> DataFrame:
+    """``rows`` with ``h``, a hit of column `pattern` on column `text`.
+
+    Every distinct pattern is a compiled branch of an expression; an expression
+    holds at most PATTERNS_AT_ONCE of them, further ones go to further passes.
+    """
+    found = sorted(r.p for r in alarms.select(F.explode("patterns.pattern").alias("p")).distinct().collect() if r.p)
+    known = list(valid_patterns(spark, {p: p for p in found}))
+    passes = [known[k:k + PATTERNS_AT_ONCE] for k in range(0, len(known), PATTERNS_AT_ONCE)] or [[]]
     empty = F.array().cast("array<struct<name:string,ord:int,value:string>>")
-    return empty if out is None else out.otherwise(empty)
+    out = None
+    for some in passes:
+        hits = empty
+        for p in some:
+            java = "(?iU)" + p
+            hits = F.when(F.col("pattern") == p, named_hits(F.col("text"), "", java, _group_count(spark, java))).otherwise(hits)
+        part = rows.filter(F.col("pattern").isin(some)).withColumn("h", F.explode(hits))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def extract(messages: DataFrame, alarms: DataFrame, per_pattern: int | None = 10, label=None) -> DataFrame:
@@ -96,7 +101,7 @@ def extract(messages: DataFrame, alarms: DataFrame, per_pattern: int | None = 10
     rows = in_range(messages, alarms).select(
         "alarm_id", "id", "ts", "text", F.posexplode("alarm_patterns").alias("pattern_no", "p")
     ).select("alarm_id", "id", "ts", "text", "pattern_no", "p.name", "p.type", "p.pattern")
-    hits = rows.withColumn("h", F.explode(_literal_hits(messages.sparkSession, alarms))).select(
+    hits = _literal_hits(messages.sparkSession, rows, alarms).select(
         "alarm_id", "pattern_no", "name", "type", "ts", "id", F.col("h.ord").alias("ord"), F.col("h.value").alias("value"))
     if label is not None:
         low = F.lower("name")

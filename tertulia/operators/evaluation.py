@@ -10,12 +10,12 @@ from . import graph as G
 def heuristic_scores(pairs: DataFrame) -> DataFrame:
     """Reply probability of every pair from its own two messages."""
     from ..functions import text as X
-    from .matches import match_array, prepared
+    from .matches import prepared
 
     def texts(df):
         t = df.select("a.text").unionByName(df.select("b.text")).select(F.coalesce("text", F.lit("")).alias("text")).distinct()
         return prepared(t).select("text", X.content_words(F.col("text")).alias("words"), X.intention(F.col("text")).alias("intention"),
-                        F.array_distinct(F.transform(match_array("text"), lambda h: F.concat_ws("=", h["key"], h["value"]))).alias("patterns"))
+                        G.pattern_set("text").alias("patterns"))
 
     f = texts(pairs)
     side = lambda p: f.select(F.col("text").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("words", "intention", "patterns")])
@@ -110,10 +110,16 @@ def best_fold(metrics: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, ident: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: a repeatable share of each label by hash, with no sort."""
+    """Adds ``is_test``: of each label the rounded share of its rows with the least draws.
+
+    A label's draws are cut into 1024 ranges, so no task sorts a whole label.
+    """
     from .pairs import draw
+    from .ranking import ordered_rank
 
-    return df.withColumn("is_test", draw(seed, F.col(ident), F.col(label)) < int(share * 2147483647))
+    drawn = df.withColumn("_d", draw(seed, F.col(ident), F.col(label)))
+    ranked = ordered_rank(drawn, [label], ["_d", ident], F.floor(F.col("_d") / (1 << 21)))
+    return ranked.withColumn("is_test", F.col("rn") <= F.round(F.col("n") * share)).drop("_d", "rn", "n")
 
 
 def _features(pairs: DataFrame) -> DataFrame:

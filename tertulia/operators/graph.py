@@ -39,7 +39,7 @@ def message_nodes(messages: DataFrame, with_patterns: bool = True) -> DataFrame:
         "words": X.content_words(F.col("text")),
     }
     if with_patterns:
-        cols["patterns"] = F.array_distinct(F.flatten(F.transform(match_array("text"), _pattern_names)))
+        cols["patterns"] = pattern_set("text")
     return prepared(messages.filter(F.col("id").isNotNull())).withColumns(cols).drop("_fold", "_digit")
 
 
@@ -50,6 +50,11 @@ def _pattern_names(h: Column) -> Column:
     return F.when(h["key"] == "monedas_explicitas", F.array(name, branch)).otherwise(F.array(name))
 
 
+def pattern_set(text: str) -> Column:
+    """Distinct pattern names of a text, for the likeness of two texts."""
+    return F.array_distinct(F.flatten(F.transform(match_array(text), _pattern_names)))
+
+
 def sent_edges(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("user_key").isNotNull()).select(
         "chat_id", F.concat(F.lit("user_"), F.col("user_key")).alias("src"),

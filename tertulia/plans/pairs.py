@@ -438,7 +438,8 @@ def e14(spark, d):
     return E.best_fold(fold_metrics(spark, d))
 
 
-@query("e15_stratified_split", f"SELECT doc_id, {P.draw_sql(42, 'doc_id', 'quality')} < 429496729 AS is_test FROM labels")
+@query("e15_stratified_split", f"""SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY {P.draw_sql(42, 'doc_id', 'quality')}, doc_id)
+  <= round(count(*) OVER (PARTITION BY quality) * 0.2) AS is_test FROM labels""")
 def e15(spark, d):
     return E.stratified_split(table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "is_test")
 
