@@ -19,7 +19,10 @@ are removed.  Matches never cross documents and are judged on the input.
    corpus; neighbours that agree in all bytes are equal, and all but the first
    of them are repeated.  Strings meet by the 78 bytes around the trigger that
    strings at nearly the same distance from it share, so that a common trigger
-   in different surroundings is many small groups.
+   in different surroundings is many small groups.  A group of more than
+   ``CHUNK`` strings (a common passage in different surroundings) is not
+   gathered: its strings meet by two hashes of all their bytes (128 bits
+   together), so that only equal ones come together, and are read as a stream.
 4. The covered bytes of each document are joined and cut out.
 
 Phrases travel in rows sorted inside tasks and are read as a stream, so a
@@ -47,7 +50,8 @@ LENGTH = 100
 TRIGGER = 32
 BASE, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd factors of the rolling hashes
 FAMILY = 23  # strings whose trigger is at nearly the same distance are compared together
-CHUNK = 200_000  # strings sorted at once
+CHUNK = 200_000  # strings sorted at once; larger groups are settled string by string
+OPEN_BYTES = 1 << 18  # bytes of phrases cut into strings at once
 _MASK = (1 << 64) - 1
 
 
@@ -255,30 +259,119 @@ def resolve(numbered: DataFrame, open_phrases: DataFrame, length: int = LENGTH)
 
     cuts = texts.mapInArrow(cut, "group long, key long, uid long, start long, strings int, phrase binary")
 
+    names = ["group", "key", "uid", "start", "strings", "phrase"]
+    schema = "uid long, start long, end long, key long, strings int, phrase binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def batch(rows):
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "start", "end", "key", "strings", "phrase"])
+
     def settle(rows):
         """Whole groups only."""
-        groups, uids, starts, strings, bodies = rows
+        groups, _, uids, starts, strings, bodies = zip(*rows)
         _, group = np.unique(np.array(groups), return_inverse=True)
         found = sort_suffixes(bodies, np.array(strings), group, length)
-        out = [(u, s + a, s + b + length - 1) for u, s, flags in zip(uids, starts, found) for a, b in _runs(flags)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["uid", "start", "end"])
+        return batch([(u, s + a, s + b + length - 1, None, None, None) for u, s, flags in zip(uids, starts, found) for a, b in _runs(flags)])
 
     def run(batches):
-        rows, count = [[], [], [], [], []], 0
+        """Covered stretches of groups of at most CHUNK strings, and the phrases of larger ones (without ``end``)."""
+        rows, count = [], 0
+        first, inside, large = 0, 0, None  # the last group held: its first row and number of strings; the group that is handed on
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("group", "uid", "start", "strings", "phrase")]
-            for k, group in enumerate(columns[0]):
-                if count >= CHUNK and rows[0][-1] != group:
-                    yield settle(rows)
-                    rows, count = [[], [], [], [], []], 0
-                for into, c in zip(rows, columns):
-                    into.append(c[k])
-                count += columns[3][k]
-        if rows[0]:
+            loose = []
+            for row in zip(*(b.column(c).to_pylist() for c in names)):
+                if row[0] != large:
+                    if not rows or rows[-1][0] != row[0]:
+                        if count >= CHUNK:
+                            yield settle(rows)
+                            rows, count = [], 0
+                        first, inside = len(rows), 0
+                    rows.append(row)
+                    count, inside = count + row[4], inside + row[4]
+                    if inside <= CHUNK:
+                        continue
+                    large, count = row[0], count - inside
+                    loose += rows[first:]
+                    del rows[first:]
+                else:
+                    loose.append(row)
+            if loose:
+                yield batch([(uid, start, None, key, strings, phrase) for _, key, uid, start, strings, phrase in loose])
+        if rows:
             yield settle(rows)
 
-    return cuts.repartition("group").sortWithinPartitions("group", F.col("key").asc_nulls_first(), "uid", "start").mapInArrow(
-        run, "uid long, start long, end long")
+    by_group = cuts.repartition("group").sortWithinPartitions("group", F.col("key").asc_nulls_first(), "uid", "start")
+    sorted_out = materialize(by_group.mapInArrow(run, schema), "groups")
+    rest = equal_strings(sorted_out.filter(F.col("end").isNull()).select("key", "uid", "start", "strings", "phrase"), length)
+    return sorted_out.filter(F.col("end").isNotNull()).select("uid", "start", "end").unionByName(rest)
+
+
+def equal_strings(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Covered stretches (uid, start, end) from phrases whose groups are large: every string meets its equals only.
+
+    As in steps 1 and 2, equal strings of one batch are settled before the
+    shuffle, and a task reads its rows in order, whatever the number of equals.
+    """
+
+    def cut(batches):
+        for whole in batches:
+            for part in slices(whole, "phrase", OPEN_BYTES):
+                data, offsets = bytes_of(binary(part.column("phrase")))
+                strings = part.column("strings").to_numpy()
+                piece = np.repeat(np.arange(len(strings)), strings)
+                inside = np.arange(len(piece)) - (np.cumsum(strings) - strings)[piece]
+                at = offsets[piece] + inside
+                one, two = (signed(Rolling(data, f).of(at, at + length)) for f in (BASE, SECOND))
+                key = part.column("key").fill_null(-(1 << 63)).to_numpy()[piece]
+                uid, start = part.column("uid").to_numpy()[piece], part.column("start").to_numpy()[piece] + inside
+                order = np.lexsort((start, uid, key, two, one))
+                one, two, key, uid, start = (x[order] for x in (one, two, key, uid, start))
+                same = np.zeros(len(order), bool)
+                same[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+                route = np.where(same, signed(mix(uid.astype(np.uint64) + start.astype(np.uint64))), one)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, one, two, key, uid, start, same)],
+                                                 names=["route", "one", "two", "key", "uid", "start", "settled"])
+
+    def meet_equals(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            known = b.column("settled").to_numpy(zero_copy_only=False)
+            one, two = (b.column(c).to_numpy()[~known] for c in ("one", "two"))
+            again = known.copy()
+            if len(one):
+                equal = np.zeros(len(one), bool)
+                equal[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+                equal[0] = last == (one[0], two[0])
+                again[~known] = equal
+                last = (one[-1], two[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[again]) for c in ("uid", "start")], names=["uid", "start"])
+
+    def join(batches):
+        """Strings that overlap or touch become one stretch; the last one is held back."""
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            uid, start = b.column("uid").to_numpy(), b.column("start").to_numpy()
+            new = np.ones(len(uid), bool)
+            new[1:] = (uid[1:] != uid[:-1]) | (start[1:] > start[:-1] + length)
+            begin = np.flatnonzero(new)
+            uids, starts, ends = uid[begin], start[begin], start[np.append(begin[1:], len(uid)) - 1] + length
+            if held and held[0] == uids[0] and held[2] >= starts[0]:
+                starts = np.append(held[1], starts[1:])
+            elif held:
+                uids, starts, ends = (np.append(h, x) for h, x in zip(held, (uids, starts, ends)))
+            held = (uids[-1], starts[-1], ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in (uids, starts, ends)], names=["uid", "start", "end"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()) for h in held], names=["uid", "start", "end"])
+
+    strings = pieces.mapInArrow(cut, "route long, one long, two long, key long, uid long, start long, settled boolean")
+    met = strings.repartition("route").sortWithinPartitions("one", "two", "key", "uid", "start").mapInArrow(meet_equals, "uid long, start long")
+    return met.repartition("uid").sortWithinPartitions("uid", "start").mapInArrow(join, "uid long, start long, end long")
 
 
 def covered(numbered: DataFrame, length: int = LENGTH) -> DataFrame:

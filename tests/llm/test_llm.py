@@ -138,6 +138,26 @@ def test_repeats(spark, docs, empty):
     assert repeats.remove_repeats(empty, chars="n_chars").collect() == []
 
 
+def test_repeats_of_a_passage_in_many_surroundings(spark, tmp_path_factory, monkeypatch):
+    """One passage in different surroundings is one large group: no task may gather it, and the result stays whole."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, near = noise(90), [noise(9) for _ in range(6)]
+    texts = [noise(60) + r.choice(near) + passage + r.choice(near) + noise(60) for _ in range(300)]
+    rows = [(i if i % 50 else None, t) for i, t in enumerate(texts)]
+    whole, limit = repeats.sort_suffixes, 400
+
+    def sorts_little(bodies, strings, group, length=100):
+        assert int(strings.sum()) <= 2 * limit
+        return whole(bodies, strings, group, length)
+
+    monkeypatch.setattr(repeats, "CHUNK", limit)
+    monkeypatch.setattr(repeats, "sort_suffixes", sorts_little)
+    table = stored(spark, tmp_path_factory, rows, "doc_id long, text string", 1)
+    ordered = sorted(((r["doc_id"], r["text"]) for r in table.collect()), key=lambda r: -1 if r[0] is None else r[0])
+    assert rows_of(repeats.digest(table)) == sorted(slow_repeats(ordered), key=repr)
+
+
 def test_repeats_over_documents(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").orderBy("doc_id").collect()]
     assert rows_of(queries.op2_suffix_array_dedup(spark, sf_dir)) == sorted(slow_repeats(rows), key=repr)
