@@ -26,6 +26,7 @@ CACHE_ENTRIES = 120_000  # pre-tokens a worker remembers
 CACHED_CHARS = 64  # longer pre-tokens are not kept
 MARKS = ".,!?;:*%#$&"  # a run of these is one pre-token
 LATIN_END = "\u0250"  # letters before it are letters in every version of Unicode
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]  # U+3000 is the last of all
 MATRIX_BYTES = 64  # longer pre-tokens are merged one by one with a heap
 
 
@@ -101,7 +102,8 @@ class TextEncoder:
         """Chunks end before single blanks between other characters, where every pre-token ends too."""
         chunks = []
         for t in texts:
-            if len(t.split()) == t.count(" ") + t.count("\n") + 1:  # all white space is single blanks and line ends
+            # all white space is single blanks and line ends
+            if len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(c in t for c in OTHER_SPACE):
                 first, *rest = t.split(" ")
                 chunks.append([first, *[" " + x for x in rest]])
             else:

@@ -84,6 +84,15 @@ def test_bpe_of_random_strings():
     assert [np.frombuffer(g, "<u4").tolist() for g in words.encode(texts)] == [p.ids for p in plain]
 
 
+def test_bpe_of_runs_of_other_white_space():
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    texts = ["10\u00a0km \u00a0 \u00a0 5\u00a0km", "a\tb\tx \u00a0 \u00a0 y", "a\u3000b  c", "a\tb \n c", "a\x1cb  c", "a\u200bb  c", "a\x85b \n", " a\tb", "a\rb\n\nc", "a b\nc d."]
+    got = byte_bpe.text_encoder(RANKS, P.PATTERN).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.encode_ordinary(t) for t in texts]
+
+
 def test_recent_forgets_but_stays_right():
     r = merges.Recent(3, 5)
     for keys in ({"a", "b"}, {"c", "d"}, {"e"}, {"a", "longest"}, {"b", "e"}):
