@@ -5,9 +5,9 @@ their labels with word counts from the whole table (page titles, path words and
 parts of hyphenated labels); multinomial naive Bayes, learned from the urls
 that rules decide, then scores the words of host and path.
 
-Both models have a fixed number of cells: words are hashed to ``CELLS`` cells,
-of which the word table keeps each cell's most frequent word, so what the driver
-gathers is bounded whatever the number of distinct words.
+Word counts stay a table with every word: the substrings of each distinct host
+are joined with it, and a host is split with the counts of its own substrings,
+so nothing is gathered.  The words of naive Bayes are hashed to ``CELLS`` cells.
 
 A null url, or one without ``://``, has an empty host and path and no words.
 Equal urls get equal verdicts.  Without learned urls of a kind the other kind
@@ -27,6 +27,7 @@ from ..session import materialize
 
 CELLS = 1 << 16
 LONGEST_WORD = 24
+HOSTS = 100  # hosts cut into substrings at once
 # verdict, host, path
 RULES = [
     ("allow", "com", "/"),
@@ -55,23 +56,21 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return name, verdict
 
 
-def word_counts(pages: DataFrame, host: str, path: str, html: str | None) -> dict[str, int]:
-    """Counts over all rows; of the words of a cell the most frequent one."""
+def word_counts(pages: DataFrame, host: str, path: str, html: str | None) -> DataFrame:
+    """Columns word and n: counts of all words over all rows."""
     sources = [F.split(F.lower(path), r"[^\p{L}]+"),
                F.flatten(F.transform(F.filter(F.split(host, r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "[^a-z]+")))]
     if html:
         sources.append(F.split(F.lower(F.coalesce(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))), r"[^\p{L}]+"))
     words = pages.select(F.explode(F.concat(*sources)).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    cells = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(CELLS)).alias("cell")).agg(F.max(F.struct("n", "word")).alias("m"))
-    return {r["word"]: r["n"] for r in cells.select("m.word", "m.n").toLocalIterator()}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: the sum of all counts, if ``counts`` are a part of them."""
+        self.total = max(1, sum(counts.values()) if total is None else total)
         self.score = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.made: dict[str, list[str]] = {}
 
     def unknown(self, length: int) -> float:
         return math.log(10 / self.total) - length * math.log(10)
@@ -92,25 +91,47 @@ class Segmenter:
             end = back[end]
         return out[::-1]
 
-    def words(self, host: str, path: str) -> list[str]:
-        if host not in self.made:
-            if len(self.made) > 100_000:
-                self.made.clear()
-            self.made[host] = [w for x in _WORD.findall(host) for w in (["#"] if x.isdigit() else self.split(x))]
-        return [*self.made[host], *("#" if x.isdigit() else x for x in _WORD.findall(path.lower()))]
+    def words(self, host: str) -> list[str]:
+        return [w for x in _WORD.findall(host) for w in (["#"] if x.isdigit() else self.split(x))]
 
 
-def words_of(parsed: DataFrame, segmenter: Segmenter, host: str, path: str, out: str) -> DataFrame:
-    """Adds the words of host and path; the model that travels to the tasks has at most CELLS words."""
+def substrings(host: str) -> set[str]:
+    """What a split of the host's names may ask the word table for."""
+    names = [x for x in _WORD.findall(host) if not x.isdigit()]
+    return {x[a:b] for x in names for a in range(len(x)) for b in range(a + 2, min(len(x), a + LONGEST_WORD) + 1)}
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``words`` of every host (a table of distinct hosts), from the counts of its own substrings."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    def cut(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, HOSTS):
+                found = [(h, w) for h in b.column("host").slice(a, HOSTS).to_pylist() for w in substrings(h)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(2)], names=["host", "word"])
+
+    def segment(batches):
+        for b in batches:
+            words = [Segmenter({k["word"]: k["n"] for k in known or ()}, total).words(h) for h, known in zip(b.column("host").to_pylist(), b.column("known").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(words, pa.list_(pa.string()))], names=["host", "host_words"])
+
+    known = hosts.mapInArrow(cut, "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return hosts.join(known, "host", "left").select("host", "known").mapInArrow(segment, "host string, host_words array<string>")
+
+
+def words_of(parsed: DataFrame, counts: DataFrame, out: str) -> DataFrame:
+    """Adds the words of host and path."""
+    hosts = materialize(host_words(parsed.select("host").distinct(), materialize(counts, "counts")), "hosts")
     names = parsed.columns
     schema = T.StructType([*parsed.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
 
     def run(batches):
         for b in batches:
-            words = [segmenter.words(h, p) for h, p in zip(b.column(host).to_pylist(), b.column(path).to_pylist())]
+            words = [[*h, *("#" if x.isdigit() else x for x in _WORD.findall(p.lower()))] for h, p in zip(b.column("host_words").to_pylist(), b.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(words, pa.list_(pa.string()))], names=[*names, out])
 
-    return parsed.mapInArrow(run, schema)
+    return parsed.join(hosts, "host").select(*names, "host_words").mapInArrow(run, schema)
 
 
 def cell_of(word: Column) -> Column:
@@ -146,9 +167,9 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str |
     host, path = parts(F.col(url))
     named = pages.select(F.col(key), host.alias("host"), path.alias("path"), *([F.col(html).alias("html")] if html else []))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    segmenter = Segmenter(word_counts(named, "host", "path", "html" if html else None))
+    counts = word_counts(named, "host", "path", "html" if html else None)
     parsed = named.select(key, "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
-    worded = materialize(words_of(parsed, segmenter, "host", "path", "words"), "words")
+    worded = materialize(words_of(parsed, counts, "words"), "words")
     odds = learn(worded)
     names = [key, "host", "path", "rule"]
     schema = T.StructType([*[parsed.schema[c] for c in names], T.StructField("verdict", T.StringType()), T.StructField("block_odds", T.DoubleType())])

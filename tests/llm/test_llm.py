@@ -346,6 +346,23 @@ def test_url_verdicts(spark, tmp_path_factory):
     assert url_filter.judge(df.limit(0)).collect() == []
 
 
+def test_every_word_splits_hosts(spark, tmp_path_factory, monkeypatch):
+    """However few cells there are, a host is split with the counts of all words."""
+    title = "free bets cheap pills buy today online casino garden flower"
+    names = ["cheappills", "freebets", "buytoday", "onlinecasino", "gardenflower", "www.flowergarden.casinofree"]
+    rows = [(i, f"http://{n}/", f"<title>{title}</title>") for i, n in enumerate(names * 5)] + [(99, None, None)]
+    df = stored(spark, tmp_path_factory, rows, "page_id long, url string, html string")
+    tables, keep = {}, url_filter.materialize
+    monkeypatch.setattr(url_filter, "CELLS", 4)
+    monkeypatch.setattr(url_filter, "materialize", lambda d, label: tables.setdefault(label, keep(d, label)))
+    assert url_filter.judge(df).count() == len(rows)
+    s = url_filter.Segmenter({w: 30 for w in title.split()})
+    want = {n: [w for x in n.split(".") for w in s.split(x)] for n in names} | {"": []}
+    assert want["gardenflower"] == ["garden", "flower"]
+    got = tables["words"].select("host", "words").collect()
+    assert len(got) == len(rows) and all(r["words"] == want[r["host"]] for r in got)
+
+
 def test_segmentation():
     s = url_filter.Segmenter({"free": 50, "bets": 40, "be": 30, "the": 500, "pills": 20, "cheap": 25})
     assert s.split("freebets") == ["free", "bets"] and s.split("cheappills") == ["cheap", "pills"] and s.split("") == []
