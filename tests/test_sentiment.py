@@ -59,3 +59,11 @@ def test_word_lookup_gives_zeros(spark):
     v = spark.createDataFrame([("a", [1.0, 2.0])], "word string, vector array<float>")
     got = {r.word: r.vector for r in S.lookup_vectors(spark.createDataFrame([("a",), ("b",)], "word string"), v, 2).collect()}
     assert got == {"a": [1.0, 2.0], "b": [0.0, 0.0]}
+
+
+def test_words_keep_their_values():
+    from tertulia.rules import lexicon as L
+
+    some = {"diversidad": 1.2, "épico": 1.8, "responder": 0.5, "fallo": -1.1, "nuevo": -0.5, "pésimo": -1.5, "horrible": -1.6}
+    assert {w: L.LEXICON[w] for w in some} == some
+    assert min(L.POSITIVE_WORDS.values()) > 0 > max(L.NEGATIVE_WORDS.values())
