@@ -4,6 +4,7 @@ import pytest
 
 from tertulia.operators import links as L
 from tertulia.plans.links import SHOP
+from tertulia.rules.links import Platform
 
 CASES = [
     ("https://example.com/docs/informe.PDF", "[📄 Documento: informe.PDF]"),
@@ -53,3 +54,8 @@ def test_user_platform_comes_after_the_built_in_ones(spark):
     assert got["https://tienda.example.com/p/7"] == "[🏬 Tienda - product - ID: 7]"
     assert got["https://tienda.example.com/ana"] == "[👤 Tienda de @ana]"
     assert got["https://github.com/u"] == "[👤 Perfil de GitHub de u]"
+
+
+def test_types_of_a_platform_are_a_mapping():
+    with pytest.raises(TypeError, match="shop"):
+        Platform("shop", "Tienda", ("tienda.example.com",), "🏬", "product 🏬 Producto", "product /p/{i}")
