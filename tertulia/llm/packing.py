@@ -36,7 +36,8 @@ class WordTokens:
     """Token ids by words between blanks and line ends: no token of this vocabulary reaches over white space.
 
     Words of Latin letters with marks behind them are merged many at a time;
-    others go to the tokenizer itself.
+    others go to the tokenizer itself, which also finds its special tokens in
+    them (their strings hold no white space).
     """
 
     def __init__(self, path: str):
@@ -44,7 +45,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = Recent(CACHE_ENTRIES, CACHED_CHARS)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]

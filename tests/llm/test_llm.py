@@ -172,6 +172,18 @@ def test_repeats_over_documents(spark, sf_dir):
     assert rows_of(queries.op2_suffix_array_dedup(spark, sf_dir)) == sorted(slow_repeats(rows), key=repr)
 
 
+def test_repeats_in_a_very_long_text(spark, tmp_path_factory):
+    """Several stretches long, with repeats inside, across the stretches' borders and in another text."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    long = " ".join(word() for _ in range(130_000))
+    long += long[repeats.PARSE_BYTES - 700:repeats.PARSE_BYTES + 900] + " ".join(word() for _ in range(20_000)) + "ab" * 3000
+    assert len(long) > 3 * repeats.PARSE_BYTES
+    rows = [(1, long), (2, " ".join(word() for _ in range(200)) + long[2 * repeats.PARSE_BYTES - 333:2 * repeats.PARSE_BYTES + 333]), (3, long[5:]), (4, None)]
+    table = stored(spark, tmp_path_factory, rows, "doc_id long, text string", 2)
+    assert rows_of(repeats.digest(table)) == sorted(slow_repeats(rows), key=repr)
+
+
 def slow_groups(rows):
     shingles = {}
     for k, (key, text) in enumerate(rows):
@@ -419,13 +431,16 @@ def test_packing(spark, docs, empty):
             assert offset == at
             at += length
         assert at <= 64
-    words = packing.word_tokens(WORDS)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)  # as it comes: its special tokens are found in texts
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert any("<|endoftext|>" in t for t in texts.values())
     whole = {}
     for r in got:
         whole.setdefault(r["doc_id"], {})[r["start"]] = bytes(r["ids"])
     for k, t in texts.items():
-        assert b"".join(v for _, v in sorted(whole[k].items())) == words.encode([t])[0] + (1).to_bytes(4, "little")
+        assert b"".join(v for _, v in sorted(whole[k].items())) == np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
     assert packing.pack_documents(empty, WORDS).collect() == []
 
 
