@@ -25,6 +25,8 @@ are removed.  Matches never cross documents and are judged on the input.
    together), so that only equal ones come together, and are read as a stream.
 4. The covered bytes of each document are joined and cut out.
 
+Texts are hashed some hundred kilobytes at a time, a very long one in
+stretches, so a text of any length needs little more memory than its own bytes.
 Phrases travel in rows sorted inside tasks and are read as a stream, so a
 frequent trigger needs no memory; equal phrases of one batch are merged before
 the shuffle.  Rows are told apart by a row number of the scan, so the input must
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
-from .common import binary, bytes_of, free_name, mix, numbered, signed, slices
+from .common import binary, bytes_of, free_name, mix, numbered, signed, slices, small_batches
 
 LENGTH = 100
 TRIGGER = 32
@@ -52,6 +54,9 @@ BASE, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd factors of the roll
 FAMILY = 23  # strings whose trigger is at nearly the same distance are compared together
 CHUNK = 200_000  # strings sorted at once; larger groups are settled string by string
 OPEN_BYTES = 1 << 18  # bytes of phrases cut into strings at once
+PARSE_BYTES = 1 << 18  # bytes of text hashed at once, which takes about a hundred bytes for each
+DIGEST_BYTES = 1 << 20  # bytes of text written at once
+CUT_ROWS = 20_000  # phrases cut out of texts at once
 _MASK = (1 << 64) - 1
 
 
@@ -117,14 +122,30 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[s
     begin = np.flatnonzero(new)
     strings = np.diff(np.append(begin, len(whole)))
     start = whole[begin]
-    place = of[start]
+    place, row = of[start], row[start]
+    trigger = signed(first.of(place, place + TRIGGER))
+    del of, whole, new, first
     phrase = Rolling(data, SECOND).of(start, start + strings + length - 1)
     distance = place - start
-    return {"row": row[start], "start": start - offsets[row[start]], "strings": strings, "distance": distance,
-            "trigger": signed(first.of(place, place + TRIGGER)),
+    return {"row": row, "start": start - offsets[row], "strings": strings, "distance": distance,
+            "trigger": trigger,
             "phrase": signed(mix(phrase ^ (strings.astype(np.uint64) << np.uint64(8) | distance.astype(np.uint64))))}
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
+    """Texts to parse at once, with the place where they start in their text: one very long text comes in stretches.
+
+    A stretch holds the strings that start in it whole.  A run of strings that
+    a border cuts is two phrases, which step 3 compares string by string.
+    """
+    if len(offsets) != 2 or len(data) <= 2 * PARSE_BYTES:
+        yield data, offsets, 0
+        return
+    for a in range(0, len(data) - length + 1, PARSE_BYTES):
+        part = data[a:a + PARSE_BYTES + length - 1]
+        yield part, np.array([0, len(part)]), a
+
+
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return numbered(docs, "uid", F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("body")).select("key", "uid", "body")
 
@@ -137,21 +158,24 @@ def phrases(numbered: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, "body"):
-                p = parse(*bytes_of(binary(part.column("body"))), length)
-                key = part.column("key").fill_null(-(1 << 63)).to_numpy()[p["row"]]
-                uid = part.column("uid").to_numpy()[p["row"]]
-                order = np.lexsort((p["start"], uid, key, p["phrase"], p["trigger"]))
-                same = np.zeros(len(order), bool)
-                t, q = p["trigger"][order], p["phrase"][order]
-                same[1:] = (t[1:] == t[:-1]) & (q[1:] == q[:-1])
-                key, uid, start = key[order], uid[order], p["start"][order]
-                route = np.where(same, signed(mix(uid.astype(np.uint64) + start.astype(np.uint64))), t)
-                shape = (p["strings"][order] * 128 + p["distance"][order]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, t, q, key, uid, start, shape, same)],
-                                                 names=["route", "trigger", "phrase", "key", "uid", "start", "shape", "settled"])
-
-    return numbered.mapInArrow(run, PHRASES)
+            for part in slices(whole, "body", PARSE_BYTES):
+                for data, offsets, base in stretches(*bytes_of(binary(part.column("body"))), length):
+                    yield found(part, parse(data, offsets, length), base)
+
+    def found(part, p, base):
+        key = part.column("key").fill_null(-(1 << 63)).to_numpy()[p["row"]]
+        uid = part.column("uid").to_numpy()[p["row"]]
+        order = np.lexsort((p["start"], uid, key, p["phrase"], p["trigger"]))
+        same = np.zeros(len(order), bool)
+        t, q = p["trigger"][order], p["phrase"][order]
+        same[1:] = (t[1:] == t[:-1]) & (q[1:] == q[:-1])
+        key, uid, start = key[order], uid[order], p["start"][order] + base
+        route = np.where(same, signed(mix(uid.astype(np.uint64) + start.astype(np.uint64))), t)
+        shape = (p["strings"][order] * 128 + p["distance"][order]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (route, t, q, key, uid, start, shape, same)],
+                                          names=["route", "trigger", "phrase", "key", "uid", "start", "shape", "settled"])
+
+    return small_batches(numbered).mapInArrow(run, PHRASES)
 
 
 FOUND = "trigger long, key long, uid long, start long, shape int, settled boolean"
@@ -240,12 +264,16 @@ def resolve(numbered: DataFrame, open_phrases: DataFrame, length: int = LENGTH)
 
     def cut(batches):
         for whole in batches:
-            for part in slices(whole, "body"):
+            for part in slices(whole, "body", PARSE_BYTES):
                 rows = []
-                for key, uid, body, wanted in zip(*(part.column(c).to_pylist() for c in ("key", "uid", "body", "wanted"))):
-                    for w in wanted:
-                        strings, distance = divmod(w["shape"], 128)
-                        place = w["start"] + distance
+                for key, uid, body, wanted in zip(*(part.column(c).to_pylist() for c in ("key", "uid", "body")), part.column("wanted")):
+                    fields = wanted.values.flatten()
+                    for begin, shape in zip(fields[1].to_numpy(), fields[2].to_numpy()):
+                        strings, distance = divmod(int(shape), 128)
+                        place = int(begin) + distance
+                        if len(rows) >= CUT_ROWS:
+                            yield pieces(rows)
+                            rows = []
                         for low in range(0, length - TRIGGER + 1, FAMILY):
                             high = low + FAMILY - 1  # strings whose trigger is low to high bytes in share these bytes:
                             far, near = min(distance, high), max(distance - strings + 1, low)
@@ -254,10 +282,13 @@ def resolve(numbered: DataFrame, open_phrases: DataFrame, length: int = LENGTH)
                                 group = int.from_bytes(hashlib.blake2b(common, digest_size=8, salt=bytes([low])).digest(), "little", signed=True)
                                 rows.append((group, key, uid, place - far, far - near + 1, body[place - far:place - near + length]))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["group", "key", "uid", "start", "strings", "phrase"])
+                    yield pieces(rows)
+
+    def pieces(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["group", "key", "uid", "start", "strings", "phrase"])
 
-    cuts = texts.mapInArrow(cut, "group long, key long, uid long, start long, strings int, phrase binary")
+    cuts = small_batches(texts).mapInArrow(cut, "group long, key long, uid long, start long, strings int, phrase binary")
 
     names = ["group", "key", "uid", "start", "strings", "phrase"]
     schema = "uid long, start long, end long, key long, strings int, phrase binary"
@@ -382,15 +413,17 @@ def covered(numbered: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(rest).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def join_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal stretches, ascending."""
-    out: list[list[int]] = []
-    for s in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return [(a, b) for a, b in out]
+def join_spans(spans: pa.ListScalar) -> list[tuple[int, int]]:
+    """Maximal stretches, ascending, of a list of (start, end); null gives none."""
+    if not spans.is_valid or not len(spans.values):
+        return []
+    start, end = (c.to_numpy() for c in spans.values.flatten())
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    return list(zip(start[first].tolist(), end[np.append(first[1:], len(start)) - 1].tolist()))
 
 
 def kept_bytes(body: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -408,9 +441,9 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, "body"):
+            for part in slices(whole, "body", DIGEST_BYTES):
                 size, removed, count, sha = [], [], [], []
-                for body, spans in zip(binary(part.column("body")).to_pylist(), part.column("spans").to_pylist()):
+                for body, spans in zip(binary(part.column("body")).to_pylist(), part.column("spans")):
                     spans = join_spans(spans)
                     size.append(len(body)), removed.append(sum(b - a for a, b in spans)), count.append(len(spans))
                     sha.append(hashlib.sha256(kept_bytes(body, spans)).hexdigest())
@@ -420,7 +453,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     schema = T.StructType([T.StructField(key, T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
                            T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(run, schema)
+    return small_batches(joined).mapInArrow(run, schema)
 
 
 def whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -448,16 +481,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cha
 
     def run(batches):
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, DIGEST_BYTES):
                 texts = part.column(text).to_pylist()
                 new = []
-                for t, s in zip(texts, part.column(spans).to_pylist()):
+                for t, s in zip(texts, part.column(spans)):
                     body = (t or "").encode("utf-8", "surrogatepass")
-                    new.append(kept_bytes(body, whole_characters(body, join_spans(s))).decode("utf-8", "replace") if s else t)
+                    new.append(kept_bytes(body, whole_characters(body, join_spans(s))).decode("utf-8", "replace") if s.is_valid else t)
                 size = pa.array([len(t or "") for t in new], pa.int64())
                 columns = {c: part.column(c) for c in names} | {text: pa.array(new, pa.string())}
                 if chars:
                     columns[chars] = size.cast(part.column(chars).type)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return small_batches(joined).mapInArrow(run, docs.schema)
