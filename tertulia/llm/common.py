@@ -79,6 +79,17 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
+def neighbours(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of batches whose rows have the same values in the named whole-number columns, with these values."""
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        k = np.stack([whole.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
+            yield tuple(k[:, a].tolist()), whole.slice(a, b - a)
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column without nulls in one array, and where each row starts (one more entry than rows)."""
     _, starts, data = column.buffers()
