@@ -2,13 +2,16 @@
 
 The alarm table is configuration: some rows per user.  Its distinct patterns
 are read once by the driver so that each becomes a literal, compiled-once
-expression; messages meet alarms by an equality join on the chat.
+expression.  A message is matched once against the patterns its chat wants; its
+hits, not the message, then meet alarms by an equality join on chat and pattern.
+Messages come as a table or as a store cut by day and chat (`sources.store`).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.store import MessageStore
 from .matches import _group_count, named_hits, extract_matches, valid_patterns
 from .ranking import top_k
 
@@ -65,29 +68,41 @@ def normalize(alarms: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
     })
 
 
-def in_range(messages: DataFrame, alarms: DataFrame) -> DataFrame:
-    """Messages each alarm looks at: same chat, time inside its range, both ends kept."""
+def in_range(messages: DataFrame | MessageStore, alarms: DataFrame) -> DataFrame:
+    """Messages each alarm looks at: same chat, time inside its range, both ends kept.
+
+    Of stored messages only the days and buckets that the ranges name are read.
+    """
     a = alarms.select("alarm_id", "chat_id", "date_from", "date_to", F.col("patterns").alias("alarm_patterns"))
+    if isinstance(messages, MessageStore):
+        return messages.in_ranges(a)
     return messages.join(a, "chat_id").filter(F.col("ts").between(F.col("date_from"), F.col("date_to")))
 
 
-def _literal_hits(spark, rows: DataFrame, alarms: DataFrame) -> DataFrame:
-    """``rows`` with ``h``, a hit of column `pattern` on column `text`.
+def _watched(messages: DataFrame | MessageStore, alarms: DataFrame) -> DataFrame:
+    """Every message that an alarm's chat and the span of its chat's ranges hold, once, with the chat's patterns as ``wanted``."""
+    per_chat = alarms.groupBy("chat_id").agg(F.min("date_from").alias("_from"), F.max("date_to").alias("_to"),
+                                             F.array_distinct(F.flatten(F.collect_list("patterns.pattern"))).alias("wanted"))
+    if isinstance(messages, MessageStore):
+        return messages.in_ranges(per_chat, "_from", "_to")
+    return messages.join(per_chat, "chat_id").filter(F.col("ts").between(F.col("_from"), F.col("_to")))
+
+
+def _pattern_hits(messages: DataFrame | MessageStore, alarms: DataFrame) -> DataFrame:
+    """chat_id, id, ts and ``h`` (name: the pattern, ord, value): each distinct pattern is matched once per message that wants it.
 
     Every distinct pattern is a compiled branch of an expression; an expression
     holds at most PATTERNS_AT_ONCE of them, further ones go to further passes.
     """
+    spark = messages.sparkSession
     found = sorted(r.p for r in alarms.select(F.explode("patterns.pattern").alias("p")).distinct().collect() if r.p)
     known = list(valid_patterns(spark, {p: p for p in found}))
     passes = [known[k:k + PATTERNS_AT_ONCE] for k in range(0, len(known), PATTERNS_AT_ONCE)] or [[]]
     empty = F.array().cast("array<struct<name:string,ord:int,value:string>>")
-    out = None
+    rows, out = _watched(messages, alarms).select("chat_id", "id", "ts", "text", "wanted"), None
     for some in passes:
-        hits = empty
-        for p in some:
-            java = "(?iU)" + p
-            hits = F.when(F.col("pattern") == p, named_hits(F.col("text"), "", java, _group_count(spark, java))).otherwise(hits)
-        part = rows.filter(F.col("pattern").isin(some)).withColumn("h", F.explode(hits))
+        hits = [F.when(F.array_contains("wanted", p), named_hits(F.col("text"), p, "(?iU)" + p, _group_count(spark, "(?iU)" + p))).otherwise(empty) for p in some]
+        part = rows.withColumn("_hits", F.concat(*hits) if hits else empty).select("chat_id", "id", "ts", F.explode("_hits").alias("h"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -98,10 +113,10 @@ def extract(messages: DataFrame, alarms: DataFrame, per_pattern: int | None = 10
     ``per_pattern`` is the report's own limit on values; None keeps all.
     ``label`` rewrites the values of patterns named after links.
     """
-    rows = in_range(messages, alarms).select(
-        "alarm_id", "id", "ts", "text", F.posexplode("alarm_patterns").alias("pattern_no", "p")
-    ).select("alarm_id", "id", "ts", "text", "pattern_no", "p.name", "p.type", "p.pattern")
-    hits = _literal_hits(messages.sparkSession, rows, alarms).select(
+    asks = alarms.select("alarm_id", "chat_id", "date_from", "date_to", F.posexplode("patterns").alias("pattern_no", "p")).select(
+        "alarm_id", "chat_id", "date_from", "date_to", "pattern_no", "p.name", "p.type", "p.pattern")
+    hits = _pattern_hits(messages, alarms).withColumn("pattern", F.col("h.name")).join(asks, ["chat_id", "pattern"]).filter(
+        F.col("ts").between(F.col("date_from"), F.col("date_to"))).select(
         "alarm_id", "pattern_no", "name", "type", "ts", "id", F.col("h.ord").alias("ord"), F.col("h.value").alias("value"))
     if label is not None:
         low = F.lower("name")

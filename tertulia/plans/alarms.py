@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import alarms as A, matches as M, projections as P
 from ..rules.patterns import BY_KEY, RULES
 from ..sources import exports as S, sinks as K
+from ..sources.store import MessageStore
 from ..streaming import alarms as SA
 from .extraction import _len, _q, hits_sql, re2
 from .inputs import CONVERSATION_MESSAGES, EVENT_MESSAGES, conversation_messages, event_messages, table, text_table
@@ -84,6 +85,19 @@ def w01(spark, d):
         "alarm_id", "name", "n", F.coalesce(F.array_join(F.transform("s", lambda x: x["value"]), "|"), F.lit("")).alias("found"))
 
 
+def stored_messages(spark, d):
+    """The event messages as a store cut by day and chat."""
+    from ..session import new_table_path
+
+    return MessageStore.create(event_messages(spark, d).select("chat_id", "id", "ts", "text"), new_table_path(spark, "store"), buckets=4)
+
+
+@query("w01b_stored_alarm_hits", HITS + " SELECT alarm_id, name, id, ord, value FROM hits")
+def w01b(spark, d):
+    h = A.extract(stored_messages(spark, d), alarms(spark, d))
+    return h.select("alarm_id", "name", "id", F.col("ord").cast("long").alias("ord"), "value")
+
+
 @query("w03_link_labels", HITS + """ SELECT h.alarm_id, h.id, CASE WHEN h.name <> 'Enlaces' THEN h.value WHEN starts_with(h.value, 'https://tienda.') THEN '[🔗 Enlace a Example]'
   WHEN starts_with(h.value, 'https://github.') THEN '[🐛 Issue de GitHub de ' || regexp_extract(h.value, 'com/(u[0-9]+)/', 1) || '/r - Archivo: ' || regexp_extract(h.value, '([0-9]+)$', 1) || ']'
   ELSE '[🎥 Video de YouTube - ID: ' || regexp_extract(h.value, 'v=(.*)$', 1) || ']' END AS value FROM hits h""")
@@ -127,14 +141,14 @@ _NEXT = f"make_timestamp(epoch_us(base) + greatest(1, CAST(floor((epoch_us(TIMES
 b AS (SELECT a.*, s.top, s.seen, TIMESTAMP '{NOW}' AS base, greatest(raw_minutes, 1) AS m FROM alarms a LEFT JOIN s USING (alarm_id))
 SELECT alarm_id, top AS last_id, total_runs + 1 AS total_runs, epoch_us(date_to) AS date_from, epoch_us(TIMESTAMP '{NOW}') AS date_to, epoch_us({_NEXT}) AS next_run, coalesce(seen, 0) > 0 AS updated FROM b""")
 def w05(spark, d):
-    s = A.advance(alarms(spark, d), event_messages(spark, d), now())
+    s = A.advance(alarms(spark, d), stored_messages(spark, d), now())
     return s.select("alarm_id", F.col("last_analyzed_message_id").alias("last_id"), "total_runs", F.unix_micros("date_from").alias("date_from"),
                     F.unix_micros("date_to").alias("date_to"), F.unix_micros("next_run").alias("next_run"), "updated")
 
 
 @query("w06_high_water_mark", IN_RANGE + "SELECT a.alarm_id, max(i.id) AS last_id, count(i.id) AS messages FROM alarms a LEFT JOIN inr i USING (alarm_id) GROUP BY 1")
 def w06(spark, d):
-    seen = A.in_range(event_messages(spark, d), alarms(spark, d)).groupBy("alarm_id").agg(F.max("id").alias("last_id"), F.count("*").alias("messages"))
+    seen = A.in_range(stored_messages(spark, d), alarms(spark, d)).groupBy("alarm_id").agg(F.max("id").alias("last_id"), F.count("*").alias("messages"))
     return alarms(spark, d).select("alarm_id").join(seen, "alarm_id", "left").select("alarm_id", "last_id", F.coalesce("messages", F.lit(0)).alias("messages"))
 
 
@@ -165,7 +179,7 @@ def w10(spark, d):
 
 @query("w11_no_updates", IN_RANGE + " SELECT alarm_id, 'Sin novedades en ' || chat_title AS notice FROM alarms WHERE alarm_id NOT IN (SELECT alarm_id FROM inr)")
 def w11(spark, d):
-    return A.no_updates(alarms(spark, d), event_messages(spark, d))
+    return A.no_updates(alarms(spark, d), stored_messages(spark, d))
 
 
 @query("w12_unread_counts", f"WITH {EVENT_MESSAGES}, {ALARMS} SELECT chat_id, count(*) AS unread, chat_id IN (SELECT chat_id FROM alarms WHERE enabled) AS alarm_hit FROM messages GROUP BY 1")
@@ -248,14 +262,36 @@ def w18(spark, d):
 
 @query("s06_day_range", f"WITH {EVENT_MESSAGES} SELECT id FROM messages WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
 def s06(spark, d):
-    return S.between_days(event_messages(spark, d), "2024-01-05", "2024-01-09").select("id")
+    return stored_messages(spark, d).between_days("2024-01-05", "2024-01-09").select("id")
 
 
 @query("s07_time_range", f"WITH {EVENT_MESSAGES} SELECT id FROM messages WHERE ts BETWEEN TIMESTAMP '2024-01-05 10:00:00' AND TIMESTAMP '2024-01-06 09:00:00'")
 def s07(spark, d):
+    return stored_messages(spark, d).between_times("2024-01-06 09:00:00", "2024-01-05 10:00:00").select("id")
+
+
+@query("s06b_day_range_of_a_table", f"WITH {EVENT_MESSAGES} SELECT id FROM messages WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def s06b(spark, d):
+    return S.between_days(event_messages(spark, d), "2024-01-05", "2024-01-09").select("id")
+
+
+@query("s07b_time_range_of_a_table", f"WITH {EVENT_MESSAGES} SELECT id FROM messages WHERE ts BETWEEN TIMESTAMP '2024-01-05 10:00:00' AND TIMESTAMP '2024-01-06 09:00:00'")
+def s07b(spark, d):
     return S.between_times(event_messages(spark, d), "2024-01-06 09:00:00", "2024-01-05 10:00:00").select("id")
 
 
+@query("s06c_grown_store", f"WITH {EVENT_MESSAGES} SELECT chat_id, count(*) AS n, count(DISTINCT id) AS ids FROM messages WHERE chat_id IN (2, 7) GROUP BY 1")
+def s06c(spark, d):
+    """A store filled by two fetches whose ranges overlap."""
+    from ..session import new_table_path
+
+    m = event_messages(spark, d).select("chat_id", "id", "ts", "text")
+    cut = F.col("id") % 3
+    store = MessageStore.create(m.filter(cut < 2), new_table_path(spark, "store"), buckets=4)
+    store.append(m.filter(cut > 0))
+    return store.of_chats(2, 7).groupBy("chat_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 @query("s08_latest_previews", f"WITH {EVENT_MESSAGES} SELECT chat_id, id FROM messages WHERE length(trim(text)) > 0 QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY ts DESC, id DESC) <= 50")
 def s08(spark, d):
     return P.latest_previews(event_messages(spark, d)).select("chat_id", "id")
