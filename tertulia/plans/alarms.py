@@ -226,6 +226,37 @@ def w17(spark, d):
     return _run_once(SA.deduplicated(_stream_messages(spark, d)).select("chat_id", "id"), "deduplicated")
 
 
+LATE_PARTS, LATE_DELAY = 3, "3 days"
+_LATE = f"""WITH {EVENT_MESSAGES}, p AS (SELECT *, id % {LATE_PARTS} AS part FROM messages),
+tops AS (SELECT part, max(ts) AS top FROM p GROUP BY 1),
+marks AS (SELECT a.part, max(b.top) - INTERVAL {LATE_DELAY} AS mark FROM tops a LEFT JOIN tops b ON b.part < a.part GROUP BY 1)"""
+
+
+def _late_run(spark, d):
+    """The event messages as a stream of three fetches that each span the whole time; returns its folder and schema."""
+    from ..session import new_table_path
+
+    base, m = new_table_path(spark, "late"), event_messages(spark, d).select("chat_id", "id", "ts")
+    for part in range(LATE_PARTS):  # files are read in the order of their writing
+        m.filter(F.col("id") % LATE_PARTS == part).coalesce(1).write.parquet(f"{base}/in/part{part}")
+    stream = SA.read_message_stream(spark, f"{base}/in/*", m.schema, files_per_batch=1)
+    SA.write_in_time(stream, base, f"{base}/checkpoint", LATE_DELAY).awaitTermination()
+    return base, m.schema
+
+
+@query("w17b_late_rows", _LATE + " SELECT part, chat_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM p JOIN marks USING (part) WHERE ts <= mark GROUP BY 1, 2")
+def w17b(spark, d):
+    late = SA.late_table(spark, *_late_run(spark, d))
+    return late.groupBy((F.col("id") % LATE_PARTS).alias("part"), "chat_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query("w17c_rows_in_time", _LATE + " SELECT chat_id, count(*) AS n, max(id) AS last_id FROM p JOIN marks USING (part) WHERE mark IS NULL OR ts > mark GROUP BY 1")
+def w17c(spark, d):
+    base, schema = _late_run(spark, d)
+    table = spark.read.schema(schema).option("basePath", f"{base}/table").parquet(f"{base}/table")
+    return table.groupBy("chat_id").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
 @query("w15_hourly_windows", f"WITH {EVENT_MESSAGES} SELECT chat_id, epoch_us(date_trunc('hour', ts)) AS start, count(*) AS n FROM messages GROUP BY 1, 2")
 def w15(spark, d):
     return SA.hourly_windows(event_messages(spark, d), delay="").select("chat_id", F.unix_micros("start").alias("start"), "n")

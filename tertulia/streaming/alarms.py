@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import alarms as A
 from ..operators.matches import extract_matches
+from .state import LateRows, StateTable
 
 
 def read_message_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -36,27 +37,54 @@ def write_hits(hits: DataFrame, path: str, checkpoint: str, once: bool = True, i
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval or "1 minute")).start()
 
 
-def run_alarms(messages: DataFrame, alarms: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str | None = None):
-    """Alarm run per batch: hits, and per alarm the high-water mark of the batch.
+ALARM_STATE = "alarm_id long, last_analyzed_message_id long, total_runs long, messages long"
 
-    Tables are keyed by batch id and overwritten on a retry, so a replayed batch leaves one copy.
+
+def run_alarms(messages: DataFrame, alarms: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str | None = None, delay: str = "10 minutes"):
+    """Alarm run per batch: hits, and the state of every alarm that ever saw a message.
+
+    Hits are keyed by batch and overwritten on a retry; the state is one row
+    per alarm, whatever the number of batches.  Ids of messages seen are kept
+    until the watermark has passed them, and messages behind it count no more.
     """
-    m = deduplicated(messages)
+    m, spark = deduplicated(messages, delay), messages.sparkSession
+    state = _alarm_table(spark, out)
 
     def batch(df: DataFrame, batch_id: int):
-        a = alarms.filter("enabled")
+        a, stored = alarms.filter("enabled"), os.path.join(out, "batch")
+        df.write.mode("overwrite").parquet(stored)  # read twice below, and worked out once
+        df = spark.read.schema(df.schema).parquet(stored)
         A.extract(df, a, per_pattern=None).write.mode("overwrite").parquet(os.path.join(out, "hits", f"batch={batch_id}"))
-        seen = A.in_range(df, a).groupBy("alarm_id").agg(F.max("id").alias("last_id"), F.count("*").alias("messages"))
-        seen.write.mode("overwrite").parquet(os.path.join(out, "state", f"batch={batch_id}"))
+        seen = A.in_range(df, a).groupBy(F.col("alarm_id").cast("long").alias("alarm_id")).agg(
+            F.max("id").alias("last_analyzed_message_id"), F.lit(1).cast("long").alias("total_runs"), F.count("*").alias("messages"))
+        state.merge(batch_id, seen, "alarm_id", {"last_analyzed_message_id": F.max, "total_runs": F.sum, "messages": F.sum})
 
     w = m.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval or "1 minute")).start()
 
 
+def _alarm_table(spark: SparkSession, out: str) -> StateTable:
+    return StateTable(spark, os.path.join(out, "state"), ALARM_STATE)
+
+
 def alarm_state(spark: SparkSession, out: str) -> DataFrame:
-    """Newest state of each alarm over all batches."""
-    s = spark.read.option("basePath", os.path.join(out, "state")).parquet(os.path.join(out, "state"))
-    return s.groupBy("alarm_id").agg(F.max("last_id").alias("last_analyzed_message_id"), F.count("*").alias("total_runs"), F.sum("messages").alias("messages"))
+    """The newest state of each alarm."""
+    return _alarm_table(spark, out).latest()
+
+
+def write_in_time(messages: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", ts: str = "ts", once: bool = True, interval: str | None = None):
+    """Messages in time to ``out``/table, messages behind the watermark to a side table of the same run (`late_table`)."""
+    late = LateRows(messages.sparkSession, out, delay, ts)
+
+    def batch(df: DataFrame, batch_id: int):
+        late.split(df, batch_id).write.mode("overwrite").parquet(os.path.join(out, "table", f"batch={batch_id}"))
+
+    w = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval or "1 minute")).start()
+
+
+def late_table(spark: SparkSession, out: str, schema) -> DataFrame:
+    return LateRows(spark, out).read(spark, schema)
 
 
 def unread_stream(messages: DataFrame, alarms: DataFrame) -> DataFrame:

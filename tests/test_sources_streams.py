@@ -143,3 +143,55 @@ def test_next_run_and_time_left(spark):
                   F.unix_micros(A.next_run(F.col("b"), F.lit(0), F.col("n"))).alias("none")).first()
     assert r.l == "2h 5m" and r.past == "Ahora" and r.none is None
     assert r.r.replace(tzinfo=dt.timezone.utc).hour in range(24)
+
+
+def test_alarm_state_does_not_grow_with_batches(spark, sf_dir, tmp_path):
+    """Many batches, a restart in between: one row per alarm, two versions at most, the same sums as at once."""
+    import os
+
+    from tertulia.plans.alarms import alarms
+
+    m, a = event_messages(spark, sf_dir).select("chat_id", "id", "ts", "text"), alarms(spark, sf_dir)
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    sizes = []
+    for k in range(6):
+        m.filter(F.col("id") % 6 == k).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+        stream = SA.read_message_stream(spark, str(tmp_path / "in" / "*"), m.schema, files_per_batch=1)
+        SA.run_alarms(stream, a, out, cp, delay="90 days").awaitTermination()  # each run takes up where the last one stopped
+        versions = [v for v in os.listdir(tmp_path / "out" / "state") if v.startswith("version=")]
+        assert len(versions) <= 2
+        sizes.append(SA.alarm_state(spark, out).count())
+    seen = A.in_range(m, a.filter("enabled")).groupBy("alarm_id").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    want = {r.alarm_id: (r.top, r.n) for r in seen.collect()}
+    assert {r.alarm_id: (r.last_analyzed_message_id, r.messages) for r in SA.alarm_state(spark, out).collect()} == want
+    assert sizes[-1] == len(want) and all(1 <= r.total_runs <= 6 for r in SA.alarm_state(spark, out).collect())
+
+
+def test_state_of_a_repeated_batch(spark, tmp_path):
+    from tertulia.streaming.state import StateTable
+
+    t = StateTable(spark, str(tmp_path / "s"), "k int, n long")
+    news = lambda *rows: spark.createDataFrame(list(rows), "k int, n long")
+    how = {"n": F.sum}
+    assert t.latest().count() == 0
+    t.merge(0, news((1, 1)), "k", how)
+    t.merge(1, news((1, 2), (2, 5)), "k", how)
+    t.merge(1, news((1, 2), (2, 5)), "k", how)  # run again after a failure
+    assert sorted(tuple(r) for r in t.latest().collect()) == [(1, 3), (2, 5)]
+    t.merge(2, news((2, 1)), "k", how)
+    assert t.versions() == [1, 2] and sorted(tuple(r) for r in t.latest().collect()) == [(1, 3), (2, 6)]
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    parts = [[(1, at(5)), (2, at(10)), (3, None)], [(4, at(7)), (5, at(8)), (6, at(20)), (7, None)], [(8, at(9)), (9, at(18)), (10, at(19)), (11, at(17))], []]
+    schema = "id long, ts timestamp"
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = SA.read_message_stream(spark, str(tmp_path / "in" / "*"), schema, files_per_batch=1)
+    out = str(tmp_path / "out")
+    SA.write_in_time(stream, out, str(tmp_path / "cp"), "2 hours").awaitTermination()
+    late = {r.id: r.batch for r in SA.late_table(spark, out, schema).collect()}
+    assert late == {4: 1, 5: 1, 8: 2, 9: 2, 11: 2}
+    kept = spark.read.option("basePath", out + "/table").parquet(out + "/table")
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 6, 7, 10]
