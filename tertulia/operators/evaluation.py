@@ -153,6 +153,43 @@ def train(pairs: DataFrame, kind: str, seed: int = 42, trees: int | None = None,
     return Pipeline(stages=stages).fit(data)
 
 
+EPOCHS = "epoch int, loss double, precision double, recall double, f1 double"
+
+
+def train_epochs(pairs: DataFrame, valid: DataFrame, epochs: int = 20, steps: int = 5, patience: int = 4, seed: int = 42,
+                 hidden: tuple[int, ...] = (256, 64)):
+    """A perceptron trained in epochs, each taking up the weights of the one before, and the measures of every epoch.
+
+    After an epoch of `steps` iterations its F1 on ``valid`` is measured; the
+    model returned has the weights of the best epoch (the first of equals).
+    Training ends by itself when `patience` epochs in a row were no better, or
+    after `epochs`.  Returns (model, list of (epoch, loss, precision, recall, f1)).
+    """
+    from pyspark.ml import PipelineModel, classification as C
+    from pyspark.ml.feature import StandardScaler
+
+    from ..session import materialize
+
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(_features(pairs))
+    ready = lambda df: materialize(scaler.transform(_features(df)).select("scaled", "label"), "scaled")
+    rows, held = ready(pairs), ready(valid)
+    width = len(scaler.mean)
+    net = C.MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[width, *hidden, 2], maxIter=steps, seed=seed)
+    best, history, weights = None, [], None
+    for epoch in range(1, epochs + 1):
+        if weights is not None:
+            net.setInitialWeights(weights)
+        fitted = net.fit(rows)
+        weights = fitted.weights
+        m = binary_metrics(fitted.transform(held).withColumn("score", F.col("prediction"))).first()
+        history.append((epoch, float(fitted.summary().objectiveHistory[-1]), float(m["precision"]), float(m["recall"]), float(m["f1"])))
+        if best is None or m["f1"] > best[0]:
+            best = (m["f1"], epoch, fitted)
+        if epoch - best[1] >= patience:
+            break
+    return PipelineModel(stages=[scaler, best[2]]), history
+
+
 def score(model, pairs: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
@@ -164,18 +201,34 @@ def score(model, pairs: DataFrame) -> DataFrame:
 def cross_scores(pairs: DataFrame, kind: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Every row scored by a model that was trained without its ``fold``.
 
-    Boosted trees stop when they no longer gain on the fold after it.
+    Boosted trees and the perceptron's epochs stop when they no longer gain on
+    the fold after it.
     """
     out = None
     for k in range(folds):
-        rest, valid = pairs.filter(F.col("fold") != k), None
-        if kind == "boosted":
-            rest, valid = rest.withColumn("is_valid", F.col("fold") == (k + 1) % folds), "is_valid"
-        scored = score(train(rest, kind, seed, valid=valid), pairs.filter(F.col("fold") == k))
+        scored = score(fold_model(pairs, kind, k, folds, seed)[0], pairs.filter(F.col("fold") == k))
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
+def fold_model(pairs: DataFrame, kind: str, k: int, folds: int = 5, seed: int = 42):
+    """The model for fold ``k``, trained without it, and what its epochs measured (perceptron only)."""
+    rest, judge = pairs.filter(F.col("fold") != k), (k + 1) % folds
+    if kind == "perceptron":
+        return train_epochs(rest.filter(F.col("fold") != judge), rest.filter(F.col("fold") == judge), seed=seed)
+    if kind == "boosted":
+        return train(rest.withColumn("is_valid", F.col("fold") == judge), kind, seed, valid="is_valid"), []
+    return train(rest, kind, seed), []
+
+
+def epoch_table(pairs: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """fold, epoch, loss, precision, recall, f1 and whether the epoch's weights were kept."""
+    rows = [(k, *h) for k in range(folds) for h in fold_model(pairs, "perceptron", k, folds, seed)[1]]
+    table = pairs.sparkSession.createDataFrame(rows, "fold int, " + EPOCHS)
+    first = F.min(F.struct(-F.col("f1"), "epoch")).over(W.partitionBy("fold"))["epoch"]
+    return table.withColumn("kept", F.col("epoch") == first)
+
+
 def isolation_forest(pairs: DataFrame, ident: Column, trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42):
     """Isolation trees grown in parallel, one small sample per tree.
 

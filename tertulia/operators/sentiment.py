@@ -14,6 +14,9 @@ def _fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+WORDS_PER_PART = 200_000
+
+
 def lexicon_table(spark, words: dict[str, float] | None = None) -> DataFrame:
     return _fixed_table(spark, list((words or L.LEXICON).items()), "word string, score double")
 
@@ -202,11 +205,16 @@ def sequence_label(scores: DataFrame) -> DataFrame:
 
 
 def word_vectors(tokens: DataFrame, size: int = 100, window: int = 5, min_count: int = 2, seed: int = 42, iterations: int = 1) -> DataFrame:
-    """Skip-gram word vectors: word, vector as a float array."""
+    """Skip-gram word vectors: word, vector as a float array.
+
+    The corpus is trained in parts of about WORDS_PER_PART words side by side,
+    whose vectors are averaged after each iteration.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=iterations,
+    words = tokens.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=max(1, -(-words // WORDS_PER_PART)),
                      inputCol="tokens", outputCol="v").fit(tokens)
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
 

@@ -289,9 +289,10 @@ def d22e(spark, d):
 
 
 def pair_vectors(spark, d):
+    """All pairs, hard negatives among them, on the vectors the models are described with (4 x 256 and the pair features)."""
     def build():
-        emb = P.hashed_embedding(messages(spark, d), ["chat_id", "id"], 16)
-        return P.with_vectors(enriched(spark, d), emb)
+        emb = P.hashed_embedding(vector_messages(spark, d), ["chat_id", "id"])
+        return P.with_vectors(P.enrich(hard_pairs(spark, d)), emb)
 
     return stored(spark, d, "pair_vectors", build)
 
@@ -321,6 +322,11 @@ _model_query("e04_random_forest", "forest")
 _model_query("e05_perceptron", "perceptron")
 
 
+@query("e05b_perceptron_epochs")
+def e05b(spark, d):
+    return E.epoch_table(P.row_folds(pair_vectors(spark, d)))
+
+
 def model_folds(spark, d):
     """Measures of every model on every fold."""
     out = None

@@ -157,7 +157,7 @@ def m10(spark, d):
 
 @query("m11_word_vectors")
 def m11(spark, d):
-    v = S.word_vectors(labelled_tokens(spark, d), size=16)
+    v = S.word_vectors(labelled_tokens(spark, d))
     return v.select("word", F.size("vector").cast("long").alias("size"))
 
 
@@ -238,7 +238,7 @@ def m20(spark, d):
 @query("m21_word_lookup")
 def m21(spark, d):
     t = labelled_tokens(spark, d)
-    v = stored(spark, d, "word_vectors", lambda: S.word_vectors(t, size=16))
+    v = stored(spark, d, "word_vectors", lambda: S.word_vectors(t))
     words = t.select(F.explode("tokens").alias("word")).distinct()
-    found = S.lookup_vectors(words, v, 16)
+    found = S.lookup_vectors(words, v)
     return found.select("word", F.exists("vector", lambda x: x != 0).alias("known"))

@@ -114,6 +114,44 @@ def test_models_learn_a_line(spark):
         assert E.binary_metrics(E.score(m, df)).first().auc > 0.9, kind
 
 
+def test_perceptron_keeps_its_best_epoch(spark, monkeypatch):
+    """Epochs go on from the weights before; a worse later epoch is not kept, and the loop ends by itself."""
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(400, 2))
+    rows = [([float(a), float(b)], int(a * b > 0)) for a, b in points]
+    train = spark.createDataFrame(rows[:250], "vector array<double>, label int")
+    valid = spark.createDataFrame(rows[250:], "vector array<double>, label int")
+    model, history = E.train_epochs(train, valid, epochs=8, steps=15, patience=3, hidden=(8, 4))
+    losses = [h[1] for h in history]
+    assert [h[0] for h in history] == list(range(1, len(history) + 1)) and losses[-1] < losses[0]
+    best = max(h[4] for h in history)
+    kept = E.binary_metrics(E.score(model, valid).withColumn("score", F.col("prediction"))).first().f1
+    assert abs(kept - best) < 1e-12 and best > 0.8
+
+    # measures that get worse after the second epoch
+    measured = iter([(0.5, 0.5, 0.5), (0.9, 0.9, 0.9), (0.8, 0.8, 0.8), (0.9, 0.9, 0.9), (0.1, 0.1, 0.1)])
+    fits = []
+
+    class Fake:
+        def __init__(self, m):
+            self.m = m
+
+        def first(self):
+            return dict(zip(("precision", "recall", "f1"), self.m))
+
+    def fake(df, *a, **k):
+        fits.append(1)
+        return Fake(next(measured))
+
+    whole = E.binary_metrics
+    monkeypatch.setattr(E, "binary_metrics", fake)
+    model, history = E.train_epochs(train, valid, epochs=20, steps=2, patience=3, hidden=(4,))
+    monkeypatch.setattr(E, "binary_metrics", whole)
+    assert len(history) == 5 and len(fits) == 5  # ended three epochs after the best
+    again, _ = E.train_epochs(train, valid, epochs=2, steps=2, patience=3, hidden=(4,))
+    assert np.allclose(model.stages[-1].weights.toArray(), again.stages[-1].weights.toArray()) or history[1][4] == 0.9
+
+
 def test_isolation_forest_ranks_the_outlier_first(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=3)]) for i in range(200)] + [(999, [9.0, 9.0, 9.0])]
