@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from ..session import GrowingTable, materialize
+from ..session import KeyedTable, materialize
 from .matches import match_array, prepared
 from .ranking import lookback, ordered_rank, time_slice, top_k
 
@@ -188,26 +188,34 @@ def thread_members(messages: DataFrame, edges: DataFrame, hops: int = 8) -> Data
     `hops` levels at once over precomputed shortcuts, so the number of rounds
     (and of shuffles) is the depth over `hops`: a message at level l has an
     ancestor at the last multiple of `hops`, at distance below `hops`, and only
-    those ancestors form the next frontier.
+    those ancestors form the next frontier.  The members found so far lie
+    bucketed by (chat, root, message), so a round shuffles what its frontier
+    reaches and nothing else.
     """
     e = materialize(edges.select("chat_id", "src", "dst"), "edges")
     step = shortcuts(e, hops)
     start = roots(messages, e).select(
         "chat_id", F.col("id").alias("root_id"), F.col("id").alias("msg_id"), F.lit(0).alias("level"))
-    table = GrowingTable(messages.sparkSession, "members")
-    frontier = table.append(start)
-    base = 0
+    key = ["chat_id", "root_id", "msg_id"]
+    table, frontier, base = KeyedTable(messages.sparkSession, "members", key), materialize(start, "frontier"), 0
+    table.append(frontier)
     while True:
         reached = (
             frontier.join(step, (frontier.chat_id == step.chat_id) & (frontier.msg_id == step.src))
             .select(frontier.chat_id, "root_id", F.col("dst").alias("msg_id"), (F.col("level") + F.col("d")).alias("level"))
-            .groupBy("chat_id", "root_id", "msg_id").agg(F.min("level").alias("level"))
+            .groupBy(*key).agg(F.min("level").alias("level"))
         )
-        new = table.append(reached.join(table.read(), ["chat_id", "root_id", "msg_id"], "left_anti"))
+        new = materialize(unseen(reached, table), "reached")
+        table.append(new)
         base += hops
         frontier = new.filter(F.col("level") == base)
         if frontier.isEmpty():
-            return table.read()
+            return table.forget()
+
+
+def unseen(reached: DataFrame, table: KeyedTable) -> DataFrame:
+    """The rows whose key the table does not hold; the table is not shuffled."""
+    return reached.repartition(table.buckets, *table.key).join(table.read(), table.key, "left_anti")
 
 
 def threads(members: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -47,26 +47,33 @@ def new_table_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
 
 
-class GrowingTable:
-    """A table that gains one part per round of an iterative job.
+class KeyedTable:
+    """A table that gains rows round by round and lies bucketed by its key.
 
-    All parts lie under one folder, so the plan that reads them stays the same
-    size however many rounds there are.
+    A join on the key reads the buckets as they are: only the other side is
+    shuffled, whatever the table has grown to.  There are as many buckets as
+    shuffle partitions, so the other side goes to as many tasks as usual.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path, self.parts, self.schema = spark, new_table_path(spark, label), 0, None
+    def __init__(self, spark: SparkSession, label: str, key: list[str]):
+        self.spark, self.key = spark, key
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.path = new_table_path(spark, label)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def append(self, df: DataFrame) -> DataFrame:
-        """Write one part and return it."""
-        part = os.path.join(self.path, f"part={self.parts}")
-        df.write.parquet(part)
-        self.parts += 1
-        self.schema = df.schema
-        return self.spark.read.schema(self.schema).parquet(part)
+    def append(self, df: DataFrame) -> None:
+        """Adds rows; those of a bucket come from one task, so that a round writes a file per bucket."""
+        dealt = df.repartition(self.buckets, *self.key)
+        dealt.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, *self.key).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+        return self.spark.table(self.name)
+
+    def forget(self) -> DataFrame:
+        """The rows as a plain table; the bucketed name leaves the session's catalog, the files stay."""
+        schema = self.read().schema
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(schema).parquet(self.path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

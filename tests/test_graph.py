@@ -139,3 +139,30 @@ def test_listing_is_depth_first(spark):
     e = spark.createDataFrame([(1, "msg_1", "msg_2", "reply_to", 1.0), (1, "msg_2", "msg_3", "reply_to", 1.0)], "chat_id long, src string, dst string, relationship string, weight double")
     got = [r.line for r in G.listing(nodes, sel, e).orderBy("conversation", "pos").collect()]
     assert got == ["└─ STATEMENT: uno [ID: msg_1]", "  └─ STATEMENT: dos [ID: msg_2]", "    └─ STATEMENT: tres [ID: msg_3]"]
+
+
+def test_a_round_shuffles_what_the_frontier_reaches_only(spark):
+    """Members lie bucketed by their key: the scan of them feeds the join without an exchange, however many there are."""
+    from tertulia.operators.graph import unseen
+    from tertulia.session import KeyedTable
+
+    key = ["chat_id", "root_id", "msg_id"]
+    rows = lambda n, step=1: spark.range(0, n, step).select((F.col("id") % 3).alias("chat_id"), (F.col("id") % 11).alias("root_id"), F.col("id").alias("msg_id"), F.lit(1).alias("level"))
+    table = KeyedTable(spark, "members", key)
+    for _ in range(2):
+        table.append(rows(0))
+    table.append(rows(60_000))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = unseen(rows(60_040, 20), table)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        members = plan[plan.index("FileScan parquet"):]
+        assert "Bucketed: true" in members and "SelectedBucketsCount: 4 out of 4" in members
+        above = plan[:plan.index("FileScan parquet")].splitlines()
+        # the exchange belongs to the reached rows, which come first
+        assert plan.count("Exchange hashpartitioning") == 1 and not any("Exchange" in line for line in above[-3:])
+        assert sorted(r.msg_id for r in new.collect()) == [60_000, 60_020]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    whole = table.forget()
+    assert whole.count() == 60_000 and not spark.catalog.tableExists(table.name)
