@@ -23,9 +23,10 @@ link is best if its count is the highest that its A id has anywhere.
 4. ``contribute``.  Each run gets the answers for its pairs, adds them up over
    its records and writes its documents' results.
 
-Long texts are encoded in stretches that end at a single blank between other
-characters, where tokens of both end whatever stands around.  Strings of special
-tokens inside texts are plain text.
+Texts are encoded word by word, cut at single blanks between other characters,
+where tokens of both end whatever stands around; a task remembers the words it
+met lately.  A very long text is taken in stretches.  Strings of special tokens
+inside texts are plain text.
 
 A null or empty text, and a text whose joined token bytes of A or B differ from
 the blank and the text, has no tokens: zeros and an empty digest.  Every row is
@@ -35,6 +36,7 @@ whatever their names; empty tables give empty results.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import heapq
@@ -50,13 +52,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
 from .common import neighbours, slices, small_batches
+from .merges import Recent
 
 RADIX = 64  # partitions of A ids
 RUN_RECORDS = 1_500_000
 FAN = 64  # lists merged at once
 BLOCK = 1 << 16  # entries of a list compressed together
 SLICE_BYTES = 1 << 19
-STRETCH = 1 << 16  # characters encoded at once
+STRETCH = 1 << 16  # characters of a text taken at once
+PARTS = 512  # stretches looked up together
+CACHE_ENTRIES = 120_000  # words a worker remembers
+CACHED_CHARS = 48  # longer ones are not kept
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -98,6 +104,7 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.rows = -(-len(self.a_bytes) // RADIX)  # A ids of a partition
         self.whole = all("▁" not in p.lstrip("▁") for p in map(self.b.id_to_piece, range(len(self.b_bytes))))
+        self.words = Recent(CACHE_ENTRIES, CACHED_CHARS)
         self.a_digits, self.b_digits = (self._digits(len(x)) for x in (self.a_bytes, self.b_bytes))
 
     def _byte_level(self) -> list[bytes]:
@@ -138,22 +145,32 @@ class Aligner:
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and B of every text; both empty where the text has no tokens."""
-        parts, of = [], []
+        parts = [(k, p) for k, t in enumerate(texts) if t for p in self.stretches(t)]
+        a_raw, b_raw, sure = [[] for _ in texts], [[] for _ in texts], [True] * len(texts)
+        for start in range(0, len(parts), PARTS):
+            some = parts[start:start + PARTS]
+            split = [_BLANK.split(p) if self.whole else [p] for _, p in some]
+            known = self.words.of({w for ws in split for w in ws}, self._encode_words)
+            for (k, _), ws in zip(some, split):
+                got = [known[w] for w in ws]
+                a_raw[k].append(b"".join([g[0] for g in got]))
+                b_raw[k].append(b"".join([g[1] for g in got]))
+                sure[k] &= all([g[2] for g in got])
+        a_ids, b_ids = ([np.frombuffer(b"".join(r), "<u4").astype(np.int64) for r in raw] for raw in (a_raw, b_raw))
         for k, t in enumerate(texts):
-            if t:
-                own = self.stretches(t)
-                parts += own
-                of += [k] * len(own)
-        a_ids, b_ids = [[] for _ in texts], [[] for _ in texts]
-        for k, e, b in zip(of, self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False),
-                           self.b.encode(parts, num_threads=1) if parts else ()):
-            a_ids[k] += e.ids
-            b_ids[k] += b
-        for k, t in enumerate(texts):
-            want = (" " + t).encode("utf-8", "surrogatepass") if t else b""
-            if any(b"".join(map(x.__getitem__, ids)) != want for x, ids in ((self.a_bytes, a_ids[k]), (self.b_bytes, b_ids[k]))):
-                a_ids[k], b_ids[k] = [], []
-        return [np.array(x, np.int64) for x in a_ids], [np.array(x, np.int64) for x in b_ids]
+            if not sure[k] and any(b"".join(map(x.__getitem__, ids.tolist())) != (" " + t).encode("utf-8", "surrogatepass")
+                                   for x, ids in ((self.a_bytes, a_ids[k]), (self.b_bytes, b_ids[k]))):
+                a_ids[k] = b_ids[k] = np.zeros(0, np.int64)
+        return a_ids, b_ids
+
+    def _encode_words(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Packed ids of A and B of each word with a blank in front, and whether both give back just these bytes."""
+        out = []
+        for w, e, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1) if words else ()):
+            a, want = e.ids, (" " + w).encode("utf-8", "surrogatepass")
+            same = b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
+            out.append((array.array("I", a).tobytes(), array.array("I", b).tobytes(), same))
+        return out
 
     def align(self, texts: list[str | None]) -> dict:
         """Per text n_a, n_b, n_groups and the groups as text; per link its text (``doc``) and ``pair``."""
