@@ -4,13 +4,20 @@ A group (a chat, a currency) can hold a third of all rows, so nothing here
 sorts a whole group in one task.  The group is cut into slices by a monotone
 expression of the order (an hour of time, a value bucket); rows are ordered
 inside a slice, and the slices are chained through a small per-slice table.
+A slice that holds more than SLICE_ROWS rows is cut again, at points of the
+whole order taken from a sample of its rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
+
 SLICE_SECONDS = 3600
+SLICE_ROWS = 200_000  # rows of a slice before it is cut again
+MOST_CUTS = 255  # cut points inside one slice
+PER_CUT = 32  # sampled rows for each cut point
 
 
 def time_slice(ts: Column | str, seconds: int = SLICE_SECONDS) -> Column:
@@ -24,9 +31,34 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def sliced_by(df: DataFrame, keys: list[str], order: list[str], slice_expr: Column) -> DataFrame:
+    """Adds ``_slice``, a struct that ascends with the order inside a key and has no more than a task's work of rows.
+
+    Slices are counted first.  Of a slice with more than SLICE_ROWS rows a
+    sample is drawn by hash, and every PER_CUT-th sampled row in the order is a
+    cut point; a row's place among them is the second part of its slice.  How
+    even the cuts are does not matter for results, only that they follow the order.
+    """
+    first = df.withColumn("_s", slice_expr)
+    place = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
+    narrow = first.select(*keys, "_s", place.alias("_o"))
+    names = [*keys, "_s"]
+    renamed = [F.col(c).alias(f"_k{k}") for k, c in enumerate(names)]
+    same = lambda a, b: [a[c].eqNullSafe(b[f"_k{k}"]) for k, c in enumerate(names)]
+    hot = narrow.groupBy(*names).agg(F.count("*").alias("_c")).filter(F.col("_c") > SLICE_ROWS).select(*renamed, "_c")
+    wanted = F.least(F.ceil(F.col("_c") / SLICE_ROWS), F.lit(MOST_CUTS)) * PER_CUT
+    drawn = narrow.join(hot, same(narrow, hot)).filter(F.pmod(F.xxhash64("_o"), F.greatest(F.lit(1), F.floor(F.col("_c") / wanted))) == 0)
+    cuts = drawn.select(*renamed, "_o").groupBy(*[f"_k{k}" for k in range(len(names))]).agg(F.array_sort(F.collect_list("_o")).alias("_a")).withColumn(
+        "_cuts", F.filter("_a", lambda x, i: i % PER_CUT == PER_CUT - 1)).drop("_a")
+    cuts = materialize(cuts, "cuts")  # of known size, mostly none: rows meet them without a shuffle unless they are many
+    met = first.join(cuts, same(first, cuts), "left")
+    inner = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
+    return met.select(*[first[c] for c in df.columns], F.struct(F.col("_s").alias("outer"), inner.alias("inner")).alias("_slice"))
+
+
 def ordered_rank(df: DataFrame, keys: list[str], order: list[str], slice_expr: Column) -> DataFrame:
     """Adds ``rn`` (1-based position in the key) and ``n`` (key size) without sorting a key in one task."""
-    sliced = df.withColumn("_slice", slice_expr)
+    sliced = sliced_by(df, keys, order, slice_expr)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
     run = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
@@ -49,7 +81,7 @@ def lookback(df: DataFrame, keys: list[str], order: list[str], payload: list[str
     complete on its own.
     """
     item = F.struct(*dict.fromkeys([*order, *payload]))
-    sliced = df.withColumn("_slice", slice_expr)
+    sliced = sliced_by(df, keys, order, slice_expr)
     part = [*keys, "_slice"]
     tail = (
         top_k(sliced, part, [F.col(c).desc() for c in order], k)

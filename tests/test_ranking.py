@@ -4,7 +4,7 @@ import datetime as dt
 import random
 import statistics
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tertulia.operators import ranking as R
 
@@ -61,3 +61,26 @@ def test_top_k_per_key(spark):
     got = R.top_k(frame(spark), ["k"], [F.col("v").desc(), "id"], 3).collect()
     want = {(r[0], r[1]) for g in by_key().values() for r in sorted(g, key=lambda r: (-r[3], r[1]))[:3]}
     assert {(r.k, r.id) for r in got} == want
+
+
+def test_a_hot_slice_is_cut_again(spark, monkeypatch):
+    """One hour with most rows, equal times and nulls: the same ranks, and no slice keeps more than a few times its share."""
+    from tertulia.operators import ranking as R
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise((F.col("id") % 2)).alias("chat_id"), F.col("id"),
+        F.when(F.col("id") % 997 == 0, F.lit(None)).otherwise(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7919 % 1000)).alias("ts"))
+    order = ["ts", "id"]
+    plain = {r.id: (r.rn, r.n) for r in R.ordered_rank(rows, ["chat_id"], order, R.time_slice("ts")).collect()}
+    before = {r.id: r.prev for r in R.lookback(rows, ["chat_id"], order, [], 3, R.time_slice("ts")).select("id", F.transform("prev", lambda x: x["id"]).alias("prev")).collect()}
+    monkeypatch.setattr(R, "SLICE_ROWS", 500)
+    monkeypatch.setattr(R, "PER_CUT", 8)
+    sizes = [r["count"] for r in R.sliced_by(rows, ["chat_id"], order, R.time_slice("ts")).groupBy("chat_id", "_slice").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 4 * 500 and sum(sizes) == 20_000
+    cut = {r.id: (r.rn, r.n) for r in R.ordered_rank(rows, ["chat_id"], order, R.time_slice("ts")).collect()}
+    assert cut == plain
+    again = {r.id: r.prev for r in R.lookback(rows, ["chat_id"], order, [], 3, R.time_slice("ts")).select("id", F.transform("prev", lambda x: x["id"]).alias("prev")).collect()}
+    assert again == before
+    w = Window.partitionBy("chat_id").orderBy(*order)
+    want = {r.id: r.rn for r in rows.withColumn("rn", F.row_number().over(w)).collect()}
+    assert {k: v[0] for k, v in cut.items()} == want
