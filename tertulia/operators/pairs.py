@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from .ranking import lookback, ordered_rank, time_slice, top_k
+from ..session import materialize
+from .ranking import lookback, ordered_rank, running_total, time_slice, top_k, value_bucket
 
 _M, _M2 = 2147483647, 2147483399
 
@@ -276,29 +277,42 @@ def chat_order(stats: DataFrame, seed: int) -> DataFrame:
     return stats.withColumn("o", draw(seed, F.col("chat_id")))
 
 
+def _draw_slice() -> Column:
+    """Draws in 1024 ranges."""
+    return F.floor(F.col("o") / (1 << 21))
+
+
 def sample_chats(pairs: DataFrame, max_rows: int, seed: int = 42) -> DataFrame:
-    """Whole chats up to `max_rows` rows, skipping chats that would overflow.
+    """Whole chats up to `max_rows` rows, in random order, skipping chats that would overflow.
 
-    The greedy walk needs the chat sizes in order and nothing else, so it runs
-    as a fold over the (chat, size) list; the pairs themselves are only filtered.
+    A round takes the chats that still fit, in order, up to the first that
+    overflows the room left; that one is skipped, and the next round goes on
+    behind it with the room that is left then.  Running sums find the place, so
+    no list of chats is gathered; the driver gets one place and one sum a round.
     """
-    sizes = pairs.groupBy("chat_id").agg(F.count("*").alias("c"))
-    ordered = chat_order(sizes, seed).agg(F.array_sort(F.collect_list(F.struct("o", "chat_id", "c"))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda acc, x: F.when((acc["total"] + x["c"] > max_rows) | (acc["total"] >= max_rows), acc).otherwise(
-        F.struct((acc["total"] + x["c"]).alias("total"), F.concat(acc["ids"], F.array(x["chat_id"])).alias("ids")))
-    chosen = ordered.select(F.explode(F.aggregate("s", start, step)["ids"]).alias("chat_id"))
-    return pairs.join(chosen, "chat_id", "left_semi")
+    sizes = materialize(chat_order(pairs.groupBy("chat_id").agg(F.count("*").cast("long").alias("c")), seed), "chat_sizes")
+    place, room, chosen = F.struct("o", "chat_id"), max_rows, F.lit(False)
+    behind = F.lit(True)
+    while room > 0:
+        fits = behind & (F.col("c") <= room)
+        run = materialize(running_total(sizes.filter(fits), [], ["o", "chat_id"], "c", _draw_slice()), "running_sizes")
+        over = F.col("before") + F.col("c") > room
+        stop = run.filter(over).agg(F.min(place).alias("p")).first()["p"]
+        if stop is None:
+            chosen = chosen | fits
+            break
+        at = F.struct(F.lit(stop["o"]).alias("o"), F.lit(stop["chat_id"]).alias("chat_id"))
+        chosen = chosen | (fits & (place < at))
+        room -= run.filter(place < at).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()["c"]
+        behind = place > at
+    return pairs.join(sizes.filter(chosen).select("chat_id"), "chat_id", "left_semi")
 
 
 def holdout_chats(pairs: DataFrame, share: float = 0.10, seed: int = 42) -> DataFrame:
     """Chats put aside, in random order, until at least `share` of all rows are held out."""
-    sizes = chat_order(pairs.groupBy("chat_id").agg(F.count("*").alias("c")), seed)
-    w = W.orderBy("o", "chat_id")  # one row per chat
-    total = F.sum("c").over(W.partitionBy())
-    before = F.coalesce(F.sum("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("before", before).withColumn("all", total).filter(
-        F.col("before") < F.col("all") * share).select("chat_id", "c")
+    sizes = materialize(chat_order(pairs.groupBy("chat_id").agg(F.count("*").alias("c")), seed), "chat_sizes")
+    run = running_total(sizes, [], ["o", "chat_id"], "c", _draw_slice())
+    return run.filter(F.col("before") < F.col("all") * share).select("chat_id", "c")
 
 
 def split_holdout(pairs: DataFrame, share: float = 0.10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -321,20 +335,46 @@ def row_folds(pairs: DataFrame, n_splits: int = 5, seed: int = 42) -> DataFrame:
     return pairs.withColumn("fold", (draw(seed, F.col("chat_id"), F.col("a.id"), F.col("b.id")) % n_splits).cast("int"))
 
 
+def lightest_runs(counts: dict[int, int], n_splits: int) -> list[tuple[int, int, list[int]]]:
+    """Where items go that are dealt largest first, each to the lightest fold so far (the first of equals).
+
+    ``counts`` tells how many items there are of each size.  Rows (size, first
+    rank, folds): from that rank on, until the next row of the size, the k-th
+    item goes to ``folds[k % len(folds)]``.  Folds that lie within one size of the
+    lightest take one item each in turn until a heavier one is reached, so a
+    size has few rows however many items it has.
+    """
+    load, out = [0] * n_splits, []
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            order = sorted(range(n_splits), key=lambda f: (load[f], f))
+            turn = [f for f in order if load[f] < load[order[0]] + size]
+            rest = order[len(turn):]
+            rounds = left // len(turn) if not rest else min(left // len(turn), max(1, (load[rest[0]] - load[turn[0]]) // size))
+            out.append((size, rank, turn))
+            taken = rounds * len(turn) if rounds else left
+            for k, f in enumerate(turn):
+                load[f] += size * (rounds if rounds else int(k < left))
+            rank, left = rank + taken, left - taken
+    return out
+
+
 def group_folds(pairs: DataFrame, n_splits: int = 5) -> DataFrame:
-    """Chats to folds, largest first, each to the lightest fold so far (a fold over the chat list)."""
-    sizes = pairs.groupBy("chat_id").agg(F.count("*").alias("c"))
-    ordered = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "chat_id"))).alias("s"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), n_splits).alias("load"),
-                     F.array().cast("array<struct<chat_id:bigint,fold:int>>").alias("out"))
-
-    def step(acc, x):
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
-        load = F.transform(acc["load"], lambda v, i: F.when(i == at, v - x["neg"]).otherwise(v))
-        item = F.struct(x["chat_id"].cast("long").alias("chat_id"), at.alias("fold"))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folds = ordered.select(F.explode(F.aggregate("s", start, step)["out"]).alias("x")).select("x.*")
+    """Chats to folds, largest first, each to the lightest fold so far.
+
+    The walk runs over the number of chats of each size (the driver gets one
+    number per size, of which there are at most about the root of twice the
+    rows); a chat finds its fold by its rank among the chats of its size.
+    """
+    sizes = materialize(pairs.groupBy("chat_id").agg(F.count("*").alias("c")), "chat_sizes")
+    counts = {r["c"]: r["count"] for r in sizes.groupBy("c").count().toLocalIterator()}
+    runs = [(c, rank, turn) for c, rank, turn in lightest_runs(counts, n_splits)]
+    ranked = ordered_rank(sizes, ["c"], ["chat_id"], value_bucket("chat_id")).select("chat_id", "c", (F.col("rn") - 1).alias("_at"))
+    table = pairs.sparkSession.createDataFrame(runs, "c long, _from long, _turn array<int>")
+    table = table.withColumn("_to", F.lead("_from").over(W.partitionBy("c").orderBy("_from")))
+    met = ranked.join(table, "c").filter((F.col("_at") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to"))))
+    folds = met.select("chat_id", F.get("_turn", F.pmod(F.col("_at") - F.col("_from"), F.size("_turn")).cast("int")).alias("fold"))
     return pairs.join(folds, "chat_id")
 
 

@@ -73,6 +73,19 @@ def ordered_rank(df: DataFrame, keys: list[str], order: list[str], slice_expr: C
     return out.select(*[ranked[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias("rn"), offsets["n"])
 
 
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, slice_expr: Column) -> DataFrame:
+    """Adds ``before`` (sum of the value over the rows before, in the key) and ``all`` (its sum over the key), slice by slice."""
+    sliced = sliced_by(df, keys, order, slice_expr)
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_c"))
+    run = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)], F.col("_slice").alias("_sk"),
+                          F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(*keys)).alias("all"))
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = sliced.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    out = own.join(offsets, [own["_slice"].eqNullSafe(offsets["_sk"]), *[own[c].eqNullSafe(offsets[f"_k{k}"]) for k, c in enumerate(keys)]])
+    return out.select(*[own[c] for c in df.columns], (F.col("_before") + F.col("_in")).alias("before"), "all")
+
+
 def lookback(df: DataFrame, keys: list[str], order: list[str], payload: list[str], k: int,
              slice_expr: Column, name: str = "prev") -> DataFrame:
     """Adds an array of the up to k preceding rows of the key, oldest first.

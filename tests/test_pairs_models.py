@@ -166,3 +166,76 @@ def test_signature(spark):
     s = P.signature(m, "hash", take=10)
     assert s.first().files == ["a.json", "b.json"] and s.first().total_messages == 3
     assert P.is_current(s, P.signature(m, "hash", take=10)) and not P.is_current(s, P.signature(m, "hash", take=9))
+
+
+def chats(spark, sizes):
+    rows = [(k, i) for k, n in sizes.items() for i in range(n)]
+    return spark.createDataFrame(rows, "chat_id long, id long")
+
+
+def test_runs_of_the_lightest_fold_are_the_walk():
+    import random
+
+    r = random.Random(4)
+    for trial in range(200):
+        n, folds = r.randrange(1, 60), r.randrange(1, 7)
+        sizes = sorted((r.choice([1, 1, 1, 2, 3, 7, 20, 100]) for _ in range(n)), reverse=True)
+        load, want = [0] * folds, []
+        for c in sizes:
+            at = min(range(folds), key=lambda f: (load[f], f))
+            load[at] += c
+            want.append((c, at))
+        counts = {c: sizes.count(c) for c in set(sizes)}
+        runs = P.lightest_runs(counts, folds)
+        got = []
+        for c in sorted(counts, reverse=True):
+            own = [x for x in runs if x[0] == c]
+            for k, (_, rank, turn) in enumerate(own):
+                end = own[k + 1][1] if k + 1 < len(own) else counts[c]
+                got += [(c, turn[i % len(turn)]) for i in range(end - rank)]
+        assert got == want
+        assert len(runs) <= (folds + 2) * len(counts)
+    assert len(P.lightest_runs({1: 10 ** 12, 5: 3, 10 ** 6: 2}, 5)) < 30  # many chats of a size are no many steps
+
+
+def test_group_folds_of_many_chats(spark):
+    import random
+
+    r = random.Random(1)
+    sizes = {k: r.choice([1, 1, 2, 3, 9, 30]) for k in range(120)}
+    p = chats(spark, sizes)
+    got = {x.chat_id: x.fold for x in P.group_folds(p, 5).select("chat_id", "fold").distinct().collect()}
+    load, want = [0] * 5, {}
+    for k in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        want[k] = min(range(5), key=lambda f: (load[f], f))
+        load[want[k]] += sizes[k]
+    assert got == want
+
+
+def test_sampled_chats_are_the_walk(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        sizes = {k: r.choice([1, 2, 5, 40, 90, 130]) for k in range(40)}
+        p = chats(spark, sizes)
+        order = [x.chat_id for x in P.chat_order(p.select("chat_id").distinct(), 42).orderBy("o", "chat_id").collect()]
+        for most in (1, 100, 333, 10 ** 6):
+            total, want = 0, set()
+            for k in order:
+                if total + sizes[k] <= most:
+                    total += sizes[k]
+                    want.add(k)
+            assert {x.chat_id for x in P.sample_chats(p, most).select("chat_id").distinct().collect()} == want
+    assert P.sample_chats(p.limit(0), 10).count() == 0
+
+
+def test_running_total(spark):
+    from tertulia.operators import ranking as R
+
+    df = spark.createDataFrame([(k % 3 or None, k * 37 % 101, k) for k in range(60)], "g int, o long, v long")
+    got = {r.v: (r.before, r["all"]) for r in R.running_total(df, ["g"], ["o", "v"], "v", F.floor(F.col("o") / 10)).collect()}
+    rows = df.collect()
+    for r in rows:
+        same = [x for x in rows if x.g == r.g]
+        assert got[r.v] == (sum(x.v for x in same if (x.o, x.v) < (r.o, r.v)), sum(x.v for x in same))
