@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
-from .matches import pattern_counts, prepared
+from .matches import match_array, pattern_counts, prepared
 from .ranking import median_of_counts, ordered_rank, time_slice, value_counts
 
 TREND_KEYS = ["monedas_explicitas", "urls_raw", "hashtags", "mentions", "emails", "phone_numbers",
@@ -88,6 +88,10 @@ def daily_activity(messages: DataFrame) -> DataFrame:
 
 def message_flags(messages: DataFrame) -> DataFrame:
     """Per message: which kinds of pattern it holds.  Every trend measure reads this one scan."""
+    return prepared(messages).select("chat_id", "id", "ts", *_flag_columns())
+
+
+def _flag_columns() -> list[Column]:
     from ..rules.patterns import DATES
 
     n = pattern_counts("text", TREND_KEYS + [r.key for r in DATES])
@@ -95,8 +99,7 @@ def message_flags(messages: DataFrame) -> DataFrame:
     any_date = dates[0] > 0
     for d in dates[1:]:
         any_date = any_date | (d > 0)
-    return prepared(messages).select(
-        "chat_id", "id", "ts",
+    return [
         (n["monedas_explicitas"] > 0).alias("financial"),
         any_date.alias("temporal"),
         (n["urls_raw"] > 0).alias("urls"),
@@ -105,7 +108,14 @@ def message_flags(messages: DataFrame) -> DataFrame:
         n["phone_numbers"].alias("phones"),
         ((n["emails"] > 0) | (n["phone_numbers"] > 0)).alias("contact"),
         ((n["coordinates"] > 0) | (n["ip_addresses"] > 0)).alias("technical"),
-    )
+    ]
+
+
+def flags_and_prices(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flags of every message and the price hits, from one scan of the texts that is written down."""
+    both = materialize(prepared(messages).select("chat_id", "id", "ts", *_flag_columns(), match_array("text", ["monedas_explicitas"]).alias("_hits")), "trend_base")
+    hits = both.select("chat_id", "id", "ts", F.explode("_hits").alias("h")).select("chat_id", "id", "ts", "h.category", "h.key", "h.ord", "h.value", "h.groups")
+    return both.drop("_hits"), hits
 
 
 def patterns_by_hour(flags: DataFrame) -> DataFrame:

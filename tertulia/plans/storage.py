@@ -12,7 +12,7 @@ from .alarms import ALARMS, IN_RANGE, _stream_messages, alarms
 from .graph import FACTORS, MEMBERS, graph_parts, nodes, replies, thread_table
 from .inputs import CONVERSATION_MESSAGES, EVENT_MESSAGES, conversation_messages, event_messages, table
 from .pairs import PAIRS, _ORDER, pairs
-from .registry import query
+from .registry import ORACLES, query
 from .scoring import TOKENS, labelled_tokens
 
 
@@ -157,3 +157,25 @@ def k09(spark, d):
     base = fresh(spark, "predictions")
     K.write_csv(sequence(spark, d).select("doc_id", "prediction"), base)
     return spark.read.option("header", True).schema("doc_id long, prediction long").csv(base)
+
+
+_RUNS = "(VALUES (1::BIGINT), (2::BIGINT)) r(run)"
+
+
+@query("s14b_saved_runs", f"""SELECT 'matches' AS name, run, count(*) AS n, CAST(sum(run - 1) AS BIGINT) AS scored FROM ({ORACLES['k02_stored_patterns']}), {_RUNS} GROUP BY run
+UNION ALL SELECT 'edges', 1, CAST(sum(n) AS BIGINT), 0 FROM ({ORACLES['k03_stored_graph']}) WHERE kind <> 'user'
+UNION ALL SELECT 'threads', run, count(*), 0 FROM ({ORACLES['k04_stored_threads']}), {_RUNS} GROUP BY run""")
+def s14b(spark, d):
+    """Two runs of results are saved, the second with a column more and without the graph, and put together again."""
+    from ..operators.matches import extract_matches
+
+    base = fresh(spark, "results")
+    hits, threads = extract_matches(event_messages(spark, d), ["hashtags"]), thread_table(spark, d)
+    K.save_run({"matches": hits, "edges": graph_parts(spark, d)[2], "threads": threads}, base, 1)
+    K.save_run({"matches": hits.withColumn("score", F.lit(1.0)), "threads": threads}, base, 2)
+    out = None
+    for name, df in K.load_saved(spark, base).items():
+        score = F.count("score") if "score" in df.columns else F.lit(0).cast("long")
+        part = df.groupBy("run").agg(F.count("*").alias("n"), score.alias("scored")).select(F.lit(name).alias("name"), "run", "n", "scored")
+        out = part if out is None else out.unionByName(part)
+    return out

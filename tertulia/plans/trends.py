@@ -8,7 +8,7 @@ from ..operators import matches as M, trends as T
 from ..rules.patterns import BY_KEY
 from .extraction import _DATE_KEYS, _DATE_SUM, _len, _q, event_matches, re2
 from .inputs import EVENT_MESSAGES, event_messages
-from .registry import query
+from .registry import ORACLES, query
 
 _R20 = _q(re2(BY_KEY["monedas_explicitas"].regexes[0], True))
 _ZIP = ", ".join(f"regexp_extract_all(text, {_R20}, {i})" for i in range(1, 10))
@@ -174,10 +174,35 @@ def t18(spark, d):
     return T.executive_summary(event_messages(spark, d), event_matches(spark, d, ["monedas_explicitas"]), flags(spark, d))
 
 
-@query("t19_trend_report", _SUMMARY_SQL + " UNION ALL " + f"""
-SELECT 'hour', CAST(hour(ts) AS VARCHAR) || '=' || count(*) FROM events GROUP BY hour(ts)
-UNION ALL SELECT 'weekday', dayname(ts) || '=' || count(*) FROM events GROUP BY dayname(ts)
-UNION ALL SELECT 'metadata', 'total_messages_analyzed=' || count(*) FROM events""")
+def _section(name, oracle, *columns):
+    """Lines of a report section from the SQL of the measure's own query; ``d:`` marks fractions."""
+    text = lambda c: f"'{c[2:]}=' || CAST(CAST({c[2:]} AS DECIMAL(30,4)) AS VARCHAR)" if c.startswith("d:") else f"'{c}=' || CAST(\"{c}\" AS VARCHAR)"
+    body = " || '; ' || ".join(text(c) for c in columns)
+    return f"SELECT '{name}' AS section, {body} AS line FROM ({ORACLES[oracle] if oracle in ORACLES else oracle})"
+
+
+_TREND_REPORT = " UNION ALL ".join([
+    _section("metadata", "SELECT count(*) AS total_messages_analyzed FROM events", "total_messages_analyzed"),
+    _section("analysis_period", "t05_analysis_period", "start", "end", "days"),
+    _section("price_statistics", "t03_price_statistics", "currency", "n", "d:min_price", "d:max_price", "d:avg_price", "d:volatility", "d:median"),
+    _section("price_trend", "t04_price_trend", "currency", "n", "d:first_half", "d:second_half", "trend"),
+    _section("hour", "t06_hourly_activity", "hour", "n"),
+    _section("weekday", "t07_weekday_activity", "weekday", "n"),
+    _section("patterns_by_hour", "t08_patterns_by_hour", "hour", "financial", "temporal", "urls"),
+    _section("peak_hours", "t09_peak_hours", "hour", "n"),
+    _section("recommended_hours", "t10_recommended_hours", "hour", "recommendation", "financial_activity"),
+    _section("price_spikes", "t11_price_spikes", "currency", "d:volatility", "reason"),
+    _section("night_activity", "t12_night_activity", "hour", "activity_count", "reason"),
+    _section("contact_bursts", "t13_contact_bursts", "chat_id", "id", "phones", "emails", "reason"),
+    _section("financial_weekdays", "t14_financial_weekdays", "weekday", "n", "most_active"),
+    _section("social_financial", "t15_social_financial", "d:ratio", "both", "total"),
+    _section("contact_technical", "t16_contact_technical", "d:ratio", "both", "total", "implications"),
+    f"SELECT section, line FROM ({ORACLES['t17_correlation_insights']})",
+    f"SELECT section, line FROM ({_SUMMARY_SQL})",
+])
+
+
+@query("t19_trend_report", _TREND_REPORT)
 def t19(spark, d):
     from ..operators.reports import trend_report
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import sanitize_filename
 from ..operators.reports import iso_strings
@@ -70,3 +70,43 @@ def append_predictions(rows: DataFrame, path: str, key: list[str], predict, save
     todo = pending(rows, saved, key)
     predict(todo).write.mode("append").parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+MANIFEST = "run long, name string, columns array<string>, rows long, saved_at timestamp"
+
+
+def save_run(tables: dict[str, DataFrame], base: str, run: int) -> None:
+    """The result tables of one run beside those of earlier runs, and a line for each in the manifest.
+
+    A table is listed only when it is written whole, so a run that broke off is
+    not read; a run that is saved again replaces its tables.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        path = f"{base}/tables/{name}/run={run}"
+        df.write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(df.schema).parquet(path).count()
+        line = spark.range(1).select(F.lit(run).cast("long").alias("run"), F.lit(name).alias("name"), F.array(*map(F.lit, df.columns)).alias("columns"),
+                                     F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("saved_at"))
+        line.write.mode("overwrite").parquet(f"{base}/manifest/run={run}/name={name}")
+
+
+def manifest(spark: SparkSession, base: str) -> DataFrame:
+    """What is saved: run, name, columns, rows, saved_at."""
+    return spark.read.schema(MANIFEST).option("recursiveFileLookup", True).parquet(f"{base}/manifest")
+
+
+def load_saved(spark: SparkSession, base: str, latest: bool = False) -> dict[str, DataFrame]:
+    """Saved tables by name, with a column ``run``; columns that only some runs have are null in the others.
+
+    ``latest`` keeps each table's last run only.  Tables are told apart by the
+    manifest (names and runs reach the driver).
+    """
+    saved: dict[str, list[int]] = {}
+    for r in manifest(spark, base).select("name", "run").orderBy("name", "run").collect():
+        saved.setdefault(r["name"], []).append(r["run"])
+    out = {}
+    for name, runs in saved.items():
+        paths = [f"{base}/tables/{name}/run={k}" for k in (runs[-1:] if latest else runs)]
+        out[name] = spark.read.option("mergeSchema", True).option("basePath", f"{base}/tables/{name}").parquet(*paths).withColumn("run", F.col("run").cast("long"))
+    return out

@@ -195,3 +195,19 @@ def test_late_rows_go_to_their_own_table(spark, tmp_path):
     assert late == {4: 1, 5: 1, 8: 2, 9: 2, 11: 2}
     kept = spark.read.option("basePath", out + "/table").parquet(out + "/table")
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 6, 7, 10]
+
+
+def test_saved_runs(spark, tmp_path):
+    base = str(tmp_path / "results")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, word string")
+    K.save_run({"words": one, "empty": one.limit(0)}, base, 1)
+    K.save_run({"words": one.withColumn("score", F.lit(0.5))}, base, 2)
+    (tmp_path / "results" / "tables" / "words" / "run=3").mkdir()  # a run that broke off
+    got = K.load_saved(spark, base)
+    assert set(got) == {"words", "empty"} and got["empty"].count() == 0
+    assert sorted((r.run, r.id, r.score) for r in got["words"].collect()) == [(1, 1, None), (1, 2, None), (2, 1, 0.5), (2, 2, 0.5)]
+    assert K.load_saved(spark, base, latest=True)["words"].select("run").distinct().collect() == [(2,)]
+    K.save_run({"words": one.limit(1)}, base, 2)  # saved again
+    assert K.load_saved(spark, base)["words"].filter("run = 2").count() == 1
+    lines = {(r.name, r.run): (r.rows, r.columns) for r in K.manifest(spark, base).collect()}
+    assert lines == {("words", 1): (2, ["id", "word"]), ("empty", 1): (0, ["id", "word"]), ("words", 2): (1, ["id", "word"])}
