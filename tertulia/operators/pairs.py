@@ -198,31 +198,44 @@ def term_vocabulary(texts: DataFrame, size: int = 8192, text: str = "text") -> D
     return terms.orderBy(F.col("n").desc(), "term").limit(size)
 
 
+def text_id(text: Column) -> Column:
+    """128 bits that stand for a text in joins."""
+    return F.unhex(F.md5(text))
+
+
 def text_features(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Features of each distinct text of the pairs: in-vocabulary terms, length, emoji runs, link, capitals.
+    """Features of each distinct text of the pairs by its id: in-vocabulary terms, length, emoji runs, link, capitals.
 
     The vocabulary is cut to a fixed number of terms, which bounds its broadcast.
     """
-    pool = pairs.select("a.text").unionByName(pairs.select("b.text")).select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    key = pool.select("text", F.xxhash64("text").alias("h1"), F.md5("text").alias("h2"))
-    hit = key.select("h1", "h2", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).join(
-        F.broadcast(vocab.select("term")), "term", "left_semi").groupBy("h1", "h2").agg(F.collect_list("term").alias("terms"))
-    return key.join(hit, ["h1", "h2"], "left").select(
-        "text", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.length("text").cast("long").alias("len"),
-        X.emoji_runs(F.col("text")).alias("emojis"), X.has_url(F.col("text")).alias("url"), X.all_caps(F.col("text")).alias("caps"))
+    texts = pairs.select("a.text").unionByName(pairs.select("b.text")).select(F.coalesce("text", F.lit("")).alias("text"))
+    pool = texts.select(text_id(F.col("text")).alias("tid"), "text").groupBy("tid").agg(F.first("text").alias("text"))
+    hit = pool.select("tid", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).join(
+        F.broadcast(vocab.select("term")), "term", "left_semi").groupBy("tid").agg(F.collect_list("term").alias("terms"))
+    flat = pool.select("tid", F.length("text").cast("long").alias("len"), X.emoji_runs(F.col("text")).alias("emojis"), X.has_url(F.col("text")).alias("url"), X.all_caps(F.col("text")).alias("caps"))
+    return flat.join(hit, "tid", "left").select(
+        "tid", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), "len", "emojis", "url", "caps")
+
 
+def edit_ratios(pairs: DataFrame) -> DataFrame:
+    """seq_ratio of each distinct pair of texts (by their ids _a and _b); a pair's texts travel once, whatever the number of its rows."""
+    t = pairs.select(F.coalesce("a.text", F.lit("")).alias("x"), F.coalesce("b.text", F.lit("")).alias("y"))
+    distinct = t.select(text_id(F.col("x")).alias("_a"), text_id(F.col("y")).alias("_b"), "x", "y").groupBy("_a", "_b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    return distinct.select("_a", "_b", X.edit_similarity("x", "y").alias("seq_ratio"))
 
-def enrich(pairs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """Attach the pair features through the pool of distinct texts."""
+
+def enrich(pairs: DataFrame, vocab: DataFrame | None = None, distance: bool = True) -> DataFrame:
+    """Attach the pair features through the pool of distinct texts, which pairs meet by 128-bit ids.
+
+    Without ``distance`` no edit distances are worked out and seq_ratio is null.
+    """
     texts = pairs.select("a.text").unionByName(pairs.select("b.text"))
     vocab = vocab if vocab is not None else term_vocabulary(texts)
     f = text_features(pairs, vocab)
-    side = lambda p: f.select(F.col("text").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in f.columns if c != "text"])
-    p = pairs.withColumn("_a", F.coalesce("a.text", F.lit(""))).withColumn("_b", F.coalesce("b.text", F.lit("")))
-    j = p.join(side("a"), "_a").join(side("b"), "_b")
-    # the edit distance is worked out once per distinct pair of texts
-    seq = j.select("_a", "_b").distinct().withColumn("seq_ratio", X.edit_similarity("_a", "_b"))
-    j = j.join(seq, ["_a", "_b"])
+    side = lambda p: f.select(F.col("tid").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in f.columns if c != "tid"])
+    of = lambda p: text_id(F.coalesce(f"{p}.text", F.lit(""))).alias(f"_{p}")
+    j = pairs.withColumns({"_a": of("a"), "_b": of("b")}).join(side("a"), "_a").join(side("b"), "_b")
+    j = j.join(edit_ratios(pairs), ["_a", "_b"]) if distance else j.withColumn("seq_ratio", F.lit(None).cast("double"))
     extra = F.struct(
         F.col("a_len").alias("len_a"), F.col("b_len").alias("len_b"),
         X.jaccard(F.col("a_terms"), F.col("b_terms"), 1.0).alias("tfidf_jaccard"), F.col("seq_ratio"),

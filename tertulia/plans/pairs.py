@@ -147,11 +147,16 @@ def enriched(spark, d):
     return stored(spark, d, "enriched_pairs", lambda: P.enrich(pairs(spark, d)))
 
 
+def plain_features(spark, d):
+    """The pair features without edit distances."""
+    return stored(spark, d, "plain_features", lambda: P.enrich(pairs(spark, d), distance=False))
+
+
 def _feature(name, column, sql, cast=None):
     def run(spark, d):
         v = F.col("features_extra." + column)
         v = F.round(v, 6) if cast is None else v.cast(cast)
-        return enriched(spark, d).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", v.alias("value"))
+        return plain_features(spark, d).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", v.alias("value"))
 
     query(name, FEATURES + f"SELECT chat_id, a_id, b_id, kind, {sql} AS value FROM out")(run)
 
@@ -169,7 +174,7 @@ def d11(spark, d):
 
 @query("d15_text_lengths", FEATURES + "SELECT chat_id, a_id, b_id, kind, CAST(len_a AS BIGINT) AS len_a, CAST(len_b AS BIGINT) AS len_b FROM out")
 def d15(spark, d):
-    return enriched(spark, d).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", "features_extra.len_a", "features_extra.len_b")
+    return plain_features(spark, d).select("chat_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "kind", "features_extra.len_a", "features_extra.len_b")
 
 
 @query("d16_enriched_pairs", FEATURES + """SELECT kind, count(*) AS n, round(avg(jac), 6) AS jaccard, round(avg(seq), 6) AS seq_ratio, CAST(sum(len_a + len_b) AS BIGINT) AS chars FROM out GROUP BY 1""")

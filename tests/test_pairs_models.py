@@ -239,3 +239,29 @@ def test_running_total(spark):
     for r in rows:
         same = [x for x in rows if x.g == r.g]
         assert got[r.v] == (sum(x.v for x in same if (x.o, x.v) < (r.o, r.v)), sum(x.v for x in same))
+
+
+def test_pair_features_meet_by_ids(spark):
+    """Null and equal texts, repeated pairs; no distance unless asked for, and no whole text in a join key."""
+    side = "struct<id:long,text:string>"
+    rows = [((1, "hola mundo"), (2, "hola mundos")), ((1, "hola mundo"), (2, "hola mundos")), ((3, None), (4, "")), ((5, "HOLA 😀"), (6, "hola 😀😀 😀 http://a.b")), ((7, "ABC"), (8, "XYZ"))]
+    p = spark.createDataFrame(rows, f"a {side}, b {side}")
+    got = [r.features_extra for r in P.enrich(p).orderBy("a.id").collect()]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    texts = [(a[1] or "", b[1] or "") for a, b in rows]
+    assert np.allclose([x.seq_ratio for x in got], [1 - distance(a, b) / max(len(a), len(b)) if a and b else 0.0 for a, b in texts])
+    assert [(x.len_a, x.len_b) for x in got] == [(len(a), len(b)) for a, b in texts]
+    assert [x.both_all_caps for x in got] == [0, 0, 0, 0, 1] and got[3].emoji_diff == 1
+    plain = P.enrich(p, distance=False)
+    text = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in text.lower() and all(r.features_extra.seq_ratio is None for r in plain.collect())
+    joins = [line for line in text.splitlines() if "Join" in line]
+    assert joins and not any("text" in line for line in joins)
