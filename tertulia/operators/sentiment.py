@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
+from ..functions.reuse import once_per_application
 from ..rules import lexicon as L
 from ..session import materialize
 
@@ -21,13 +22,13 @@ def lexicon_table(spark, words: dict[str, float] | None = None) -> DataFrame:
     return _fixed_table(spark, list((words or L.LEXICON).items()), "word string, score double")
 
 
-def modifier_table(spark) -> DataFrame:
+def modifiers() -> dict[str, float]:
     """Factor of each single word that can stand before another: negation times intensity."""
     single = {w: -1.0 for w in L.NEGATORS if " " not in w}
     for w, m in L.INTENSIFIERS.items():
         if " " not in w:
             single[w] = single.get(w, 1.0) * m
-    return _fixed_table(spark, list(single.items()), "before string, factor double")
+    return single
 
 
 def token_steps(words: Column) -> Column:
@@ -35,23 +36,30 @@ def token_steps(words: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get(words, i - 1)).alias("before")))
 
 
-def _scored_tokens(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """Tokens with score and factor.  The joins are against fixed tables; nothing is shuffled here."""
-    spark = df.sparkSession
-    tok = df.select(*keep, X.words(text).alias("_w")).select(*keep, F.explode_outer(token_steps(F.col("_w"))).alias("_t")).select(
-        *keep, "_t.word", "_t.before")
-    return tok.join(lexicon_table(spark), "word", "left").join(modifier_table(spark), "before", "left").withColumn(
-        "value", F.coalesce("score", F.lit(0.0)) * F.coalesce("factor", F.lit(1.0)))
+def _sql_map(table: dict[str, float]) -> str:
+    quoted = lambda w: "'" + w.replace("'", "\\'") + "'"
+    return "map(" + ", ".join(f"{quoted(w)}, {v!r}D" for w, v in table.items()) + ")"
 
 
-def lexicon_scores(messages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Sum of word scores per message, each under the word before it.
+@once_per_application
+def _word_values(words: str) -> tuple[Column, Column]:
+    """Sum of the scores of a column of words, each under the word before it, and how many words have one.
 
-    A message's tokens stay in one partition until the partial sum, so one
-    small (key, sum) row per message is all that is shuffled.
+    Works inside the row: words without a score leave by a set test, and only
+    the others look up their score and factor.
     """
-    t = _scored_tokens(messages, F.col(text), keys)
-    return t.groupBy(*keys).agg(F.sum("value").alias("score"), F.count("score").alias("hits"))
+    factors = modifiers()
+    hits = F.filter(token_steps(F.col(words)), lambda t: t["word"].isin(list(L.LEXICON)))
+    score, factor = F.expr(_sql_map(L.LEXICON)), F.expr(_sql_map(factors))
+    value = lambda t: F.element_at(score, t["word"]) * F.coalesce(F.when(t["before"].isin(list(factors)), F.element_at(factor, t["before"])), F.lit(1.0))
+    total = F.aggregate(hits, F.lit(0.0), lambda acc, t: acc + value(t))
+    return F.coalesce(total, F.lit(0.0)), F.coalesce(F.size(hits), F.lit(0)).cast("long")
+
+
+def lexicon_scores(messages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Sum of word scores per message, each under the word before it.  Narrow: a message is scored in its row."""
+    score, hits = _word_values("_w")
+    return messages.select(*keys, X.words(F.col(text)).alias("_w")).select(*keys, score.alias("score"), hits.alias("hits"))
 
 
 def dead_band_label(score: Column | str, band: float = 0.1) -> Column:
@@ -105,7 +113,7 @@ def sentence_scores(messages: DataFrame, keys: list[str], text: str = "text", ph
     if phrases:
         s = s.withColumn("extra", phrase_adjustment(F.col("sentence")))
     keep = [*keys, "sentence_no", "weight"] + (["extra"] if phrases else [])
-    t = _scored_tokens(s, F.col("sentence"), keep).groupBy(*keep).agg(F.sum("value").alias("plain"))
+    t = s.select(*keep, X.words(F.col("sentence")).alias("_w")).select(*keep, _word_values("_w")[0].alias("plain"))
     base = F.col("plain") + F.col("extra") if phrases else F.col("plain")
     return t.select(*keys, "sentence_no", (base * F.coalesce("weight", F.lit(1.0))).alias("score"))
 
