@@ -5,13 +5,15 @@ their labels with word counts from the whole table (page titles, path words and
 parts of hyphenated labels); multinomial naive Bayes, learned from the urls
 that rules decide, then scores the words of host and path.
 
-Word counts stay a table with every word: the substrings of each distinct host
-are joined with it, and a host is split with the counts of its own substrings,
-so nothing is gathered.  The words of naive Bayes are hashed to ``CELLS`` cells.
+Word counts stay a table with every word: the substrings of each distinct host,
+under a 128-bit number of the host, are joined with it, and a host is split with
+the counts of its own substrings, so nothing is gathered and a host may have any
+length.  The words of naive Bayes are hashed to ``CELLS`` cells.
 
 A null url, or one without ``://``, has an empty host and path and no words.
 Equal urls get equal verdicts.  Without learned urls of a kind the other kind
-is the verdict; without any it is allow.
+is the verdict; without any it is allow.  Extra columns are dropped, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialize
+from .common import small_batches
 
 CELLS = 1 << 16
 LONGEST_WORD = 24
-HOSTS = 100  # hosts cut into substrings at once
+PIECES = 50_000  # substrings of hosts handed on at once
 # verdict, host, path
 RULES = [
     ("allow", "com", "/"),
@@ -95,29 +98,42 @@ class Segmenter:
         return [w for x in _WORD.findall(host) for w in (["#"] if x.isdigit() else self.split(x))]
 
 
-def substrings(host: str) -> set[str]:
-    """What a split of the host's names may ask the word table for."""
-    names = [x for x in _WORD.findall(host) if not x.isdigit()]
-    return {x[a:b] for x in names for a in range(len(x)) for b in range(a + 2, min(len(x), a + LONGEST_WORD) + 1)}
+def substrings(host: str):
+    """What a split of the host's names may ask the word table for; some come more than once."""
+    for x in _WORD.findall(host):
+        if not x.isdigit():
+            for a in range(len(x)):
+                for b in range(a + 2, min(len(x), a + LONGEST_WORD) + 1):
+                    yield x[a:b]
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """``words`` of every host (a table of distinct hosts), from the counts of its own substrings."""
     total = counts.agg(F.sum("n")).first()[0] or 0
 
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], names=["hid", "word"])
+
     def cut(batches):
+        """Each substring with its host's number only: a host of any length is as many short rows."""
+        found = set()
         for b in batches:
-            for a in range(0, b.num_rows, HOSTS):
-                found = [(h, w) for h in b.column("host").slice(a, HOSTS).to_pylist() for w in substrings(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(2)], names=["host", "word"])
+            for hid, h in zip(b.column("hid").to_pylist(), b.column("host").to_pylist()):
+                for w in substrings(h):
+                    found.add((hid, w))
+                    if len(found) >= PIECES:
+                        yield batch(found)
+                        found = set()
+        yield batch(found)
 
     def segment(batches):
         for b in batches:
             words = [Segmenter({k["word"]: k["n"] for k in known or ()}, total).words(h) for h, known in zip(b.column("host").to_pylist(), b.column("known").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(words, pa.list_(pa.string()))], names=["host", "host_words"])
 
-    known = hosts.mapInArrow(cut, "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return hosts.join(known, "host", "left").select("host", "known").mapInArrow(segment, "host string, host_words array<string>")
+    named = hosts.select("host", F.unhex(F.md5("host")).alias("hid"))
+    known = small_batches(named).mapInArrow(cut, "hid binary, word string").join(counts, "word").groupBy("hid").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return small_batches(named.join(known, "hid", "left").select("host", "known")).mapInArrow(segment, "host string, host_words array<string>")
 
 
 def words_of(parsed: DataFrame, counts: DataFrame, out: str) -> DataFrame:

@@ -375,6 +375,21 @@ def test_every_word_splits_hosts(spark, tmp_path_factory, monkeypatch):
     assert len(got) == len(rows) and all(r["words"] == want[r["host"]] for r in got)
 
 
+def test_hosts_of_any_length(spark, tmp_path_factory):
+    """A host of fifty thousand letters, clashing extra columns, an empty table."""
+    long = "shoe" * 6000 + "store" * 5000 + "x" * 1000
+    rows = [(1, f"http://{long}.org/a", "<title>shoe store</title>", "h", 0), (2, "http://shoestore.org/", None, "h", 0), (3, "http://a.net/es/", "<title>store shoe</title>", "h", 0)]
+    pages = stored(spark, tmp_path_factory, rows, "page_id long, url string, html string, host string, known int")
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert got[1]["host"] == long + ".org" and got[3]["rule"] == "net/es/" and got[2]["verdict"] in ("allow", "block")
+    hosts = spark.createDataFrame([(long,), ("shoestore.org",), ("",)], "host string")
+    counts = spark.createDataFrame([("shoe", 5), ("store", 5), ("org", 9)], "word string, n long")
+    split = {r["host"]: r["host_words"] for r in url_filter.host_words(hosts, counts).collect()}
+    assert split[long][:6000] == ["shoe"] * 6000 and split[long][6000:11000] == ["store"] * 5000
+    assert split["shoestore.org"] == ["shoe", "store", "org"] and split[""] == []
+    assert url_filter.judge(pages.limit(0)).collect() == []
+
+
 def test_segmentation():
     s = url_filter.Segmenter({"free": 50, "bets": 40, "be": 30, "the": 500, "pills": 20, "cheap": 25})
     assert s.split("freebets") == ["free", "bets"] and s.split("cheappills") == ["cheap", "pills"] and s.split("") == []
