@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..session import materialize
+from .neighbours import nearest
 from .ranking import lookback, ordered_rank, running_total, time_slice, top_k, value_bucket
 
 _M, _M2 = 2147483647, 2147483399
@@ -110,58 +111,17 @@ def hashed_embedding(messages: DataFrame, keys: list[str], size: int = 256, text
     return out.select(*keys, vector_to_array("_v", "float32").alias("embedding"))
 
 
-def nearest_in_chat(queries: DataFrame, targets: DataFrame, top_k_rows: int = 50, block: int = 4096, least: float = -2.0) -> DataFrame:
+def nearest_in_chat(queries: DataFrame, targets: DataFrame, top_k_rows: int = 50, block: int = 16384, least: float = -2.0) -> DataFrame:
     """Exact cosine top-k of every query among the targets of its chat that are at least ``least`` alike.
 
     queries: chat_id, query_id, embedding; targets: chat_id, target_id, embedding.
-    Both sides are cut into blocks of about `block` rows by id hash, so a chat
-    of any size is many block-against-block products of bounded memory.  A
-    product hands on only the k best targets of each query, never all pairs,
-    and the k best of those are the exact answer.
+    A chat of any size is many chunks of about `block` rows (see `neighbours`).
     """
-    t_n = targets.groupBy("chat_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("tb"))
-    q_n = queries.groupBy("chat_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("qb"))
-    sizes = t_n.join(q_n, "chat_id")
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(sizes, "chat_id").select("chat_id", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("qi"),
-                                              blocks("tb").alias("ti"), "query_id", "embedding")
-    t = targets.join(sizes, "chat_id").select("chat_id", blocks("qb").alias("qi"),
-                                              F.pmod(F.xxhash64("target_id"), F.col("tb")).cast("int").alias("ti"), "target_id", "embedding")
-
-    def product(a, b):
-        import numpy as np
-        import pandas as pd
-
-        cols = ["chat_id", "query_id", "target_id", "sim"]
-        if a.empty or b.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "sim" else "int64") for c in cols})
-        b = b.sort_values("target_id")
-        x, y = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (a, b))
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        x, y, ids = unit(x), unit(y), b["target_id"].to_numpy()
-        k, out = min(top_k_rows, len(ids)), []
-        for lo in range(0, len(x), 512):
-            sim = np.round(x[lo:lo + 512] @ y.T, 12)
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # equal values keep id order
-            value = np.take_along_axis(sim, best, axis=1).ravel()
-            near = value >= least
-            rows = np.repeat(np.arange(lo, lo + len(sim)), k)[near]
-            out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "target_id": ids[best].ravel()[near], "sim": value[near]}))
-        res = pd.concat(out)
-        res.insert(0, "chat_id", a["chat_id"].iloc[0])
-        return res[cols]
-
-    # own column identities, since both sides may come from one table
-    q = q.select(*[F.col(c).alias(c) for c in q.columns])
-    t = t.select(*[F.col(c).alias(c) for c in t.columns])
-    part = q.groupBy("chat_id", "qi", "ti").cogroup(t.groupBy("chat_id", "qi", "ti")).applyInPandas(
-        product, "chat_id long, query_id long, target_id long, sim double")
-    w = W.partitionBy("chat_id", "query_id").orderBy(F.col("sim").desc(), "target_id")
-    return part.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top_k_rows)
+    return nearest(queries, targets, top_k_rows, block, least)
 
 
 def hard_negatives(positives: DataFrame, messages: DataFrame, embeddings: DataFrame, top: int = 50, take: int = 10,
-                   threshold: float = 0.35, block: int = 4096) -> DataFrame:
+                   threshold: float = 0.35, block: int = 16384) -> DataFrame:
     """Messages most similar to each reply: the top list without the pair itself, above the threshold, first `take`.
 
     A reply text is looked up once however many pairs it stands in.

@@ -265,3 +265,46 @@ def test_pair_features_meet_by_ids(spark):
     assert "levenshtein" not in text.lower() and all(r.features_extra.seq_ratio is None for r in plain.collect())
     joins = [line for line in text.splitlines() if "Join" in line]
     assert joins and not any("text" in line for line in joins)
+
+
+def test_nearest_with_ties_zeros_and_a_threshold(spark):
+    rng = np.random.default_rng(5)
+    same = [1.0, 2.0, 0.5, -1.0]
+    rows = [(i % 2, i, [float(v) for v in rng.normal(size=4)]) for i in range(120)] + [(0, 200 + i, same) for i in range(40)] + [(0, 300, [0.0] * 4), (1, 301, [0.0] * 4), (5, 302, same)]
+    df = spark.createDataFrame(rows, "chat_id long, id long, embedding array<double>")
+    for least in (-2.0, 0.35):
+        got = {}
+        for r in P.nearest_in_chat(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "target_id"), 7, block=32, least=least).collect():
+            got.setdefault((r.chat_id, r.query_id), []).append((r.place, r.target_id, r.sim))
+        for chat, i, v in rows:
+            unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-300)
+            sims = sorted((-round(float(unit(v) @ unit(w)), 9), j) for c, j, w in rows if c == chat)[:7]
+            want = [(-s, j) for s, j in sims if -s >= least]
+            have = sorted(got.get((chat, i), []))
+            assert [p for p, _, _ in have] == list(range(1, len(want) + 1))
+            assert np.allclose([s for _, _, s in have], [s for s, _ in want], atol=1e-8)
+            if len({s for s, _ in want}) == len(want):
+                assert [j for _, j, _ in have] == [j for _, j in want]
+
+
+def test_bounds_leave_most_products_out_on_clustered_data():
+    from tertulia.operators import neighbours as N
+
+    rng = np.random.default_rng(1)
+    centres = N.unit(rng.normal(size=(40, 16)))
+    x = N.unit(np.concatenate([c + 0.02 * rng.normal(size=(50, 16)) for c in centres]))
+    cell = N.gathered(x, 40)
+    parts = [np.flatnonzero(cell == c) for c in np.unique(cell)]
+    cones = [N.cone(x[p]) for p in parts]
+    stack, radii, sizes = np.stack([c for c, _ in cones]), np.array([r for _, r in cones]), np.array([len(p) for p in parts])
+    tried = done = 0
+    for p, (c, r) in zip(parts, cones):
+        best = N.Best(p, x[p], c, r, 10)
+        high = N.needed(c[None], [r], stack, radii, sizes, 10, 0.35)
+        for j in np.argsort(-high):
+            if high[j] > -2:
+                tried += 1
+                done += best.offer(parts[j], x[parts[j]], *cones[j], 0.35)
+        sims = np.round(x[p] @ x.T, 12)
+        assert np.allclose(best.sim, -np.sort(-sims, axis=1)[:, :10])
+    assert done <= tried < 0.5 * len(parts) ** 2 and done < 0.2 * len(parts) ** 2
