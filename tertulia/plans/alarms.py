@@ -12,7 +12,7 @@ from ..sources.store import MessageStore
 from ..streaming import alarms as SA
 from .extraction import _len, _q, hits_sql, re2
 from .inputs import CONVERSATION_MESSAGES, EVENT_MESSAGES, conversation_messages, event_messages, table, text_table
-from .registry import query
+from .registry import ORACLES, query
 
 NOW = "2024-01-20 12:30:00"
 
@@ -281,6 +281,48 @@ def w16(spark, d):
     return m.unionByName(m).dropDuplicates(["chat_id", "id"]).groupBy("chat_id").agg(F.count("*").alias("n"))
 
 
+def _run_whole(df, name):
+    """Run a grouped stream over what is there and read back its whole result."""
+    from ..session import new_table_path
+
+    base = new_table_path(df.sparkSession, name)
+    SA.write_whole(df, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/table")
+
+
+@query("w12b_unread_stream", ORACLES["w12_unread_counts"])
+def w12b(spark, d):
+    return _run_whole(SA.unread_stream(SA.deduplicated(_stream_messages(spark, d)), alarms(spark, d)), "unread")
+
+
+@query("w15d_hourly_stream", ORACLES["w15_hourly_windows"])
+def w15d(spark, d):
+    return _run_whole(SA.hourly_windows(_stream_messages(spark, d)), "hourly").select("chat_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("w15e_sliding_stream", ORACLES["w15b_sliding_windows"])
+def w15e(spark, d):
+    return _run_whole(SA.hourly_windows(_stream_messages(spark, d), slide="30 minutes"), "sliding").select("chat_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("w15f_session_stream", ORACLES["w15c_session_windows"])
+def w15f(spark, d):
+    s = _run_whole(SA.bursts(_stream_messages(spark, d)), "sessions")
+    return s.select("chat_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+@query("w16b_duplicates_of_a_stream", ORACLES["w16_duplicate_suppression"])
+def w16b(spark, d):
+    """Two fetches whose ranges overlap, as a stream with one copy of each message."""
+    from ..session import new_table_path
+
+    base, m = new_table_path(spark, "overlap"), event_messages(spark, d).select("chat_id", "id", "ts")
+    for part, ids in enumerate((F.col("id") % 3 < 2, F.col("id") % 3 > 0)):
+        m.filter(ids).write.parquet(f"{base}/in/part{part}")
+    stream = SA.read_message_stream(spark, f"{base}/in/*", m.schema)
+    return _run_once(SA.deduplicated(stream, "90 days").select("chat_id", "id"), "one_copy").groupBy("chat_id").agg(F.count("*").alias("n"))
+
+
 @query("w18_normalized_alarms", f"""WITH {ALARMS} SELECT alarm_id, epoch_us(date_from) AS date_from, epoch_us(date_to) AS date_to,
  epoch_us(CASE WHEN enabled AND raw_minutes > 0 THEN TIMESTAMP '{NOW}' ELSE next_run END) AS next_run, epoch_us(CASE WHEN NOT (enabled AND raw_minutes > 0) THEN last_analysis_time END) AS last_run FROM alarms""")
 def w18(spark, d):

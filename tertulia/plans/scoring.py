@@ -183,8 +183,12 @@ def m14(spark, d):
 
 @query("m15_tfidf_logistic")
 def m15(spark, d):
-    t = labelled_tokens(spark, d)
-    return S.tfidf_logistic(t).transform(t).select("doc_id", "label", F.col("prediction").cast("long").alias("prediction"))
+    """Predictions of the documents that the model did not learn from."""
+    from ..operators.evaluation import stratified_split
+
+    t = stratified_split(labelled_tokens(spark, d), "label", "doc_id")
+    model = S.tfidf_logistic(t.filter(~F.col("is_test")))
+    return model.transform(t.filter("is_test")).select("doc_id", "label", F.col("prediction").cast("long").alias("prediction"))
 
 
 @query("m16_sign_values", SCORES + """SELECT chat_id, id, CAST(sign(score) AS BIGINT) AS three_way, CAST(CASE WHEN score > 0 THEN 1 ELSE 0 END AS BIGINT) AS two_way FROM scores""")

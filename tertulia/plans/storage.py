@@ -46,6 +46,18 @@ def s01b(spark, d):
     return S.read_message_lines(spark, base).select("chat_name", "id", "sender_name", "reply_id", F.unix_micros("ts").alias("ts"), "text")
 
 
+@query("s02_fallback_folder", f"WITH {CONVERSATION_MESSAGES} SELECT 'Chat: ' || chat_id AS chat_name, count(*) AS messages FROM messages WHERE chat_id IN (2, 3, 7) GROUP BY 1")
+def s02(spark, d):
+    """Exports asked for by name: some lie in the first folder, some only in the second, one in neither."""
+    base, m = fresh(spark, "exports"), _to_export(spark, d)
+    K.write_documents(m.filter(F.col("chat_id") < 5), f"{base}/first")
+    K.write_documents(m, f"{base}/chats")
+    names = [r["chat_folder"] for r in K.export_documents(m.filter(F.col("chat_id").isin(2, 3, 7))).select("chat_folder").collect()]
+    folders = (f"{base}/first", f"{base}/chats")
+    paths = S.first_existing(spark, [f"chat_folder={n}" for n in [*names, "missing"]], folders)
+    return S.read_messages(spark, paths).groupBy(F.col("export_name").alias("chat_name")).agg(F.count("*").alias("messages"))
+
+
 @query("s03_export_directory", f"WITH {CONVERSATION_MESSAGES} SELECT chat_id, count(*) AS messages FROM messages GROUP BY 1")
 def s03(spark, d):
     # folders sort by chat number here, so the file rank is the chat number

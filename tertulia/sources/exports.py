@@ -11,6 +11,40 @@ def _documents(spark: SparkSession, paths) -> DataFrame:
     return spark.read.option("ignoreMissingFiles", True).text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def first_existing(spark: SparkSession, names: list[str], folders: tuple[str, ...] = ("", "chats")) -> list[str]:
+    """For each export its path in the first of the folders that has it; exports that none has are left out.
+
+    A name that is a path of its own is found as it stands.  Only names are
+    looked up; nothing is read.
+    """
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+
+    def found(path):
+        at = jvm.Path(path)
+        return at.getFileSystem(conf).exists(at)
+
+    out = []
+    for name in names:
+        path = next((p for p in (f"{f.rstrip('/')}/{name}" if f else name for f in folders) if found(p)), None)
+        if path is not None:
+            out.append(path)
+    return out
+
+
+def read_named(spark: SparkSession, names: list[str], folders: tuple[str, ...] = ("", "chats")) -> DataFrame:
+    """Messages of the named exports, each from the first folder that has it."""
+    return read_messages(spark, first_existing(spark, names, folders) or [_none(spark)])
+
+
+def _none(spark: SparkSession) -> str:
+    """A path without files."""
+    from ..session import new_table_path
+
+    path = new_table_path(spark, "none")
+    spark.range(0).select(F.lit("").alias("value")).write.text(path)
+    return path
+
+
 def read_exports(spark: SparkSession, paths) -> DataFrame:
     """One row per readable export: file, chat_id, chat_name, messages.
 

@@ -94,6 +94,12 @@ def unread_stream(messages: DataFrame, alarms: DataFrame) -> DataFrame:
     return flagged.groupBy("chat_id").agg(F.count("*").alias("unread"), F.max("alarm_hit").alias("alarm_hit"))
 
 
+def write_whole(counts: DataFrame, path: str, checkpoint: str, once: bool = True, interval: str | None = None):
+    """The whole result of a grouped stream, written anew by every batch: for small tables such as counts per chat or window."""
+    w = counts.writeStream.outputMode("complete").foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval or "1 minute")).start()
+
+
 def hourly_windows(messages: DataFrame, delay: str = "10 minutes", length: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Messages per chat in tumbling (or sliding) windows of event time."""
     m = messages.withWatermark("ts", delay) if delay else messages

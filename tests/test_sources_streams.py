@@ -197,6 +197,17 @@ def test_late_rows_go_to_their_own_table(spark, tmp_path):
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 6, 7, 10]
 
 
+def test_first_folder_that_has_an_export(spark, tmp_path):
+    for folder, name, n in (("a", "x.json", 1), ("b", "x.json", 2), ("b", "y.json", 3)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(json.dumps([{"id": k, "text": "t", "date": "2024-01-01T00:00:00+00:00"} for k in range(n)]))
+    folders = (str(tmp_path / "a"), str(tmp_path / "b"))
+    got = S.read_named(spark, ["x.json", "y.json", "z.json"], folders)
+    assert {r.export_name: r.n for r in got.groupBy("export_name").agg(F.count("*").alias("n")).collect()} == {"x": 1, "y": 3}
+    assert S.read_named(spark, ["z.json"], folders).count() == 0
+    assert S.first_existing(spark, [str(tmp_path / "b" / "y.json")]) == [str(tmp_path / "b" / "y.json")]
+
+
 def test_saved_runs(spark, tmp_path):
     base = str(tmp_path / "results")
     one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, word string")
