@@ -153,10 +153,17 @@ def train(pairs: DataFrame, kind: str, seed: int = 42, trees: int | None = None,
     return Pipeline(stages=stages).fit(data)
 
 
+def hit_measures(pred: DataFrame) -> dict[str, float]:
+    """Precision, recall and F1 of predictions 0 and 1, from one count."""
+    right, said, there = pred.agg(F.count_if((F.col("prediction") == 1) & (F.col("label") == 1)), F.count_if(F.col("prediction") == 1), F.count_if(F.col("label") == 1)).first()
+    p, r = right / said if said else 0.0, right / there if there else 0.0
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}
+
+
 EPOCHS = "epoch int, loss double, precision double, recall double, f1 double"
 
 
-def train_epochs(pairs: DataFrame, valid: DataFrame, epochs: int = 20, steps: int = 5, patience: int = 4, seed: int = 42,
+def train_epochs(pairs: DataFrame, valid: DataFrame, epochs: int = 8, steps: int = 4, patience: int = 2, seed: int = 42,
                  hidden: tuple[int, ...] = (256, 64)):
     """A perceptron trained in epochs, each taking up the weights of the one before, and the measures of every epoch.
 
@@ -171,7 +178,9 @@ def train_epochs(pairs: DataFrame, valid: DataFrame, epochs: int = 20, steps: in
     from ..session import materialize
 
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(_features(pairs))
-    ready = lambda df: materialize(scaler.transform(_features(df)).select("scaled", "label"), "scaled")
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    # every iteration reads the rows again: they lie in one part per core, in memory
+    ready = lambda df: materialize(scaler.transform(_features(df)).select("scaled", "label").repartition(cores), "scaled").repartition(cores).persist()
     rows, held = ready(pairs), ready(valid)
     width = len(scaler.mean)
     net = C.MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[width, *hidden, 2], maxIter=steps, seed=seed)
@@ -181,12 +190,14 @@ def train_epochs(pairs: DataFrame, valid: DataFrame, epochs: int = 20, steps: in
             net.setInitialWeights(weights)
         fitted = net.fit(rows)
         weights = fitted.weights
-        m = binary_metrics(fitted.transform(held).withColumn("score", F.col("prediction"))).first()
+        m = hit_measures(fitted.transform(held))
         history.append((epoch, float(fitted.summary().objectiveHistory[-1]), float(m["precision"]), float(m["recall"]), float(m["f1"])))
         if best is None or m["f1"] > best[0]:
             best = (m["f1"], epoch, fitted)
         if epoch - best[1] >= patience:
             break
+    for df in (rows, held):
+        df.unpersist()
     return PipelineModel(stages=[scaler, best[2]]), history
 
 
@@ -198,37 +209,38 @@ def score(model, pairs: DataFrame) -> DataFrame:
         "features", "scaled", "rawPrediction", "probability")
 
 
-def cross_scores(pairs: DataFrame, kind: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def cross_scores(pairs: DataFrame, kind: str, folds: int = 5, seed: int = 42, **options) -> DataFrame:
     """Every row scored by a model that was trained without its ``fold``.
 
     Boosted trees and the perceptron's epochs stop when they no longer gain on
     the fold after it.
     """
-    out = None
+    return cross_scores_and_epochs(pairs, kind, folds, seed, **options)[0]
+
+
+def cross_scores_and_epochs(pairs: DataFrame, kind: str, folds: int = 5, seed: int = 42, **options) -> tuple[DataFrame, DataFrame]:
+    """The scores, and what the epochs measured: fold, epoch, loss, precision, recall, f1, kept (perceptron only, else empty)."""
+    out, rows = None, []
     for k in range(folds):
-        scored = score(fold_model(pairs, kind, k, folds, seed)[0], pairs.filter(F.col("fold") == k))
+        model, history = fold_model(pairs, kind, k, folds, seed, **options)
+        rows += [(k, *h) for h in history]
+        scored = score(model, pairs.filter(F.col("fold") == k))
         out = scored if out is None else out.unionByName(scored)
-    return out
+    table = pairs.sparkSession.createDataFrame(rows, "fold int, " + EPOCHS)
+    first = F.min(F.struct(-F.col("f1"), "epoch")).over(W.partitionBy("fold"))["epoch"]
+    return out, table.withColumn("kept", F.col("epoch") == first)
 
 
-def fold_model(pairs: DataFrame, kind: str, k: int, folds: int = 5, seed: int = 42):
-    """The model for fold ``k``, trained without it, and what its epochs measured (perceptron only)."""
+def fold_model(pairs: DataFrame, kind: str, k: int, folds: int = 5, seed: int = 42, **options):
+    """The model for fold ``k``, trained without it, and what its epochs measured (perceptron only, which takes ``options`` of `train_epochs`)."""
     rest, judge = pairs.filter(F.col("fold") != k), (k + 1) % folds
     if kind == "perceptron":
-        return train_epochs(rest.filter(F.col("fold") != judge), rest.filter(F.col("fold") == judge), seed=seed)
+        return train_epochs(rest.filter(F.col("fold") != judge), rest.filter(F.col("fold") == judge), seed=seed, **options)
     if kind == "boosted":
         return train(rest.withColumn("is_valid", F.col("fold") == judge), kind, seed, valid="is_valid"), []
     return train(rest, kind, seed), []
 
 
-def epoch_table(pairs: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """fold, epoch, loss, precision, recall, f1 and whether the epoch's weights were kept."""
-    rows = [(k, *h) for k in range(folds) for h in fold_model(pairs, "perceptron", k, folds, seed)[1]]
-    table = pairs.sparkSession.createDataFrame(rows, "fold int, " + EPOCHS)
-    first = F.min(F.struct(-F.col("f1"), "epoch")).over(W.partitionBy("fold"))["epoch"]
-    return table.withColumn("kept", F.col("epoch") == first)
-
-
 def isolation_forest(pairs: DataFrame, ident: Column, trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42):
     """Isolation trees grown in parallel, one small sample per tree.
 

@@ -42,7 +42,7 @@ def test_same_rows(spark, con, sf_dir, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"m15_tfidf_logistic", "e02_logistic", "e03_boosted_trees", "e04_random_forest", "e05_perceptron"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"e02_logistic", "e03_boosted_trees", "e04_random_forest", "e05_perceptron"}))
 def test_rows_only(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     assert df.columns and len(df.collect()) > 0
