@@ -212,19 +212,132 @@ def sequence_label(scores: DataFrame) -> DataFrame:
     return scores.withColumn("prediction", F.when(F.col("p1") > F.col("p0"), 1).otherwise(0).cast("long"))
 
 
+NEGATIVES = 10
+POSITIONS = DRAWN = 128
+MOST_STEPS = 4
+
+
+def _start_vectors(words: list[str], size: int, seed: int):
+    """Small first vectors, the same for a word in whichever part it stands."""
+    from hashlib import blake2b
+
+    import numpy as np
+
+    h = np.array([int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], dtype=np.uint64)
+    z = h[:, None] + np.arange(1, size + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((z >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5) / size).astype(np.float32)
+
+
+def _add_rows(table, at, rows) -> None:
+    """table[at] += rows, where a place may come several times; more than MOST_STEPS of one step count as that many."""
+    import numpy as np
+
+    order = np.argsort(at, kind="stable")
+    place, first, times = np.unique(at[order], return_index=True, return_counts=True)
+    table[place] += np.add.reduceat(rows[order], first, axis=0) * np.minimum(1, MOST_STEPS / times).astype(np.float32)[:, None]
+
+
+def _skip_grams(texts: list, vectors, out, window: int, rng, rate: float, least: float) -> None:
+    """One pass of skip-grams with negative samples over texts of word numbers; changes ``vectors`` and ``out``.
+
+    `POSITIONS` positions are one step.  They share DRAWN negatives, each weighted
+    so that a pair has as much of them as of NEGATIVES of its own; a word is no
+    negative of itself.
+    """
+    import numpy as np
+
+    flat = np.concatenate(texts)
+    n, text = len(flat), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    share = np.bincount(flat, minlength=len(vectors)) ** 0.75
+    bounds = np.cumsum(share / share.sum())
+    sure = lambda s: (1.0 / (1.0 + np.exp(-np.clip(s, -8, 8)))).astype(np.float32)
+    for begin in range(0, n, POSITIONS):
+        end = min(begin + POSITIONS, n)
+        low, high = max(begin - window, 0), min(end + window, n)
+        pace = np.float32(least + (rate - least) * (1 - begin / n))
+        near, mid = flat[low:high], flat[begin:end]
+        drawn = np.minimum(np.searchsorted(bounds, rng.random(DRAWN)), len(vectors) - 1)
+        x, o, y = vectors[near], out[mid], out[drawn]
+        dx, do, met = np.zeros_like(x), np.zeros_like(o), np.zeros((len(near), DRAWN), np.float32)
+        other = (mid[:, None] != drawn).astype(np.float32)
+        reach = rng.integers(1, window + 1, end - begin)
+        for k in [*range(-window, 0), *range(1, window + 1)]:
+            first, last = max(begin + k, 0), min(end + k, n)
+            if first >= last:
+                continue
+            at, of = slice(first - low, last - low), slice(first - k - begin, last - k - begin)
+            inside = ((reach[of] >= abs(k)) & (text[first:last] == text[first - k:last - k])).astype(np.float32)
+            g = ((1 - sure(np.einsum("ij,ij->i", x[at], o[of]))) * inside * pace)[:, None]
+            dx[at] += g * o[of]
+            do[of] += g * x[at]
+            met[at] += inside[:, None] * other[of]
+        g = -sure(x @ y.T) * met * (pace * np.float32(NEGATIVES / DRAWN))
+        dx += g @ y
+        _add_rows(vectors, near, dx)
+        _add_rows(out, np.concatenate([mid, drawn]), np.concatenate([do, g.T @ x]))
+
+
 def word_vectors(tokens: DataFrame, size: int = 100, window: int = 5, min_count: int = 2, seed: int = 42, iterations: int = 1) -> DataFrame:
-    """Skip-gram word vectors: word, vector as a float array.
+    """Skip-gram word vectors with negative samples: word, vector as a float array.
 
     The corpus is trained in parts of about WORDS_PER_PART words side by side,
-    whose vectors are averaged after each iteration.
+    whose vectors are averaged after each iteration.  A part is one task's group
+    and holds the vectors of its own words only; the whole vocabulary lies in
+    tables and is nowhere gathered.
     """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    words = tokens.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=iterations, numPartitions=max(1, -(-words // WORDS_PER_PART)),
-                     inputCol="tokens", outputCol="v").fit(tokens)
-    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = materialize(tokens.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("_row"), "tokens"), "vector_texts")
+    words = rows.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-words // WORDS_PER_PART))
+    scarce = vocabulary(rows, 1).filter(F.col("n") < min_count).select("token")
+    lost = rows.select("_row", F.explode(F.array_distinct("tokens")).alias("token")).join(scarce, "token").groupBy("_row").agg(F.collect_list("token").alias("_lost"))
+    texts = rows.join(lost, "_row", "left").select(F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int").alias("_part"), "_row", "tokens", "_lost")
+    if iterations > 1:
+        texts = materialize(texts, "vector_parts")
+
+    def fit(turn):
+        """Trains a part in iteration ``turn``."""
+        def run(key, pdf, known=None):
+            import numpy as np
+            import pandas as pd
+
+            kept = []
+            for _, t, gone in sorted(zip(pdf["_row"], pdf["tokens"], pdf["_lost"]), key=lambda r: r[0]):
+                away = set() if gone is None else set(gone)
+                kept.append([w for w in t if w not in away])
+            names, number = np.unique(np.array([w for t in kept for w in t], dtype=object), return_inverse=True)
+            if not len(names):
+                return pd.DataFrame({"word": [], "vector": [], "out": []})
+            vectors, out = _start_vectors(list(names), size, seed), np.zeros((len(names), size), np.float32)
+            if known is not None:
+                at = np.searchsorted(names, known["word"].to_numpy())
+                vectors[at], out[at] = np.stack(known["vector"].to_numpy()), np.stack(known["out"].to_numpy())
+            cuts = np.cumsum([len(t) for t in kept])[:-1]
+            rate = [0.025 * max(1e-4, 1 - i / iterations) for i in (turn, turn + 1)]
+            _skip_grams(np.split(number.ravel(), cuts), vectors, out, window, np.random.default_rng([seed, turn, int(key[0])]), *rate)
+            return pd.DataFrame({"word": names, "vector": list(vectors), "out": list(out) if turn + 1 < iterations else None})
+
+        if turn:
+            return lambda key, pdf, known: run(key, pdf, known)
+        return lambda key, pdf: run(key, pdf)
+
+    schema, vectors = "word string, vector array<float>, out array<float>", None
+    mean = lambda c: vector_to_array(Summarizer.mean(array_to_vector(c)), "float32").alias(c)
+    for turn in range(iterations):
+        if vectors is None:
+            trained = texts.repartition(parts, "_part").groupBy("_part").applyInPandas(fit(turn), schema)
+        else:
+            needed = texts.select(F.col("_part").alias("_of"), F.explode("tokens").alias("word")).distinct().join(vectors, "word")
+            trained = texts.groupBy("_part").cogroup(needed.groupBy("_of")).applyInPandas(fit(turn), schema)
+        last = turn + 1 == iterations
+        vectors = trained.groupBy("word").agg(mean("vector"), *[] if last else [mean("out")])
+        if not last:
+            vectors = materialize(vectors, "word_vectors")
+    return vectors
 
 
 def lookup_vectors(words: DataFrame, vectors: DataFrame, size: int = 100) -> DataFrame:

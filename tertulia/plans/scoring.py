@@ -155,10 +155,13 @@ def m10(spark, d):
     return S.vocabulary(labelled_tokens(spark, d))
 
 
+def word_vectors(spark, d):
+    return stored(spark, d, "word_vectors", lambda: S.word_vectors(labelled_tokens(spark, d)))
+
+
 @query("m11_word_vectors")
 def m11(spark, d):
-    v = S.word_vectors(labelled_tokens(spark, d))
-    return v.select("word", F.size("vector").cast("long").alias("size"))
+    return word_vectors(spark, d).select("word", F.size("vector").cast("long").alias("size"))
 
 
 @query("m12_transitions", TOKENS + "SELECT CAST(label AS BIGINT) AS label, cur, nxt, round(p, 6) AS p FROM trans")
@@ -241,8 +244,7 @@ def m20(spark, d):
 
 @query("m21_word_lookup")
 def m21(spark, d):
-    t = labelled_tokens(spark, d)
-    v = stored(spark, d, "word_vectors", lambda: S.word_vectors(t))
-    words = t.select(F.explode("tokens").alias("word")).distinct()
+    v = word_vectors(spark, d)
+    words = labelled_tokens(spark, d).select(F.explode("tokens").alias("word")).distinct()
     found = S.lookup_vectors(words, v)
     return found.select("word", F.exists("vector", lambda x: x != 0).alias("known"))

@@ -67,3 +67,28 @@ def test_words_keep_their_values():
     some = {"diversidad": 1.2, "épico": 1.8, "responder": 0.5, "fallo": -1.1, "nuevo": -0.5, "pésimo": -1.5, "horrible": -1.6}
     assert {w: L.LEXICON[w] for w in some} == some
     assert min(L.POSITIVE_WORDS.values()) > 0 > max(L.NEGATIVE_WORDS.values())
+
+
+def test_word_vectors_are_trained_in_parts_and_stay_in_tables(spark, monkeypatch):
+    """Words of one topic end up alike; rare words and null texts have no vector; the vectors are no table of the driver."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    topics = [[f"{t}{i}" for i in range(6)] for t in "ab"]
+    rows = [(i, [r.choice(topics[i % 2]) for _ in range(20)]) for i in range(300)] + [(900, ["once", "a0"]), (901, None), (902, [])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    monkeypatch.setattr(S, "WORDS_PER_PART", 1500)
+    for iterations in (1, 3):
+        got = S.word_vectors(df, size=20, iterations=iterations)
+        assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()
+        v = {x.word: np.array(x.vector) for x in got.collect()}
+        assert set(v) == {w for t in topics for w in t} and all(len(x) == 20 and np.isfinite(x).all() for x in v.values())
+    texts = [np.array([r.randrange(6) + 6 * (i % 2) for _ in range(20)]) for i in range(300)]
+    vectors, out = S._start_vectors([w for t in topics for w in t], 20, 42), np.zeros((12, 20), np.float32)
+    for turn in range(40):
+        S._skip_grams(texts, vectors, out, 5, np.random.default_rng(turn), 0.025, 0.025)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    alike = unit @ unit.T
+    assert alike[:6, :6].mean() > alike[:6, 6:].mean() + 0.3 and alike[6:, 6:].mean() > alike[:6, 6:].mean() + 0.3
