@@ -170,7 +170,8 @@ def m12(spark, d):
 
 
 def sequence(spark, d):
-    t = labelled_tokens(spark, d)
+    # read three times: the texts are cleaned once
+    t = stored(spark, d, "labelled_tokens", lambda: labelled_tokens(spark, d))
     return S.sequence_label(S.sequence_scores(t, S.transitions(t), ["doc_id", "label"]))
 
 
