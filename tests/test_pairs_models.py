@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -302,3 +303,24 @@ def test_bounds_leave_most_products_out_on_clustered_data():
         sims = np.round(x[p] @ x.T, 12)
         assert np.allclose(best.sim, -np.sort(-sims, axis=1)[:, :10])
     assert done <= tried < 0.5 * len(parts) ** 2 and done < 0.2 * len(parts) ** 2
+
+
+def test_rows_for_training_lie_in_bounded_parts_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(E, "ROWS_PER_PART", 10)
+    rows = E.training_rows(spark.range(400))
+    assert rows.rdd.getNumPartitions() == 40 and rows.count() == 400
+    assert rows.storageLevel.useDisk and not rows.storageLevel.useMemory
+    rows.unpersist()
+
+
+def test_heuristic_scores_join_no_texts(spark):
+    side = "struct<id:long,text:string,ts:timestamp>"
+    rows = [(1, (1, "¿cuánto cuesta?", T0), (2, "cuesta 20 usd", T0 + dt.timedelta(minutes=1))), (1, (1, None, T0), (3, "", T0)), (1, (1, "¿cuánto cuesta?", T0), (2, "cuesta 20 usd", T0 + dt.timedelta(minutes=1)))]
+    p = spark.createDataFrame(rows, f"chat_id int, a {side}, b {side}")
+    scored = E.heuristic_scores(p)
+    plan = scored.select("score")._jdf.queryExecution().optimizedPlan().toString()
+    keys = {x for line in plan.splitlines() if "Join" in line for x in re.findall(r"\b_[ab]#\d+", line)}
+    assert len(keys) == 4 and all(re.search(r"unhex\(md5\([^\n]* AS " + k, plan) or re.search(r"unhex\(md5\([^\n]* AS tid#", plan) for k in keys)
+    got = {r.b.id: r.score for r in scored.collect()}
+    assert scored.count() == 3 and scored.columns == [*p.columns, "score"]
+    assert got[2] > got[3]
