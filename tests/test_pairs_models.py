@@ -324,3 +324,36 @@ def test_heuristic_scores_join_no_texts(spark):
     got = {r.b.id: r.score for r in scored.collect()}
     assert scored.count() == 3 and scored.columns == [*p.columns, "score"]
     assert got[2] > got[3]
+
+
+def test_pair_vectors_hold_no_zeros_and_score_alike(spark):
+    """Models read packed vectors, whose zeros are not stored, and find what they find on arrays."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(240):
+        v = [0.0] * 40
+        v[k % 30] = 1.0
+        v[-1], v[-2] = (float(x) for x in rng.normal(size=2))
+        rows.append((k, v, int(v[-1] + v[-2] > 0)))
+    plain = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    tight = E.packed(plain, 40)
+    assert tight.columns == ["id", "label", "features"]
+    assert all(len(r.features.indices) <= 3 and r.features.toArray().tolist() == rows[r.id][1] for r in tight.collect())
+    scores = lambda m, df: {r.id: r.score for r in E.score(m, df).collect()}
+    for kind in ("naive_bayes", "logistic"):
+        a, b = (scores(E.train(df, kind), df) for df in (plain, tight))
+        assert all(abs(a[k] - b[k]) < 1e-9 for k in a), kind
+    # what the regression is fitted on keeps its zeros unwritten too
+    m = E.train(tight, "logistic")
+    assert all(len(r.scaled.indices) <= 3 for r in m.stages[0].transform(tight).collect())
+    a, b = (E.isolation_forest(df, F.col("id"), trees=10, sample=64) for df in (plain, tight))
+    assert sorted(a[0].collect()) == sorted(b[0].collect())
+
+
+def test_epochs_keep_unscaled_rows(spark, monkeypatch):
+    kept = []
+    whole = E.training_rows
+    monkeypatch.setattr(E, "training_rows", lambda df: kept.append(df.columns) or whole(df))
+    df = spark.createDataFrame([([float(k % 5), 0.0, 0.0, float(k % 2)], k % 2) for k in range(80)], "vector array<double>, label int")
+    E.train_epochs(E.packed(df, 4), E.packed(df, 4), epochs=1, steps=2, hidden=(3,))
+    assert kept == [["features", "label"]] * 2
