@@ -131,9 +131,17 @@ def _by_platform(pick, platforms) -> Column:
     return out
 
 
-def route(host: Column, platforms: list[Platform] = PLATFORMS) -> Column:
-    """Platform of a host: a listed domain, with or without www., or any sub-domain where that is the rule."""
-    bare = F.regexp_replace(host, r"^www\.", "")
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(host, r"^www\.", "")
+
+
+def route(host: Column, platforms: list[Platform] = PLATFORMS, bare: Column | None = None) -> Column:
+    """Platform of a host: a listed domain, with or without www., or any sub-domain where that is the rule.
+
+    Every platform's test names ``host`` and ``bare`` (the host without www.), so
+    on large tables both should be columns worked out before.
+    """
+    bare = bare_host(host) if bare is None else bare
     out = None
     for p in platforms:
         hit = host.isin(list(p.domains)) | bare.isin(list(p.domains))
@@ -201,7 +209,8 @@ def _steps(url: str, platforms: tuple[Platform, ...]) -> _Steps:
         lambda p: F.element_at(_mapping({k: e[j] for k, e in names[p.key].items()}), F.col("content_type")), platforms)
     return _Steps([
         {"_host": U.host(url), "_path": U.path(url), "_query": U.query(url), "_frag": U.fragment(url)},
-        {"platform": route(F.col("_host"), platforms)},
+        {"_bare": bare_host(F.col("_host"))},
+        {"platform": route(F.col("_host"), platforms, F.col("_bare"))},
         {"_subject": subject},
         {"_parts": F.split(pieces, _S)},
         {"_rule": F.when(F.size(parts) >= step, F.array_position(marks, True).cast("int") - 1)},

@@ -59,3 +59,18 @@ def test_user_platform_comes_after_the_built_in_ones(spark):
 def test_types_of_a_platform_are_a_mapping():
     with pytest.raises(TypeError, match="shop"):
         Platform("shop", "Tienda", ("tienda.example.com",), "🏬", "product 🏬 Producto", "product /p/{i}")
+
+
+def test_routing_works_out_the_host_once(spark):
+    from pyspark.sql import functions as F
+
+    from tertulia.functions import urls as U
+    from tertulia.operators import links as L
+    from tertulia.plans import links as plans
+
+    df = plans.l11(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(url") == 1 and plan.count("^www") == 1
+    hosts = spark.createDataFrame([("https://www.github.com/a",), ("https://x.tumblr.com/",), ("https://nowhere.org/",)], "url string")
+    got = [r.p for r in hosts.select(L.route(U.host("url")).alias("p")).collect()]
+    assert got == ["github", "tumblr", None]

@@ -112,3 +112,27 @@ def test_empty_ranges(spark, sf_dir, store):
 def test_buckets_are_stable(spark):
     got = spark.range(3).select(bucket_of("id", 16).alias("b")).collect()
     assert all(0 <= r.b < 16 for r in got)
+
+
+def test_a_scan_whose_rows_lie_in_one_split_is_dealt_anew(spark, tmp_path):
+    """A file of one row group has many splits but rows in one of them only."""
+    from pyspark.sql import functions as F
+
+    from tertulia.session import spread
+
+    at = str(tmp_path / "one")
+    spark.range(4000, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(at)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "2000")
+        scan = spark.read.parquet(at)
+        cores = spark.sparkContext.defaultParallelism
+        held = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert scan.rdd.getNumPartitions() > cores and held(scan) == [4000]
+        assert max(held(spread(scan))) <= 2 * 4000 / cores and sum(held(spread(scan))) == 4000
+        assert len(held(spread(scan, 100))) == 40
+        assert spread(spark.read.parquet(at).limit(0)).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
