@@ -166,3 +166,51 @@ def test_a_round_shuffles_what_the_frontier_reaches_only(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     whole = table.forget()
     assert whole.count() == 60_000 and not spark.catalog.tableExists(table.name)
+
+
+def plain_members(ids, edges):
+    """Breadth-first levels by hand; ids that some edge leads to are no roots."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = []
+    for root in [i for i in ids if i not in {b for _, b in edges}]:
+        level, at = {root: 0}, [root]
+        while at:
+            at = [level.setdefault(b, level[a] + 1) and b for a in at for b in sorted(after.get(a, ())) if b not in level]
+        out += [(1, root, m, n) for m, n in level.items()]
+    return sorted(out)
+
+
+def thread_tables(spark, n, edges):
+    messages = spark.createDataFrame([(1, i) for i in range(1, n + 1)], "chat_id long, id long")
+    return messages, spark.createDataFrame([(1, a, b) for a, b in edges], "chat_id long, src long, dst long")
+
+
+def test_a_deep_thread_takes_no_round_per_level(spark, monkeypatch):
+    steps = []
+    kept = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: steps.append(label) or kept(df, label))
+    chain = [(i, i + 1) for i in range(1, 200)]
+    got = sorted(map(tuple, G.thread_members(*thread_tables(spark, 203, chain)).collect()))
+    assert got == sorted([(1, 1, i, i - 1) for i in range(1, 201)] + [(1, i, i, 0) for i in (201, 202, 203)])
+    assert len(steps) < 200 / 8  # a round of eight levels would store a table each
+
+
+@pytest.mark.parametrize("limits", [{}, {"GROUP_PAIRS": 20}, {"COMPONENT_EDGES": 12}, {"COMPONENT_EDGES": 0}])
+def test_members_do_not_depend_on_how_components_are_dealt(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(G, name, value)
+    rng = random.Random(7)
+    edges = [(a, a + rng.randint(1, 4)) for a in range(1, 37) for _ in range(2) if a % 12]
+    edges += [(20, 14), (50, 50), (50, 51), (60, 61), (61, 60), (70, 71), (70, 72)]  # back, to itself, a ring, a small thread
+    got = sorted(map(tuple, G.thread_members(*thread_tables(spark, 75, edges)).collect()))
+    assert got == plain_members(range(1, 76), edges)
+
+
+def test_a_root_that_is_no_message_starts_no_thread(spark):
+    messages, edges = thread_tables(spark, 3, [(1, 2), (9, 3)])
+    doubled = messages.unionByName(messages.filter("id = 1"))
+    nowhere = spark.createDataFrame([(None, 1, 3)], "chat_id long, src long, dst long")
+    got = sorted(map(tuple, G.thread_members(doubled, edges.unionByName(nowhere)).collect()))
+    assert got == [(1, 1, 1, 0), (1, 1, 1, 0), (1, 1, 2, 1)]
