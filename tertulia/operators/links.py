@@ -371,7 +371,23 @@ def _label(p: Platform) -> Column:
 
 def labels(urls: DataFrame, url: str = "url", platforms: list[Platform] = PLATFORMS) -> DataFrame:
     """Distinct URLs with their classification; repeated links are worked out once."""
-    return classify(urls.select(url).distinct(), url, platforms)
+    return classify(distinct_urls(urls.select(url), url), url, platforms)
+
+
+URLS_PER_TASK = 500_000
+
+
+def distinct_urls(urls: DataFrame, url: str = "url") -> DataFrame:
+    """Distinct URLs in parts of about URLS_PER_TASK, which bounds what a task holds.
+
+    The shuffle of a plain ``distinct`` is coalesced to about as many parts as
+    there are cores, so a task would hold more the larger the table is.  URLs are
+    made distinct per (URL, split) first, so a frequent one is no task of its own.
+    """
+    parts = max(urls.sparkSession.sparkContext.defaultParallelism, -(-urls.count() // URLS_PER_TASK))
+    salt = F.pmod(F.spark_partition_id(), F.lit(parts))
+    fewer = urls.withColumn("_split", salt).repartition(parts, url, "_split").distinct()
+    return fewer.select(url).repartition(parts, url).distinct()
 
 
 def message_urls(messages: DataFrame, text: str = "text", keys: tuple[str, ...] = ("chat_id", "id")) -> DataFrame:

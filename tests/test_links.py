@@ -74,3 +74,15 @@ def test_routing_works_out_the_host_once(spark):
     hosts = spark.createDataFrame([("https://www.github.com/a",), ("https://x.tumblr.com/",), ("https://nowhere.org/",)], "url string")
     got = [r.p for r in hosts.select(L.route(U.host("url")).alias("p")).collect()]
     assert got == ["github", "tumblr", None]
+
+
+def test_distinct_urls_grow_in_parts_not_in_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "URLS_PER_TASK", 500)
+    url = F.when(F.col("id") % 2 == 0, F.lit("https://example.com/")).when(F.col("id") > 2, F.concat(F.lit("https://t.me/c"), (F.col("id") % 9000).cast("string")))
+    urls = spark.range(20_000).select(url.alias("url"))
+    got = L.distinct_urls(urls)
+    held = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == got.distinct().count() == urls.distinct().count()
+    assert max(held) <= 500
