@@ -44,8 +44,8 @@ class PairTable:
         return flat.reshape(out.shape)
 
 
-def merge_rows(ids: np.ndarray, pairs: PairTable) -> list[bytes]:
-    """Merges rows of symbol ids, padded with -1, until no pair is left; packed ids of each row.
+def merged(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """Merges rows of symbol ids, padded with -1, until no pair is left; the ids of each row, padded again.
 
     Joined ids must be ranks too: the pair with the least joined id goes first,
     of equal ones the leftmost.
@@ -73,12 +73,91 @@ def merge_rows(ids: np.ndarray, pairs: PairTable) -> list[bytes]:
         rank[has, j[has]] = pairs.get(ids[has, j[has]], ids[has, j[has] + 1])
         has = np.flatnonzero(j > 0)
         rank[has, j[has] - 1] = pairs.get(ids[has, j[has] - 1], ids[has, j[has]])
+    return done
+
+
+def merge_rows(ids: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Packed ids of each merged row."""
+    done = merged(ids, pairs)
     size = (done >= 0).sum(axis=1) * 4
     flat = done[done >= 0].astype("<u4").tobytes()
     ends = np.cumsum(size).tolist()
     return [flat[e - n:e] for e, n in zip(ends, size.tolist())]
 
 
+class WordTable:
+    """Runs of ids by words of 1 to 16 bytes without zero bytes, each word given as two numbers (its bytes, zeros behind them).
+
+    Open addressing finds the number of a word; numbers rise as words are met,
+    so what is frequent lies close together.  ``merge(words)`` gives the ids of
+    unknown words, padded with -1.  When ``entries`` words are held, all go.
+    """
+
+    def __init__(self, entries: int, merge):
+        self.entries, self.merge = entries, merge
+        self.mask = np.uint64((1 << (2 * entries - 1).bit_length()) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held = 0  # number 0 is no word
+        self.number = np.zeros(int(self.mask) + 1, np.int32)
+        self.low, self.high = np.zeros(self.entries + 1, np.uint64), np.zeros(self.entries + 1, np.uint64)
+        self.start = np.zeros(self.entries + 2, np.int64)
+        self.ids = np.zeros(4096, np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(32))) & self.mask
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of words, 0 for unknown ones."""
+        slot = self._slot(low, high)
+        out = self.number[slot]
+        at = np.flatnonzero((out != 0) & ((self.low[out] != low) | (self.high[out] != high)))
+        while len(at):
+            slot[at] = (slot[at] + np.uint64(1)) & self.mask
+            k = out[at] = self.number[slot[at]]
+            at = at[(k != 0) & ((self.low[k] != low[at]) | (self.high[k] != high[at]))]
+        return out
+
+    def _insert(self, low: np.ndarray, high: np.ndarray) -> None:
+        ids = self.merge(np.stack([low, high], axis=1))
+        first, last = self.held + 1, self.held + len(low)
+        self.held, self.low[first:last + 1], self.high[first:last + 1] = last, low, high
+        self.start[first + 1:last + 2] = self.start[first] + np.cumsum((ids >= 0).sum(axis=1))
+        self.place(first, ids[ids >= 0])
+        slot, number = self._slot(low, high), np.arange(first, last + 1, dtype=np.int32)
+        while len(number):
+            free = np.flatnonzero(self.number[slot] == 0)
+            self.number[slot[free]] = number[free]  # of several words for a slot one stays
+            on = self.number[slot] != number
+            slot, number = (slot[on] + np.uint64(1)) & self.mask, number[on]
+
+    def place(self, number: int, ids: np.ndarray) -> int:
+        """Writes ids where those of a word of this number start; the place.  Behind the last word they stay until the next call."""
+        start = int(self.start[number])
+        if start + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:start], np.zeros(start + 2 * len(ids) + 4096, np.int32)])
+        self.ids[start:start + len(ids)] = ids
+        return start
+
+    def runs(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word start in ``ids``, and how many they are; at most ``entries`` words at once."""
+        k = self._find(low, high)
+        new = np.flatnonzero(k == 0)
+        if len(new):
+            if self.held + len(new) > self.entries:
+                self.clear()
+                new = np.arange(len(low))
+            order = new[np.lexsort((high[new], low[new]))]
+            a, b = low[order], high[order]
+            once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            self._insert(a[once], b[once])
+            k[new] = self._find(low[new], high[new])
+        start = self.start[k]
+        return start, self.start[k + 1] - start
+
+
 class Recent:
     """What was made for keys lately; of two generations the older one goes when the younger is full."""
 

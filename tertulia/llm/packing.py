@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import materialize
-from .common import slices
-from .merges import ROWS, PairTable, Recent, merge_rows
+from .common import binary, bytes_of, slices
+from .merges import ROWS, PairTable, Recent, WordTable, merge_rows, merged
 
 WINDOW = 2048
 SLICES = 256  # parts into which the ranking of one length is split
@@ -30,14 +30,31 @@ CACHE_ENTRIES = 400_000
 CACHED_CHARS = 48
 MARKS = ".,!?;:*%#$&"
 LATIN1_END = "\u0100"
+BLOCK = 1 << 20  # bytes of text looked at in one go
+TABLE_ENTRIES = BLOCK
+SHORT, LONG = 16, 256  # bytes: the longest part of a word that is merged with many others, and the longest such word
+BLANK, LETTER, MARK, DIGIT, OTHER = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[33:127] = MARK
+KINDS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = LETTER
+KINDS[[*b"0123456789"]] = DIGIT
+KINDS[[*b" \n"]] = BLANK
+KINDS[[*b"'<"]] = OTHER  # may begin 's or <|endoftext|>
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class WordTokens:
     """Token ids by words between blanks and line ends: no token of this vocabulary reaches over white space.
 
-    Words of Latin letters with marks behind them are merged many at a time;
-    others go to the tokenizer itself, which also finds its special tokens in
-    them (their strings hold no white space).
+    Words of Latin letters, digits and ASCII marks are cut into their runs of
+    letters, runs of marks and single digits, as the tokenizer cuts them, and the
+    parts are looked up and merged many at a time.  Words with anything else, an
+    apostrophe or a ``<`` in them, and long ones are looked up whole; those of
+    Latin letters with marks behind them are merged here, others go to the
+    tokenizer itself, which also finds its special tokens in them (their strings
+    hold no white space).
     """
 
     def __init__(self, path: str):
@@ -60,12 +77,117 @@ class WordTokens:
         sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[sign[b] + end] for b in range(256)], np.int32)
+        self.parts = WordTable(TABLE_ENTRIES, self._merge_parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of every text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words.of({w for ws in split for w in ws}, self._encode_words)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array of little-endian unsigned 32-bit numbers, and where each text starts (one more entry than texts)."""
+        raw, offsets = bytes_of(binary(texts))
+        out, starts, total, a = [], np.zeros(len(offsets), np.int64), 0, 0
+        while a < len(raw):
+            b = self._block_end(raw, offsets, a)
+            docs = slice(*np.searchsorted(offsets, [a, b]))
+            ids, begin, before = self._encode_block(raw[a:b], offsets[docs] - a)
+            starts[docs] = total + before[np.searchsorted(begin, offsets[docs] - a)]
+            out.append(ids)
+            total, a = total + len(ids), b
+        starts[np.searchsorted(offsets, len(raw)):] = total
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), starts
+
+    @staticmethod
+    def _block_end(raw: np.ndarray, offsets: np.ndarray, a: int) -> int:
+        """Where a block from ``a`` ends: behind a blank or a text, about BLOCK bytes on; later only if a word is longer."""
+        if len(raw) - a <= BLOCK:
+            return len(raw)
+        text = int(offsets[np.searchsorted(offsets, a + BLOCK, "right") - 1])  # the last text that starts in reach
+        blank = np.flatnonzero(KINDS[raw[max(a, a + BLOCK - 2 * LONG):a + BLOCK]] == BLANK)
+        if len(blank):
+            return max(a, a + BLOCK - 2 * LONG) + int(blank[-1]) + 1
+        if text > a:
+            return text
+        end, b = int(offsets[np.searchsorted(offsets, a, "right")]), a
+        while b < end:
+            blank = np.flatnonzero(KINDS[raw[b:min(b + BLOCK, end)]] == BLANK)
+            if len(blank):
+                return b + int(blank[0 if b > a else -1]) + 1
+            b += BLOCK
+        return end
+
+    def _encode_block(self, raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some bytes that cut no word; where each word or part of one starts, and how many ids lie before it (one more entry)."""
+        begin, end, whole, lower = self._cut(raw, texts)
+        start, size = np.empty(len(begin), np.int64), np.empty(len(begin), np.int64)
+        short = np.flatnonzero(~whole) if whole.any() else slice(None)
+        padded = np.concatenate([lower, np.zeros(SHORT, np.uint8)])
+        eight = np.ndarray(len(lower) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        at, length = begin[short], (end - begin)[short]
+        low = eight[at] & FIRST_BYTES[np.minimum(length, 8)]
+        high = eight[at + 8] & FIRST_BYTES[np.maximum(length - 8, 0)]
+        start[short], size[short] = self.parts.runs(low, high)
+        if whole.any():
+            data = raw.tobytes()
+            words = [data[a:b].decode() for a, b in zip(begin[whole].tolist(), end[whole].tolist())]
+            known = self.words.of(set(words), self._encode_words)
+            packed = [known[w] for w in words]
+            size[whole] = n = np.array([len(p) // 4 for p in packed])
+            start[whole] = self.parts.place(self.parts.held + 1, np.frombuffer(b"".join(packed), "<u4")) + np.cumsum(n) - n
+        before = np.zeros(len(begin) + 1, np.int64)
+        np.cumsum(size, out=before[1:])
+        ids = self.parts.ids[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        return ids.astype("<u4"), begin, before
+
+    @staticmethod
+    def _cut(raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of what is looked up, whether it is a whole word, and the bytes with Latin letters in lower case."""
+        kind, lower = KINDS[raw], LOWER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        behind = raw[lead + 1]
+        latin = (behind & 0xC0 == 0x80) & (behind & 0xDF != 0x97)  # U+00C0 to U+00FF without the signs for times and division
+        lead, behind = lead[latin], behind[latin]
+        kind[lead] = kind[lead + 1] = LETTER
+        lower[lead + 1] += np.where(behind < 0x9F, np.uint8(32), np.uint8(0))
+        text = np.zeros(len(raw), bool)
+        text[texts] = True
+        run = kind == DIGIT
+        run |= text
+        run[:1] = True
+        run[1:] |= kind[1:] != kind[:-1]
+        begin = np.flatnonzero(run)
+        end = np.append(begin[1:], len(raw))
+        kinds = kind[begin]
+        first = text[begin]  # of a word
+        first[:1] = True
+        first[1:] |= kinds[:-1] == BLANK
+        solid = kinds != BLANK
+        begin, end, kinds, first = begin[solid], end[solid], kinds[solid], first[solid]
+        if not len(begin):
+            return begin, end, first, lower
+        word = np.cumsum(first) - 1
+        word_end = end[np.append(np.flatnonzero(first)[1:] - 1, len(end) - 1)]
+        whole = word_end - begin[first] > LONG
+        whole[word[(kinds == OTHER) | (end - begin > SHORT)]] = True
+        whole = whole[word]
+        kept = first | ~whole
+        begin, end, word, whole = begin[kept], end[kept], word[kept], whole[kept]
+        end[whole] = word_end[word[whole]]
+        return begin, end, whole, lower
+
+    def _merge_parts(self, parts: np.ndarray) -> np.ndarray:
+        """Ids of parts of words, each given as two numbers, padded with -1."""
+        byte = parts.astype("<u8").view(np.uint8)
+        size = (byte != 0).sum(axis=1)
+        out, place = np.full((len(parts), SHORT), -1, np.int32), np.arange(SHORT)
+        for width in range(2, SHORT + 1, 2):
+            rows = np.flatnonzero((size == width) | (size == width - 1))
+            for a in range(0, len(rows), ROWS):
+                part = rows[a:a + ROWS]
+                b, last, at = byte[part, :width], size[part, None] - 1, place[:width]
+                out[part, :width] = merged(np.where(at < last, self.inner[b], np.where(at == last, self.last[b], np.int32(-1))), self.pairs)
+        return out
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         plain, other = [], []
@@ -120,8 +242,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDO
         for whole in batches:
             for part in slices(whole, text):
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, packed in enumerate(words.encode([t or "" for t in part.column(text).to_pylist()])):
-                    packed += end
+                every, ends = words.encode_column(part.column(text))
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    packed = every[a:b].tobytes() + end
                     n = len(packed) // 4
                     for a in range(0, n, window):
                         piece = packed[4 * a:4 * (a + window)]

@@ -459,6 +459,37 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, WORDS).collect() == []
 
 
+def test_packing_looks_words_up_many_at_a_time():
+    import cProfile
+    import pstats
+
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdeéÀst") for _ in range(r.randrange(6, 12))) + r.choice(["", ",", ".###", "1"]) for _ in range(2000)) for _ in range(15)]
+    assert len({w for t in texts for w in t.split()}) > 25_000
+    words, profile = packing.WordTokens(WORDS), cProfile.Profile()
+    got = profile.runcall(words.encode, texts)
+    assert pstats.Stats(profile).total_calls < 25_000  # work per word is not Python's
+    plain = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [p.ids for p in plain]
+
+
+@pytest.mark.parametrize("block, entries", [(1 << 20, 1 << 20), (64, 300), (7, 300)])
+def test_packing_words_in_small_blocks(monkeypatch, block, entries):
+    """Parts of words at the limits of length, special tokens and apostrophes, whatever the blocks cut and the table forgets."""
+    from tokenizers import Tokenizer
+
+    plain, words = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
+    monkeypatch.setattr(packing, "BLOCK", block)
+    words.parts = merges.WordTable(entries, words._merge_parts)
+    r = random.Random(9)
+    odd = ["<|endoftext|>", "<|EndOfText|>", "a<|startoftext|>b", "x" * 15, "x" * 16, "X" * 17, "é" * 8, "É" * 9, "Word" * 64, "Word," * 60, "a," * 127, "a," * 128, "a," * 129,
+           "\n", "'re", "it's", "..'s", "'S", "2026", "10km", "×÷ÞþßÿŸ", "e\u0301", "é\u0301", "A\t b", "\x00", "ª", "😀"]
+    texts = ["", *("".join(r.choice([*odd, " ", " ", "ab", "Ä", "."]) for _ in range(r.randrange(14))) for _ in range(80)), "", "x" * 700 + " y", "a " * 300, "z" * 300, " " * 40]
+    got = words.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [p.ids for p in plain.encode_batch(texts, add_special_tokens=False)]
+    assert words.parts.held <= entries and words.encode([]) == []
+
+
 def test_best_fit_decreasing_piece_by_piece():
     r = random.Random(6)
     counts = {n: r.randrange(1, 9) for n in r.sample(range(1, 65), 40)}
