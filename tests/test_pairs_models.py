@@ -357,3 +357,30 @@ def test_epochs_keep_unscaled_rows(spark, monkeypatch):
     df = spark.createDataFrame([([float(k % 5), 0.0, 0.0, float(k % 2)], k % 2) for k in range(80)], "vector array<double>, label int")
     E.train_epochs(E.packed(df, 4), E.packed(df, 4), epochs=1, steps=2, hidden=(3,))
     assert kept == [["features", "label"]] * 2
+
+
+def test_edit_distances_of_a_batch_and_no_distance_per_row(spark):
+    """Lengths around whole words, empty texts, signs beyond 16 bits; distances are not worked out row by row in the plan."""
+    from tertulia.functions.edits import edit_distances
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 7, 63, 64, 65, 128, 150])))
+    a, b = [], []
+    for signs in ("ab", "abcde ñé", "😀漢字abc"):
+        for _ in range(40):
+            a.append(made())
+            b.append(rng.choice([made(), a[-1], a[-1][3:] + made()[:9], "".join(x if rng.random() < 0.9 else "z" for x in a[-1])]))
+    assert edit_distances(a, b).tolist() == [distance(x, y) for x, y in zip(a, b)]
+    side = "struct<id:long,text:string>"
+    p = spark.createDataFrame([((i, x), (i, y)) for i, (x, y) in enumerate(zip(a, b))], f"a {side}, b {side}")
+    got = {r.a.id: r.features_extra.seq_ratio for r in P.enrich(p).collect()}
+    assert np.allclose([got[i] for i in range(len(a))], [1 - distance(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in zip(a, b)])
+    assert "levenshtein" not in P.enrich(p)._jdf.queryExecution().optimizedPlan().toString().lower()
