@@ -16,6 +16,8 @@ def _fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 
 WORDS_PER_PART = 200_000
+PARTS_PER_TASK = 32
+SUMMED_WORDS = 1 << 18  # words whose vectors a task holds in sums
 
 
 def lexicon_table(spark, words: dict[str, float] | None = None) -> DataFrame:
@@ -279,65 +281,177 @@ def _skip_grams(texts: list, vectors, out, window: int, rng, rate: float, least:
         _add_rows(out, np.concatenate([mid, drawn]), np.concatenate([do, g.T @ x]))
 
 
+def _scarce_places(rows: DataFrame, min_count: int) -> DataFrame:
+    """_part, token of the words that stand less than `min_count` times in all texts (_part, tokens).
+
+    A batch of texts is counted before anything is shuffled: a word gives one row, and one for
+    each place only where the batch has fewer than `min_count` of it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def counted(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            coded = lists.flatten().dictionary_encode()
+            code, parts = coded.indices.to_numpy(zero_copy_only=False), np.repeat(batch.column("_part").to_numpy(), lists.value_lengths().to_numpy())
+            n = np.bincount(code, minlength=len(coded.dictionary))
+            few, many = np.flatnonzero(n[code] < min_count), np.flatnonzero(n >= min_count)
+            words = coded.dictionary.take(pa.array(np.concatenate([code[few], many])))
+            places = pa.array(np.concatenate([parts[few], np.zeros(len(many), np.int32)]), pa.int32(), mask=np.arange(len(few) + len(many)) >= len(few))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.concatenate([np.ones(len(few), np.int64), n[many]])), places], names=["token", "n", "_part"])
+
+    seen = rows.select("_part", "tokens").mapInArrow(counted, "token string, n long, _part int")
+    total = seen.withColumn("_all", F.sum("n").over(W.partitionBy("token")))
+    return total.filter((F.col("_all") < min_count) & F.col("_part").isNotNull()).select("_part", "token").distinct()
+
+
+class _Sums:
+    """Sums of vectors by word, of at most `SUMMED_WORDS` words, in a nameless file; batches (word, n, numbers) come out as it gets full."""
+
+    def __init__(self, width: int):
+        import tempfile
+
+        import numpy as np
+
+        self.file = tempfile.TemporaryFile()
+        self.at, self.n, self.sums = {}, np.zeros(SUMMED_WORDS, np.int64), np.memmap(self.file, np.float32, "w+", shape=(SUMMED_WORDS, width))
+
+    def add(self, words: list[str], rows):
+        import numpy as np
+
+        for a in range(0, len(words), SUMMED_WORDS):
+            some = words[a:a + SUMMED_WORDS]
+            if len(self.at) + sum(w not in self.at for w in some) > SUMMED_WORDS:
+                yield from self.out()
+            begun = len(self.at)
+            at = np.array([self.at.setdefault(w, len(self.at)) for w in some], np.int64)
+            own, old = rows[a:a + SUMMED_WORDS], at < begun
+            self.sums[at[~old]], self.n[at[~old]] = own[~old], 1
+            self.sums[at[old]] += own[old]
+            self.n[at[old]] += 1
+
+    def out(self):
+        words = list(self.at)
+        for a in range(0, len(words), 4096):
+            some = slice(a, min(a + 4096, len(words)))
+            yield _vector_batch(words[some], self.n[some], self.sums[some])
+        self.at = {}
+
+
+def _vector_batch(words, n, rows):
+    import numpy as np
+    import pyarrow as pa
+
+    flat = pa.array(np.ascontiguousarray(rows, np.float32).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * rows.shape[1]), flat)
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64()), lists], names=["word", "n", "numbers"])
+
+
+def _averaged(batches):
+    """Of sums sorted by word the average of each word, which may reach over several batches."""
+    import numpy as np
+
+    word, times, total = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = np.array(batch.column("word").to_pylist(), dtype=object)
+        rows = batch.column("numbers").flatten().to_numpy().reshape(len(words), -1).astype(np.float64)
+        first = np.concatenate([[0], np.flatnonzero(words[1:] != words[:-1]) + 1])
+        names, n, sums = words[first], np.add.reduceat(batch.column("n").to_numpy(), first), np.add.reduceat(rows, first, axis=0)
+        if word == names[0]:
+            n[0], sums[0] = n[0] + times, sums[0] + total
+        elif word is not None:
+            yield _vector_batch([word], [times], total[None] / times)
+        if len(names) > 1:
+            yield _vector_batch(list(names[:-1]), n[:-1], sums[:-1] / n[:-1, None])
+        word, times, total = names[-1], n[-1], sums[-1]
+    if word is not None:
+        yield _vector_batch([word], [times], total[None] / times)
+
+
 def word_vectors(tokens: DataFrame, size: int = 100, window: int = 5, min_count: int = 2, seed: int = 42, iterations: int = 1) -> DataFrame:
     """Skip-gram word vectors with negative samples: word, vector as a float array.
 
     The corpus is trained in parts of about WORDS_PER_PART words side by side,
-    whose vectors are averaged after each iteration.  A part is one task's group
-    and holds the vectors of its own words only; the whole vocabulary lies in
-    tables and is nowhere gathered.
+    whose vectors are averaged after each iteration.  A task trains its parts one
+    after another, each on the vectors of its own words only, and sums what they
+    give before it hands it on; the whole vocabulary lies in tables and is nowhere
+    gathered.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     rows = materialize(tokens.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("_row"), "tokens"), "vector_texts")
     words = rows.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-words // WORDS_PER_PART))
-    scarce = vocabulary(rows, 1).filter(F.col("n") < min_count).select("token")
-    lost = rows.select("_row", F.explode(F.array_distinct("tokens")).alias("token")).join(scarce, "token").groupBy("_row").agg(F.collect_list("token").alias("_lost"))
-    texts = rows.join(lost, "_row", "left").select(F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int").alias("_part"), "_row", "tokens", "_lost")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = min(parts, cores * -(-parts // (cores * PARTS_PER_TASK)))
+    texts = rows.select(F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int").alias("_part"), "_row", "tokens")
+    lost = _scarce_places(texts, min_count)
     if iterations > 1:
-        texts = materialize(texts, "vector_parts")
+        lost = materialize(lost, "scarce_words")
 
     def fit(turn):
-        """Trains a part in iteration ``turn``."""
-        def run(key, pdf, known=None):
+        """Trains a part in iteration ``turn``, with what is known of its words; words and their numbers."""
+        def run(part, rows):
             import numpy as np
-            import pandas as pd
 
-            kept = []
-            for _, t, gone in sorted(zip(pdf["_row"], pdf["tokens"], pdf["_lost"]), key=lambda r: r[0]):
-                away = set() if gone is None else set(gone)
-                kept.append([w for w in t if w not in away])
+            away = set(rows["lost"])
+            kept = [[w for w in t if w not in away] for _, t in sorted(zip(rows["_row"], rows["tokens"]), key=lambda r: r[0])]
             names, number = np.unique(np.array([w for t in kept for w in t], dtype=object), return_inverse=True)
             if not len(names):
-                return pd.DataFrame({"word": [], "vector": [], "out": []})
+                return [], None
             vectors, out = _start_vectors(list(names), size, seed), np.zeros((len(names), size), np.float32)
-            if known is not None:
-                at = np.searchsorted(names, known["word"].to_numpy())
-                vectors[at], out[at] = np.stack(known["vector"].to_numpy()), np.stack(known["out"].to_numpy())
+            if rows["word"]:
+                at, known = np.searchsorted(names, np.array(rows["word"], dtype=object)), np.concatenate(rows["numbers"]).reshape(-1, 2, size)
+                vectors[at], out[at] = known[:, 0], known[:, 1]
             cuts = np.cumsum([len(t) for t in kept])[:-1]
             rate = [0.025 * max(1e-4, 1 - i / iterations) for i in (turn, turn + 1)]
-            _skip_grams(np.split(number.ravel(), cuts), vectors, out, window, np.random.default_rng([seed, turn, int(key[0])]), *rate)
-            return pd.DataFrame({"word": names, "vector": list(vectors), "out": list(out) if turn + 1 < iterations else None})
+            _skip_grams(np.split(number.ravel(), cuts), vectors, out, window, np.random.default_rng([seed, turn, part]), *rate)
+            return list(names), vectors if turn + 1 == iterations else np.concatenate([vectors, out], axis=1)
 
-        if turn:
-            return lambda key, pdf, known: run(key, pdf, known)
-        return lambda key, pdf: run(key, pdf)
+        def all_parts(batches):
+            import numpy as np
 
-    schema, vectors = "word string, vector array<float>, out array<float>", None
-    mean = lambda c: vector_to_array(Summarizer.mean(array_to_vector(c)), "float32").alias(c)
+            sums, part, held = _Sums(size if turn + 1 == iterations else 2 * size), None, None
+            for batch in batches:
+                of = batch.column("_part").to_numpy()
+                bounds = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+                for a, b in zip(bounds, bounds[1:]):
+                    if a == b:
+                        continue
+                    if of[a] != part:
+                        if held:
+                            yield from sums.add(*run(part, held))
+                        part, held = int(of[a]), {"_row": [], "tokens": [], "lost": [], "word": [], "numbers": []}
+                    own = batch.slice(a, b - a)
+                    texts = own.filter(own.column("tokens").is_valid())
+                    held["_row"] += texts.column("_row").to_pylist()
+                    held["tokens"] += texts.column("tokens").to_pylist()
+                    held["lost"] += own.column("lost").drop_null().to_pylist()
+                    known = own.filter(own.column("word").is_valid())
+                    held["word"] += known.column("word").to_pylist()
+                    if known.num_rows:
+                        held["numbers"].append(known.column("numbers").flatten().to_numpy())
+            if held:
+                yield from sums.add(*run(part, held))
+            yield from sums.out()
+
+        return all_parts
+
+    columns = {"_row": "long", "tokens": "array<string>", "lost": "string", "word": "string", "numbers": "array<float>"}
+    shaped = lambda df: df.select("_part", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+    vectors = None
     for turn in range(iterations):
-        if vectors is None:
-            trained = texts.repartition(parts, "_part").groupBy("_part").applyInPandas(fit(turn), schema)
-        else:
-            needed = texts.select(F.col("_part").alias("_of"), F.explode("tokens").alias("word")).distinct().join(vectors, "word")
-            trained = texts.groupBy("_part").cogroup(needed.groupBy("_of")).applyInPandas(fit(turn), schema)
-        last = turn + 1 == iterations
-        vectors = trained.groupBy("word").agg(mean("vector"), *[] if last else [mean("out")])
-        if not last:
+        met = shaped(texts).unionByName(shaped(lost.withColumnRenamed("token", "lost")))
+        if vectors is not None:
+            needed = texts.select("_part", F.explode("tokens").alias("word")).distinct().join(vectors, "word")
+            met = met.unionByName(shaped(needed))
+        dealt = met.repartitionById(tasks, F.col("_part") % tasks).sortWithinPartitions("_part")
+        summed = dealt.mapInArrow(fit(turn), "word string, n long, numbers array<float>")
+        vectors = summed.repartition("word").sortWithinPartitions("word").mapInArrow(_averaged, "word string, n long, numbers array<float>").select("word", "numbers")
+        if turn + 1 < iterations:
             vectors = materialize(vectors, "word_vectors")
-    return vectors
+    return vectors.withColumnRenamed("numbers", "vector")
 
 
 def lookup_vectors(words: DataFrame, vectors: DataFrame, size: int = 100) -> DataFrame:

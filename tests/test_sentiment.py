@@ -92,3 +92,27 @@ def test_word_vectors_are_trained_in_parts_and_stay_in_tables(spark, monkeypatch
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     alike = unit @ unit.T
     assert alike[:6, :6].mean() > alike[:6, 6:].mean() + 0.3 and alike[6:, 6:].mean() > alike[:6, 6:].mean() + 0.3
+
+
+def test_vectors_of_a_word_are_summed_before_they_are_shuffled(spark, monkeypatch):
+    """The averages over all parts, whatever a task can hold in sums; a word leaves a task once where all of them fit."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(i, [f"w{k}" for k in rng.zipf(1.5, 20) % 90]) for i in range(200)] + [(900, ["w1", "once"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").coalesce(1)
+    monkeypatch.setattr(S, "WORDS_PER_PART", 300)
+    monkeypatch.setattr(S, "PARTS_PER_TASK", 1000)
+    got = []
+    for room in (1 << 10, 16, 1):
+        monkeypatch.setattr(S, "SUMMED_WORDS", room)
+        got.append({r.word: np.array(r.vector) for r in S.word_vectors(df, size=8).collect()})
+    assert set(got[0]) == {w for w in {x for _, t in rows for x in t} if sum(t.count(w) for _, t in rows) > 1} and "once" not in got[0]
+    assert all(set(g) == set(got[0]) and all(np.allclose(g[w], got[0][w], atol=1e-6) for w in g) for g in got)
+
+    monkeypatch.setattr(S, "SUMMED_WORDS", 1 << 10)
+    sums = S._Sums(2)
+    parts = [(["a", "b"], np.ones((2, 2), np.float32)), (["b", "c"], np.ones((2, 2), np.float32))]
+    out = [r for p in parts for r in sums.add(*p)] + [*sums.out()]
+    assert [(b.column("word").to_pylist(), b.column("n").to_pylist()) for b in out] == [(["a", "b", "c"], [1, 2, 1])]
+    assert out[0].column("numbers").to_pylist() == [[1, 1], [2, 2], [1, 1]]
