@@ -155,8 +155,8 @@ def m10(spark, d):
     return S.vocabulary(labelled_tokens(spark, d))
 
 
-def word_vectors(spark, d):
-    return stored(spark, d, "word_vectors", lambda: S.word_vectors(labelled_tokens(spark, d)))
+def word_vectors(spark, d, tokens=None):
+    return stored(spark, d, "word_vectors", lambda: S.word_vectors(labelled_tokens(spark, d) if tokens is None else tokens))
 
 
 @query("m11_word_vectors")
@@ -245,7 +245,9 @@ def m20(spark, d):
 
 @query("m21_word_lookup")
 def m21(spark, d):
-    v = word_vectors(spark, d)
-    words = labelled_tokens(spark, d).select(F.explode("tokens").alias("word")).distinct()
+    # read twice: the texts are joined with their labels and cleaned once
+    t = stored(spark, d, "labelled_tokens", lambda: labelled_tokens(spark, d))
+    v = word_vectors(spark, d, t)
+    words = t.select(F.explode("tokens").alias("word")).distinct()
     found = S.lookup_vectors(words, v)
     return found.select("word", F.exists("vector", lambda x: x != 0).alias("known"))
