@@ -384,3 +384,33 @@ def test_edit_distances_of_a_batch_and_no_distance_per_row(spark):
     got = {r.a.id: r.features_extra.seq_ratio for r in P.enrich(p).collect()}
     assert np.allclose([got[i] for i in range(len(a))], [1 - distance(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in zip(a, b)])
     assert "levenshtein" not in P.enrich(p)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_perceptron_steps_are_those_of_spark_on_blocks(spark, monkeypatch):
+    """Equal weights after some steps as the library's own trainer, with and without zeros; rows are kept as blocks of bounded size."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler
+    from tertulia.operators import perceptron as N
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(256, 70)) * (rng.random((256, 70)) < 0.02) + 0.0
+    x[:, 0] = rng.normal(size=256)
+    x[:, 1] = 5.0
+    rows = [([float(v) for v in r], int(r[0] + r[2] > 0)) for r in x]
+    plain = spark.createDataFrame(rows, "vector array<double>, label int").coalesce(1)
+    data = E.packed(plain, 70)
+    monkeypatch.setattr(N, "ROWS_PER_BLOCK", 100)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data)
+    std = scaler.std.toArray()
+    net = N.Net([70, 5, 3, 2], scaler.mean.toArray(), np.divide(1.0, std, out=np.zeros_like(std), where=std != 0))
+    table = N.blocks(data.select("features", "label"))
+    assert sorted(r.rows for r in table.collect()) == [56, 100, 100]
+    whole = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[70, 5, 3, 2], maxIter=6, seed=42).fit(scaler.transform(data))
+    begin = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[70, 5, 3, 2], maxIter=0, seed=42).fit(scaler.transform(data))
+    for dense, at_once in ((0.0, 32), (1.0, 32), (1 / 32, 1)):
+        monkeypatch.setattr(N, "_DENSE", dense)
+        monkeypatch.setattr(N, "SUMS_AT_ONCE", max(2, at_once))
+        weights, loss = N.minimized(lambda w: N.mean_loss(table.repartition(5), net, w), begin.weights.toArray(), 6)
+        assert np.allclose(weights, whole.weights.toArray(), atol=1e-6) and abs(loss - whole.summary().objectiveHistory[-1]) < 1e-8
+    said = sorted((r.label, r.prediction) for r in N.predicted(table, net, weights).collect())
+    assert said == sorted((float(r.label), r.prediction) for r in whole.transform(scaler.transform(data)).collect())
