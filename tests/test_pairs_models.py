@@ -414,3 +414,30 @@ def test_perceptron_steps_are_those_of_spark_on_blocks(spark, monkeypatch):
         assert np.allclose(weights, whole.weights.toArray(), atol=1e-6) and abs(loss - whole.summary().objectiveHistory[-1]) < 1e-8
     said = sorted((r.label, r.prediction) for r in N.predicted(table, net, weights).collect())
     assert said == sorted((float(r.label), r.prediction) for r in whole.transform(scaler.transform(data)).collect())
+
+
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    """Both lanes run at once, every model is there once, and one that fails is not passed over."""
+    import threading
+
+    import pytest
+    from tertulia.plans import pairs as Q
+
+    both, asked = threading.Barrier(2, timeout=30), []
+    rows = [(f, k % 2, k / 10) for f in range(2) for k in range(10)]
+
+    def scores(spark, d, kind):
+        if kind in [lane[0] for lane in Q.LANES]:
+            both.wait()
+        asked.append(kind)
+        if d == "broken" and kind == "naive_bayes":
+            raise ValueError(kind)
+        return spark.createDataFrame([(kind, *r) for r in rows], "model string, fold int, label int, score double")
+
+    monkeypatch.setattr(Q, "model_scores", scores)
+    monkeypatch.setattr(Q, "pair_vectors", lambda spark, d: None)
+    got = Q.model_folds(spark, "d").collect()
+    kinds = {"naive_bayes", "logistic", "boosted", "forest", "perceptron"}
+    assert sorted(asked) == sorted(kinds) and {(r.model, r.fold) for r in got} == {(k, f) for k in kinds for f in range(2)}
+    with pytest.raises(ValueError):
+        Q.model_folds(spark, "broken")
