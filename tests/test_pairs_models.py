@@ -441,3 +441,33 @@ def test_models_are_trained_side_by_side(spark, monkeypatch):
     assert sorted(asked) == sorted(kinds) and {(r.model, r.fold) for r in got} == {(k, f) for k in kinds for f in range(2)}
     with pytest.raises(ValueError):
         Q.model_folds(spark, "broken")
+
+
+def test_boosted_trees_on_blocks_are_those_of_spark(spark, monkeypatch):
+    """Equal trees and scores as the library's own trainer where no gains tie, ended by the valid rows; zeros take part without being stored."""
+    from pyspark.ml.classification import GBTClassifier
+    from tertulia.operators import boosting as B, perceptron as N
+
+    rng = np.random.default_rng(8)
+    x = np.zeros((900, 8))
+    x[:, 0], x[:, 1] = rng.normal(size=900), rng.integers(0, 5, 900)
+    x[:, 2] = rng.normal(size=900) * (rng.random(900) < 0.2)
+    x[:, 4] = rng.random(900) < 0.3
+    y = (x[:, 0] + 2 * x[:, 2] * x[:, 1] + x[:, 4] + rng.normal(size=900) * 0.5 > 0.5).astype(int)
+    rows = [([float(v) for v in r], int(k), i % 4 == 0) for i, (r, k) in enumerate(zip(x, y))]
+    df = E.packed(spark.createDataFrame(rows, "vector array<double>, label int, valid boolean"), 8)
+    monkeypatch.setattr(B, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(N, "SUMS_AT_ONCE", 2)
+    limits = B.cuts(df.filter("not valid").select("features", "label"), 8, 42)
+    assert np.isfinite(limits).sum(1)[[1, 3, 4]].tolist() == [4, 0, 1]
+    stored = B.blocks(df.select("features", "label", "valid"), limits).collect()
+    assert all(len(r.labels) <= 100 for r in stored) and sum(len(r.labels) for r in stored) == 900
+    assert sum(len(r.bin) for r in stored) < 0.5 * 900 * 8
+    for rounds, depth in ((12, 2), (2, 4)):
+        whole = GBTClassifier(featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42, validationIndicatorCol="valid").fit(df)
+        own = B.boosted(df.select("features", "label", "valid"), 8, rounds, depth, 42)
+        assert own.getNumTrees == whole.getNumTrees and own.treeWeights == whole.treeWeights
+        a, b = ([r.probability[1] for r in m.transform(df).collect()] for m in (whole, own))
+        assert np.allclose(a, b, atol=1e-9)
+    model = E.train(df, "boosted", trees=5, valid="valid")
+    assert E.binary_metrics(E.score(model, df)).first().auc > 0.85
