@@ -393,18 +393,18 @@ def test_perceptron_steps_are_those_of_spark_on_blocks(spark, monkeypatch):
     from tertulia.operators import perceptron as N
 
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(256, 70)) * (rng.random((256, 70)) < 0.02) + 0.0
-    x[:, 0] = rng.normal(size=256)
+    x = rng.normal(size=(300, 70)) * (rng.random((300, 70)) < 0.02) + 0.0
+    x[:, 0] = rng.normal(size=300)
     x[:, 1] = 5.0
     rows = [([float(v) for v in r], int(r[0] + r[2] > 0)) for r in x]
     plain = spark.createDataFrame(rows, "vector array<double>, label int").coalesce(1)
     data = E.packed(plain, 70)
-    monkeypatch.setattr(N, "ROWS_PER_BLOCK", 100)
+    monkeypatch.setattr(N, "ROWS_PER_BLOCK", 128)
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data)
     std = scaler.std.toArray()
     net = N.Net([70, 5, 3, 2], scaler.mean.toArray(), np.divide(1.0, std, out=np.zeros_like(std), where=std != 0))
     table = N.blocks(data.select("features", "label"))
-    assert sorted(r.rows for r in table.collect()) == [56, 100, 100]
+    assert sorted(r.rows for r in table.collect()) == [44, 128, 128]
     whole = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[70, 5, 3, 2], maxIter=6, seed=42).fit(scaler.transform(data))
     begin = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[70, 5, 3, 2], maxIter=0, seed=42).fit(scaler.transform(data))
     for dense, at_once in ((0.0, 32), (1.0, 32), (1 / 32, 1)):
